@@ -126,7 +126,7 @@ def reading_time(minutes: Column) -> Column:
 
 def unit_number(name: Column, suffix: str) -> Column:
     """The number a file name begins with, if the name ends in suffix."""
-    return F.regexp_extract(name, rf"(?i)^(\d+)\D.*{suffix}$", 1).cast("int")
+    return F.regexp_extract(name, rf"(?i)^(\d+)\D.*{suffix}$", 1).try_cast("int")
 
 
 def markdown_escape(value: Column) -> Column:

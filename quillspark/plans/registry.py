@@ -1,7 +1,7 @@
 """All registered queries and their SQL, by name."""
 
-from quillspark.plans import audit, manuscript
+from quillspark.plans import audit, manuscript, projects
 
-MODULES = (audit, manuscript)
+MODULES = (audit, manuscript, projects)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
