@@ -49,7 +49,7 @@ def _lexical(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "f_length": n.cast("double"), "f_labels": F.size(F.split("host", r"\.")).cast("double"),
         "f_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"),
-        "f_digits": F.coalesce(F.length(F.regexp_replace(text, "[^0-9]", "")) / n, F.lit(0.0)),
+        "f_digits": F.coalesce(F.try_divide(F.length(F.regexp_replace(text, "[^0-9]", "")), n), F.lit(0.0)),
         "f_entropy": F.when(n > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda e, c: e + F.when(c == "", F.lit(0.0)).otherwise(-share(c) * F.log2(share(c))))).otherwise(F.lit(0.0)),
         "f_params": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
         "f_hyphens": (n - F.length(F.replace(text, F.lit("-"), F.lit("")))).cast("double"),
