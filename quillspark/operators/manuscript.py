@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text as tx
+from quillspark.functions.dimension import MOST, as_array
 
 
 def doc_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,7 +69,7 @@ def phrase_density(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", te
 
     The phrases go to the plan as one array, so documents are read once and nothing is joined.
     """
-    listed = [(r["category"], r["phrase"].lower()) for r in phrases.select("category", "phrase").limit(2000).collect()]
+    listed = [(r["category"], r["phrase"].lower()) for r in phrases.select("category", "phrase").limit(MOST).collect()]
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     hit = lambda p: ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long")
     kinds = sorted({c for c, _ in listed})
@@ -115,15 +116,16 @@ def variant_forms(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def page_estimate(stats: DataFrame, trims: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Pages of each document in each trim (columns trim, words_per_page, page_cap; a dimension of a few rows) against its cap."""
-    each = stats.join(F.broadcast(trims))
+    each = stats.select("*", F.inline(as_array(trims, "trim", "words_per_page", "page_cap")))
     pages = tx.js_round(F.col("words") / F.col("words_per_page")).cast("long")
     return each.select(id_col, "trim", "words", pages.alias("pages"), F.when(pages > F.col("page_cap"), "block").when(pages > 0.9 * F.col("page_cap"), "warn").otherwise("ok").alias("verdict"))
 
 
 def range_guidance(stats: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Range (columns kind, low, high; a few rows) that holds each document's words."""
-    hit = (F.col("words") >= F.col("low")) & (F.col("words") < F.col("high"))
-    return stats.join(F.broadcast(ranges), hit, "left").select(id_col, "words", F.coalesce("kind", F.lit("outside")).alias("kind"))
+    hits = F.filter(as_array(ranges, "kind", "low", "high"), lambda r: (F.col("words") >= r["low"]) & (F.col("words") < r["high"]))
+    kinds = F.when(F.size(hits) > 0, F.transform(hits, lambda r: r["kind"])).otherwise(F.array(F.lit("outside")))
+    return stats.select(id_col, "words", F.explode(kinds).alias("kind"))
 
 
 def tail_words(df: DataFrame, part: str, order: str, text_col: str = "text", n: int = 200) -> DataFrame:
@@ -155,6 +157,6 @@ def voice_markers(df: DataFrame, fixtures: DataFrame, id_col: str = "doc_id", te
     fixtures (a few rows): fixture_id, required array, forbidden array, min_markers, max_forbidden.
     """
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    each = df.join(F.broadcast(fixtures))
+    each = df.select(id_col, F.col(text_col), F.inline(as_array(fixtures, "fixture_id", "required", "forbidden", "min_markers", "max_forbidden")))
     present = lambda c: F.size(F.filter(c, lambda p: F.contains(low, F.lower(p)))).cast("long")
     return each.select(id_col, "fixture_id", present("required").alias("hits"), present("forbidden").alias("forbidden_hits"), ((present("required") >= F.col("min_markers")) & (present("forbidden") <= F.col("max_forbidden"))).alias("passed"))

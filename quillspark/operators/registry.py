@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.dimension import as_array
 from quillspark.functions.text import slug
 
 
@@ -40,7 +41,7 @@ def expand_profiles(profiles: DataFrame, commands: DataFrame, most: int = 16) ->
     """
     own = profiles.select("profile", F.explode("commands").alias("command"))
     by_category = profiles.select("profile", F.explode("categories").alias("category")).join(commands.select(F.col("name").alias("command"), "category"), "category").select("profile", "command")
-    everything = profiles.filter("all").select("profile").join(F.broadcast(commands.select(F.col("name").alias("command"))))
+    everything = profiles.filter("all").select("profile", F.inline(as_array(commands.select(F.col("name").alias("command")))))
     direct = own.unionByName(by_category).unionByName(everything).distinct()
     edges = profiles.select("profile", F.explode("includes").alias("inner"))
     reach = profiles.select("profile", F.col("profile").alias("inner"))
@@ -66,7 +67,7 @@ def resolve_surfaces(works: DataFrame, base: DataFrame, overrides: DataFrame, na
 
 def availability(expected: DataFrame, runtimes: DataFrame, found: DataFrame) -> DataFrame:
     """Per runtime: how many expected items (column name; short) are there or missing (found: runtime, name), and the status."""
-    grid = runtimes.select("runtime").distinct().join(F.broadcast(expected.select("name").distinct()))
+    grid = runtimes.select("runtime").distinct().select("runtime", F.inline(as_array(expected.select("name").distinct())))
     have = found.select("runtime", "name", F.lit(True).alias("_have")).distinct()
     g = grid.join(have, ["runtime", "name"], "left").groupBy("runtime").agg(F.count("*").alias("expected"), F.count("_have").alias("present"), F.array_sort(F.collect_list(F.when(F.col("_have").isNull(), F.col("name")))).alias("missing"))
     return g.withColumn("status", F.when(F.size("missing") == 0, "ready").when(F.col("present") > 0, "partial").otherwise("missing"))
@@ -130,7 +131,6 @@ def next_commands_contract(text: Column) -> Column:
 
 def match_command(df: DataFrame, request: str, keywords: DataFrame) -> DataFrame:
     """First keyword (keywords: priority, keyword, hub; a short table) that a request holds decides its hub."""
-    hit = F.contains(F.lower(F.col(request)), F.lower("keyword"))
-    each = df.join(F.broadcast(keywords), hit, "left")
-    keys = df.columns
-    return each.groupBy(*keys).agg(F.min_by("hub", "priority").alias("hub"))
+    listed = F.array_sort(as_array(keywords, "priority", "keyword", "hub"))
+    first = F.get(F.filter(listed, lambda k: F.contains(F.lower(F.col(request)), F.lower(k["keyword"]))), F.lit(0))
+    return df.withColumn("hub", first["hub"])

@@ -22,9 +22,9 @@ def thread_matrix(df: DataFrame, thread: str, unit: str, units: list) -> DataFra
 def thread_shape(df: DataFrame, thread: str, unit: str) -> DataFrame:
     """Units per thread, strength (5 and more, 2 to 4, 1), whether it dangles and whether it reaches the last unit."""
     g = df.groupBy(thread).agg(F.count_distinct(unit).alias("units"), F.min(unit).alias("first"), F.max(unit).alias("last"))
-    end = df.agg(F.max(unit).alias("_end"))
+    end = df.agg(F.max(unit)).first()[0]
     strength = F.when(F.col("units") >= 5, "dominant").when(F.col("units") >= 2, "recurring").otherwise("single")
-    return g.join(F.broadcast(end)).withColumns({"strength": strength, "dangling": F.col("units") <= 2, "reaches_end": F.col("last") == F.col("_end")}).drop("_end")
+    return g.withColumns({"strength": strength, "dangling": F.col("units") <= 2, "reaches_end": F.col("last") == F.lit(end)})
 
 
 def convergence(df: DataFrame, thread: str, unit: str) -> DataFrame:
