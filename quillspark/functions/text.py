@@ -11,6 +11,11 @@ from quillspark.functions import rules
 SPACE = r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once; written out in a lambda it would be worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_class(ranges: list[tuple[int, int]]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 

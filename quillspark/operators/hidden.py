@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
-from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, unicode_class, utf16_length
+from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, let, unicode_class, utf16_length
 
 
 def _matches(char: Column, pattern: str) -> Column:
@@ -28,11 +28,13 @@ def _kept_in_context(chars: Column, at: Column, cp: Column) -> Column:
 
 def hits(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
     """Array of (at, cp) of the targeted characters of a text that no context protects; at counts code points from 0."""
-    chars = F.split(text, "")
     wanted = [r for _, _, rs in rules.UNICODE_CLASSES for r in rs] if ranges is None else ranges
-    found = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("at"), F.ascii(c).alias("cp"))), lambda h: in_ranges(h["cp"], wanted))
-    loose = F.filter(found, lambda h: ~((h["cp"] == 0xFEFF) & (h["at"] == 0)) & ~_kept_in_context(chars, h["at"], h["cp"]))
-    return F.when(text.rlike(char_class(wanted)), loose).otherwise(F.expr("array()").cast("array<struct<at:int,cp:int>>"))
+
+    def loose(chars: Column) -> Column:
+        found = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("at"), F.ascii(c).alias("cp"))), lambda h: in_ranges(h["cp"], wanted))
+        return F.filter(found, lambda h: ~((h["cp"] == 0xFEFF) & (h["at"] == 0)) & ~_kept_in_context(chars, h["at"], h["cp"]))
+
+    return F.when(text.rlike(char_class(wanted)), let(F.split(text, ""), loose)).otherwise(F.expr("array()").cast("array<struct<at:int,cp:int>>"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,10 +56,14 @@ def clean(text: Column) -> Column:
     Contexts are those of the uncleaned text. Each removed character is one that the scan counts, so the budget of the
     evidence (as many removals per code point as were found) is met exactly.
     """
-    chars = F.split(text, "")
-    gone = F.transform(hits(text, rules.REMOVABLE), lambda h: h["at"])
-    kept = F.transform(F.filter(F.transform(chars, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~(in_ranges(F.ascii(x["c"]), rules.REMOVABLE) & F.array_contains(gone, x["i"]))), lambda x: x["c"])
-    return F.when(text.rlike(char_class(rules.REMOVABLE)), F.array_join(kept, "")).otherwise(text)
+    def kept(chars: Column) -> Column:
+        def gone(c, i):
+            cp = F.ascii(c)
+            return in_ranges(cp, rules.REMOVABLE) & ~((cp == 0xFEFF) & (i == 0)) & ~_kept_in_context(chars, i, cp)
+
+        return F.array_join(F.transform(chars, lambda c, i: F.when(gone(c, i), F.lit("")).otherwise(c)), "")
+
+    return F.when(text.rlike(char_class(rules.REMOVABLE)), let(F.split(text, ""), kept)).otherwise(text)
 
 
 def removed_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
