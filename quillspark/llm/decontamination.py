@@ -40,13 +40,17 @@ def _shingles(of: Column) -> Column:
     return F.when(F.size(of) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(of) - (SHINGLE - 1))), lambda i: F.array_join(F.slice(of, i, SHINGLE), " "))).otherwise(F.array(F.array_join(of, " ")))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that is worked out once per row: the optimizer copies plain columns into the lambdas that use them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_fingerprint(df: DataFrame, of: str) -> DataFrame:
     """fp: 64-bit SimHash of the words in column of; bit k is 1 if it is set in over half the hashes."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    places = F.sequence(F.lit(0), F.lit(63))
-    counts = F.transform(places, lambda k: F.aggregate("_h", F.lit(0), lambda n, h: n + F.call_function("shiftright", h, k).bitwiseAND(one).cast("int")))
-    whole = F.aggregate(places, none, lambda n, k: n.bitwiseOR(F.when(F.element_at("_n", k + 1) * 2 > F.size("_h"), F.call_function("shiftleft", one, k)).otherwise(none)))
-    return df.withColumn("_h", F.transform(of, lambda w: F.xxhash64(w))).withColumn("_n", counts).withColumn("fp", whole).drop("_h", "_n")
+    in_bit = lambda k: F.aggregate("_h", F.lit(0), lambda n, h: n + F.call_function("shiftright", h, k).bitwiseAND(one).cast("int"))
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda n, k: n.bitwiseOR(F.when(in_bit(k) * 2 > F.size("_h"), F.call_function("shiftleft", one, k)).otherwise(none)))
+    return _once(df, "_h", F.transform(of, lambda w: F.xxhash64(w))).withColumn("fp", whole).drop("_h")
 
 
 def _blocks(df: DataFrame, radius: int) -> DataFrame:
@@ -77,7 +81,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radiu
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, similarity double")
     places = found.distinct().withColumnRenamed("doc_id", "_d")
     held = texts.join(places.groupBy("_d").agg(F.collect_list(F.struct("start", "n")).alias("_at")), F.col("doc_id").eqNullSafe(F.col("_d")))  # at most one place per shared shingle
-    cut_out = held.select("doc_id", words(F.col("text")).alias("w"), "_at").select("doc_id", F.explode(F.transform("_at", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.slice("w", F.greatest(F.lit(1), p["start"] + 1), F.greatest(F.lit(0), p["n"] + F.least(F.lit(0), p["start"]))).alias("w")))).alias("x")).select("doc_id", "x.*")
+    cut_out = _once(held.select("doc_id", "text", "_at"), "w", words(F.col("text"))).select("doc_id", F.explode(F.transform("_at", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.slice("w", F.greatest(F.lit(1), p["start"] + 1), F.greatest(F.lit(0), p["n"] + F.least(F.lit(0), p["start"]))).alias("w")))).alias("x")).select("doc_id", "x.*")
     windows = _blocks(with_fingerprint(cut_out.filter(F.size("w") > 0), "w"), radius)
     df = bench.select("item_id", F.explode(F.array_distinct(_shingles(F.col("i_words")))).alias("s"))
     weights = df.groupBy("s").agg((1.0 / F.count("*")).alias("weight"))
@@ -90,7 +94,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radiu
     masks = F.array(*(F.lit(((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0)).cast("long") for a, b in zip(cuts, cuts[1:])))
     once = candidates.withColumn("_masks", masks).filter(first)  # a pair that agrees on several blocks counts at the first
     a, b = F.col("_w"), F.col("_i")
-    listed = once.withColumns({"_w": _shingles(F.col("w")), "_i": _shingles(F.col("i_words"))})
+    listed = _once(_once(once, "_w", _shingles(F.col("w"))), "_i", _shingles(F.col("i_words")))
     zero = F.lit(0.0)
     both = F.aggregate("weights", zero, lambda n, s: n + s["weight"] * F.least(_count(a, s["s"]), _count(b, s["s"])))
     either = F.aggregate("weights", zero, lambda n, s: n + s["weight"] * F.greatest(_count(a, s["s"]), _count(b, s["s"]))) + F.size(F.filter(a, lambda s: ~F.array_contains(b, s)))
