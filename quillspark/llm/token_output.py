@@ -263,7 +263,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files that the manifest names."""
-    return manifest.select("path", "start").repartition("path").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = max(1, manifest.count())  # a number of its own, else the few small rows would be put into one task
+    return manifest.select("path", "start").repartition(shards, "path").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
