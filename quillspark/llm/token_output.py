@@ -44,7 +44,7 @@ END_ID = 2
 FRAME_BYTES = 256 << 10
 LEVEL = 3
 #: Pieces, and parts of pieces, that a worker keeps encoded before it begins anew.
-CACHE = 400_000
+CACHE = 1_000_000
 #: The pre-tokens and the byte alphabet of byte-level BPE, as published with it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
