@@ -31,10 +31,11 @@ JOINING = "[" + "".join(f"\\p{{Is{s}}}" for s in rules.JOINING_SCRIPTS) + "]"
 
 
 def in_ranges(cp: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a code point is in one of the ranges; one comparison decides for most letters."""
     found = F.lit(False)
     for a, b in ranges:
         found = found | ((cp >= a) & (cp <= b))
-    return found
+    return (cp >= min(a for a, _ in ranges)) & found
 
 
 def unicode_class(cp: Column) -> Column:

@@ -31,7 +31,8 @@ def hits(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
     wanted = [r for _, _, rs in rules.UNICODE_CLASSES for r in rs] if ranges is None else ranges
 
     def loose(chars: Column) -> Column:
-        found = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("at"), F.ascii(c).alias("cp"))), lambda h: in_ranges(h["cp"], wanted))
+        places = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: in_ranges(F.ascii(F.get(chars, i)), wanted))
+        found = F.transform(places, lambda i: F.struct(i.alias("at"), F.ascii(F.get(chars, i)).alias("cp")))
         return F.filter(found, lambda h: ~((h["cp"] == 0xFEFF) & (h["at"] == 0)) & ~_kept_in_context(chars, h["at"], h["cp"]))
 
     return F.when(text.rlike(char_class(wanted)), let(F.split(text, ""), loose)).otherwise(F.expr("array()").cast("array<struct<at:int,cp:int>>"))
