@@ -164,7 +164,8 @@ def _hubs(masks: list[int], radius: int):
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints (column fp) within the radius."""
     masks = covering_masks(radius, seed)
-    keyed = distinct.select("fp").mapInArrow(_keys(masks), "tab int, key long, fp long")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: few bytes come in, many rows go out
+    keyed = distinct.select("fp").repartition(parts, "fp").mapInArrow(_keys(masks), "tab int, key long, fp long")
     sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1")
     large = cut(sizes.filter(F.col("n") > bucket), "simhash-large")
     blocks = keyed.join(large.select("tab", "key"), ["tab", "key"], "left_anti").groupBy("tab", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
