@@ -1,6 +1,16 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
 from quillspark.llm import decontamination, exact_dedup, license_scan, line_dedup, mixing, quality_crf, sharding, simhash, token_output, url_filters
+from quillspark.llm.shared import carry_modules
+
+
+def _carried(query):
+    def run(spark, sf_dir):
+        carry_modules(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -14,6 +24,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_license_scan": license_scan.query,
 }
+QUERIES = {name: _carried(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
     "op1_sharding": sharding.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,

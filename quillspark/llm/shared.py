@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def carry_modules(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever folder the driver was started in.
+
+    It is one more entry on their path; a cluster that installs the package or sets PYTHONPATH does not need it.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in [*paths, root] if p)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
