@@ -79,8 +79,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     parts = laid.filter("size > 0").select("sid", "_start", "size", F.explode(F.expr(f"sequence(_start div {block}, (_start + size - 1) div {block})")).alias("block"))
     used = schedule(targets, block).groupBy("sid", "block").agg(F.collect_list("words").alias("_words"))  # a block is used limit times at most
     give = F.expr(f"aggregate(_words, 0L, (n, w) -> n + greatest(0L, least(_start + size, block * {block} + w) - greatest(_start, block * {block})))")
-    taken = parts.join(used, ["sid", "block"]).groupBy("sid", "_start").agg(F.sum(give).alias("_taken"))
-    out = laid.join(taken.withColumn("_wordy", F.lit(True)), (laid["sid"] == taken["sid"]) & (laid["_start"] == taken["_start"]) & (F.col("size") > 0), "left")
+    # Unrolled rows are planned as if they were as few as the rows that they come from; without the hints they would be broadcast.
+    taken = parts.join(used.hint("merge"), ["sid", "block"]).groupBy("sid", "_start").agg(F.sum(give).alias("_taken"))
+    out = laid.join(taken.hint("merge"), (laid["sid"] == taken["sid"]) & (laid["_start"] == taken["_start"]) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -62,6 +62,6 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], su
     totals = df.groupBy(*at).agg(*(F.sum(c).alias(f"_t_{new}") for new, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*(F.col(c).alias(f"_k_{c}") for c in at), *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums))
-    joined = df.join(offsets, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in at]).drop(*(f"_k_{c}" for c in at))
+    joined = df.join(offsets.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in at]).drop(*(f"_k_{c}" for c in at))
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumns({new: F.col(f"_o_{new}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for new, c in sums.items()}).drop(*(f"_o_{new}" for new in sums))
