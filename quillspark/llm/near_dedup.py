@@ -3,10 +3,14 @@
 1. Texts that are equal but for letter case (A-Z) and white space are one (the smallest doc_id stands for them).
 2. The distinct texts' fingerprints over distinct words (simhash.distinct_words) are linked by covering LSH at RADIUS bits:
    a similarity of 0.8 over five-word shingles leaves nearly all words in common, which moves few of these bits.
-3. Inside a component texts are linked at a Jaccard similarity of at least THRESHOLD over distinct five-word shingles: each
-   is compared with all leaders, and with the others where no leader is near. Components of over CHUNK texts are dealt to
-   chunks, and the leaders that are left are dealt anew and linked the same way, up to TURNS times, so no task gets more than
-   about a chunk. (A component with over CHUNK texts of which no two are similar ends after the last turn.)
+3. Inside a component texts are linked at a Jaccard similarity of at least THRESHOLD over distinct five-word shingles, each
+   with the leaders of its component, components of over CHUNK texts by chunks. This only spares the next step work.
+4. Every pair of the whole table at THRESHOLD or more that is not yet in one set is found by prefix filtering and linked, so
+   neither the radius nor chunks nor leaders lose a link. With shingles in one order for all texts (rare before common, see
+   _common; any order is right), two texts of n and m >= n shingles that reach the threshold share ceil(THRESHOLD m) of
+   them, so COMMON of these (all, if they are fewer) lie among the first n - ceil(THRESHOLD n) + COMMON of the one and
+   the same of the other. Such pairs are compared, first those with a hub of each
+   shingle (they join large groups in few comparisons), then all between sets that are still apart.
 Of each linked group the smallest doc_id stays.
 
 Defined results: null and empty texts are equal to each other; rows of one doc_id stay or go together; null ids come last;
@@ -16,18 +20,23 @@ an empty table gives an empty result; all columns of docs are given back.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
 from quillspark.llm.shared import cut
 from quillspark.llm.simhash import _signed, distinct_words, fingerprint, links, shingle_hashes, texts_of
 
-RADIUS, SHINGLE, THRESHOLD, CHUNK, TURNS = 5, 5, 0.8, 1000, 6
+RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, 1000
+#: Shared shingles of two prefixes that make a candidate; postings of a shingle in one task of the join.
+COMMON, POSTINGS = 4, 10_000
+#: For the order of shingles alone: one in SAMPLE texts is looked at, shingles of LEAST of them are common, MOST are told apart.
+SAMPLE, LEAST, MOST = 16, 4, 100_000
 
 
 def digest(text: bytes) -> bytes:
@@ -63,12 +72,12 @@ def cluster(rows: list[tuple[bytes, np.ndarray]], threshold: float) -> list[tupl
             leader[k] = k = leader[leader[k]]
         return k
 
+    heads = []
     for k, (_, own) in enumerate(rows):
-        heads = [j for j in range(k) if leader[j] == j]
-        near = [j for j in heads if similar(rows[j][1], own, threshold)] or [j for j in range(k) if leader[j] != j and similar(rows[j][1], own, threshold)]
-        for j in near:
+        for j in [j for j in heads if similar(rows[j][1], own, threshold)]:
             a, b = sorted((top(j), top(k)))
             leader[b] = a
+        heads = [j for j in [*heads, k] if leader[j] == j]
     return [(d, rows[top(k)][0]) for k, (d, _) in enumerate(rows)]
 
 
@@ -95,30 +104,130 @@ def _clusters(threshold: float):
     return run
 
 
-def _linked(docs: DataFrame, reps: DataFrame, threshold: float, chunk: int, turn: int) -> DataFrame:
-    """(digest, leader) of reps (digest, doc_id, root), each root's reps in chunks, dealt anew each turn."""
+def _linked(docs: DataFrame, reps: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """(digest, leader) of reps (digest, doc_id, root), each root's reps in chunks."""
     sizes = reps.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = reps.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(turn)), F.ceil(F.col("n") / chunk))).select("root", "chunk", "digest", F.col("doc_id").alias("_id"))
+    dealt = reps.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / chunk))).select("root", "chunk", "digest", F.col("doc_id").alias("_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("_id")))
     ordered = texts.repartition("root", "chunk").sortWithinPartitions("root", "chunk", F.col("doc_id").asc_nulls_last())
     return ordered.select("root", "chunk", "digest", "text").mapInArrow(_clusters(threshold), "digest binary, leader binary")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(shingle_hashes(t.lower().split(), SHINGLE)) for t in texts_of(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+
+def _common(texts: DataFrame, sample: int = SAMPLE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their counts in a sample of the texts. They only say which shingles come last in the order."""
+    some = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(sample)) == 0).select("text").mapInArrow(_shingles, "shingle long")
+    rows = some.groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).collect()
+    shingle, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def needed(n: int, threshold: float) -> int:
+    """The shingles that a text of n shares at least with each text that reaches the threshold."""
+    return math.ceil(threshold * n - 1e-9)
+
+
+def prefix(own: np.ndarray, threshold: float, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first of these sorted distinct shingles in the order of all texts."""
+    n = len(own)
+    if not n:
+        return own
+    rank = np.zeros(n, np.int64)
+    if len(shingle):
+        at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
+        rank = np.where(shingle[at] == own, count[at], 0)
+    least = needed(n, threshold)
+    return own[np.argsort(rank, kind="stable")][: n - least + min(COMMON, least)]
+
+
+def _postings(threshold: float, shingle: np.ndarray, count: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (digest, text)."""
+        for batch in batches:
+            tokens, owners, sizes = [np.empty(0, np.uint64)], [], []
+            for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                if digest(t) == d:
+                    own = np.unique(shingle_hashes(t.lower().split(), SHINGLE))
+                    tokens.append(prefix(own, threshold, shingle, count))
+                    owners += [d] * len(tokens[-1])
+                    sizes += [len(own)] * len(tokens[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(owners, pa.binary()), pa.array(sizes, pa.int32())], ["shingle", "digest", "size"])
+
+    return run
+
+
+def _verified(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (digest a, digest b, text a, text b)."""
+        for batch in batches:
+            seen, found = {}, []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3))):
+                for d, t in ((a, x), (b, y)):
+                    if d not in seen and digest(t) == d:
+                        seen[d] = np.unique(shingle_hashes(t.lower().split(), SHINGLE))
+                if a in seen and b in seen and similar(seen[a], seen[b], threshold):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ra, rb): pairs of different roots that share enough of postings (shingle, digest, size, root)."""
+    sizes = postings.groupBy("shingle").agg(F.ceil(F.count("*") / POSTINGS).alias("parts"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    dealt = cut(postings.join(sizes.select("shingle", "parts"), "shingle"), "near-postings")
+    left = dealt.select("shingle", F.pmod(F.xxhash64("digest"), "parts").alias("part"), F.col("digest").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    right = dealt.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    near = left.join(right, ["shingle", "part"]).filter("ra < rb").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    counted = near.groupBy("a", "b", "ra", "rb").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return counted.filter(F.col("n") >= F.least(F.lit(COMMON), F.ceil(threshold * F.least("na", "nb") - 1e-9))).select("a", "b", "ra", "rb")
+
+
+def _starred(postings: DataFrame, threshold: float, hub) -> DataFrame:
+    """(a, b, ra, rb): each text with the least or greatest of its shingles' texts, in proportion to the postings."""
+    hubs = postings.groupBy("shingle").agg(hub(F.struct("digest", "size", "root")).alias("h")).select("shingle", "h.*").toDF("shingle", "a", "na", "ra")
+    near = postings.join(hubs, "shingle").filter("root <> ra").filter(F.least("na", "size") >= threshold * F.greatest("na", "size") - 1e-9)
+    counted = near.groupBy("a", F.col("digest").alias("b"), "ra", F.col("root").alias("rb")).agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("size").alias("nb"))
+    return counted.filter(F.col("n") >= F.least(F.lit(COMMON), F.ceil(threshold * F.least("na", "nb") - 1e-9))).select("a", "b", "ra", "rb")
+
+
+def _joined(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """sets (digest, root) with the sets joined between which any two texts reach the threshold."""
+    postings = texts.mapInArrow(_postings(threshold, *_common(texts)), "shingle long, digest binary, size int")
+    shared = postings.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n")
+    shared = cut(shared, "near-shared")
+    for hub in (F.min, F.max, None):  # each step tests only between sets that are still apart
+        rooted = shared.join(sets, "digest")
+        pairs = cut(_starred(rooted, threshold, hub) if hub else _candidates(rooted, threshold), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        some = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+        held = cut(texts.join(some, "digest", "left_semi"), "near-held")
+        both = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("y")), "b")
+        found = cut(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a binary, b binary"), "near-verified")
+        edges = found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        roots = components(edges, "near-sets").withColumnRenamed("root", "_root")
+        sets = cut(sets.join(roots, F.col("root") == F.col("node"), "left").select("digest", F.coalesce("_root", "root").alias("root")), "near-roots")
+    return sets
+
+
 def near_dedup(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """The rows of docs that stay."""
     prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, digest binary, fp long"), "near-prints")
     reps = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "near-texts")
     roots = components(links(reps.select("fp").distinct(), radius), "near-links")
     rooted = reps.join(roots, F.col("fp") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "fp").alias("root"))
-    gone, left = None, rooted
-    for turn in range(TURNS):
-        found = cut(_linked(docs, left, threshold, chunk, turn), "near-chunks")
-        lost = found.filter("digest <> leader").select("digest")
-        gone = lost if gone is None else gone.unionByName(lost)
-        large = left.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("root")
-        if large.isEmpty():  # all that is left of each component was in one chunk
-            break
-        left = cut(left.join(large, "root").join(lost, "digest", "left_anti"), "near-leaders")
-    stays = reps.join(gone, "digest", "left_anti").select(F.col("doc_id").alias("_stay")).distinct()
+    found = cut(_linked(docs, rooted, threshold, chunk), "near-chunks")
+    sets = cut(reps.select("digest").join(found, "digest", "left").select("digest", F.coalesce("leader", "digest").alias("root")), "near-leaders")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(reps.select("digest", "doc_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "text")
+    joined = _joined(texts, sets, threshold).join(reps.select("digest", "doc_id"), "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    stays = joined.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_stay")).distinct()
     out = prints.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias("_gone"))
     return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

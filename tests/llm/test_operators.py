@@ -206,6 +206,50 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def groups_by_force(rows, threshold=0.8):
+    """The smallest id of each connected group of rows (id, text) over distinct five-word shingles, and all pairs that reach the threshold."""
+    sets = [(k, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for k, t in rows for w in [t.lower().split()]]
+    root, pairs = {k: k for k, _ in sets}, []
+
+    def top(k):
+        return k if root[k] == k else top(root[k])
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if len(x & y) >= threshold * len(x | y):
+                pairs.append((a, b))
+                a2, b2 = sorted((top(a), top(b)))
+                root[b2] = a2
+    return sorted({top(k) for k in root}), pairs
+
+
+def near_copies(seed, n=25):
+    """Texts and copies of them near a similarity of 0.8: with foreign and cut tails, foreign blocks, and scattered words."""
+    dice, rows = random.Random(seed), []
+    vocabulary = ["".join(dice.choice("abcdefghij") for _ in range(dice.randrange(3, 11))) for _ in range(3000)]
+    some = lambda k: [dice.choice(vocabulary) for _ in range(k)]
+    for k in range(n):
+        size = dice.choice([8, 30, 60, 200, 500])
+        own = some(size)
+        part = max(1, int(size * dice.uniform(0.03, 0.13)))
+        at = dice.randrange(size - part)
+        scattered = list(own)
+        for _ in range(max(1, size // 50)):
+            scattered[dice.randrange(size)] = dice.choice(vocabulary)
+        for j, words in enumerate([own, own[:-part] + some(part), own[: -2 * part], own + some(2 * part), own[:at] + some(part) + own[at + part :], scattered]):
+            rows.append((10 * k + j, " ".join(words)))
+    return rows
+
+
+def test_near_dedup_finds_every_block_edit(spark):
+    rows = near_copies(11)
+    kept, pairs = groups_by_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    far = [(a, b) for a, b in pairs if (simhash.fingerprint(simhash.distinct_words(dict(rows)[a].encode())) ^ simhash.fingerprint(simhash.distinct_words(dict(rows)[b].encode()))).bit_count() > near_dedup.RADIUS]
+    assert len(far) > 20
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(df).collect()) == kept
+
+
 def test_crf_marginals_by_force():
     dice = np.random.default_rng(1)
     counts = np.array([1, 4, 3, 1, 5])
