@@ -250,6 +250,19 @@ def test_near_dedup_finds_every_block_edit(spark):
     assert sorted(r.doc_id for r in near_dedup.near_dedup(df).collect()) == kept
 
 
+def test_near_dedup_of_many_chunks(spark):
+    """One component of 120 texts of the same words in other orders, each with one copy: 60 chunks of leaders."""
+    dice, rows = random.Random(12), []
+    vocabulary = ["".join(dice.choice("abcdefghij") for _ in range(8)) for _ in range(60)]
+    for k in range(60):
+        words = [*vocabulary, *vocabulary]
+        dice.shuffle(words)
+        rows += [(k, " ".join(words)), (100 + k, " ".join(words + vocabulary[:3]))]
+    kept, pairs = groups_by_force(rows)
+    assert kept == list(range(60)) and len({simhash.fingerprint(simhash.distinct_words(t.encode())) for _, t in rows}) == 1
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk=2).collect()) == kept
+
+
 def test_crf_marginals_by_force():
     dice = np.random.default_rng(1)
     counts = np.array([1, 4, 3, 1, 5])
