@@ -263,6 +263,19 @@ def test_near_dedup_of_many_chunks(spark):
     assert sorted(r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk=2).collect()) == kept
 
 
+def test_near_dedup_links_texts_that_do_not_lead(spark):
+    """0 and 1 lead, 2 joins 0, and 3 is similar to 1 and 2 but not to 0: one group. 10 to 13 are alike in other words."""
+    dice, rows = random.Random(13), []
+    for first in (0, 10):
+        vocabulary = ["".join(dice.choice("abcdefghij") for _ in range(8)) for _ in range(40)]
+        words = [dice.choice(vocabulary) for _ in range(600)]
+        rows += [(first + k, " ".join(words[at : at + 400])) for k, at in enumerate((0, 108, 36, 72))]
+    kept, pairs = groups_by_force(rows)
+    assert kept == [0, 10] and sorted(pairs)[:3] == [(2, 0), (3, 1), (3, 2)]
+    for chunk in (1000, 2):
+        assert sorted(r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()) == kept
+
+
 def test_crf_marginals_by_force():
     dice = np.random.default_rng(1)
     counts = np.array([1, 4, 3, 1, 5])
