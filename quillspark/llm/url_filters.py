@@ -3,8 +3,8 @@
 Rules (host, path, verdict) fit a host and its subdomains where the path begins with the rule's; the longest wins. Urls
 that no rule fits are judged by boosted trees, trained on labelled urls (without others given: those that the rules
 decide), a bounded sample of SAMPLE rows by the md5 of their id. Features: length, host labels, path depth, digit ratio,
-character entropy, parameters, hyphens, and of the host's last label the smoothed share of blocked urls and the frequency
-in the sample. All of it is DataFrame functions and Spark's own tree learner; no Python runs on executors.
+character entropy, parameters, hyphens, and of the host's last label the smoothed share of blocked urls among all labelled
+ones and the frequency among all pages; only the fitting uses the sample. All of it is DataFrame functions and Spark's own tree learner; no Python runs on executors.
 
 Defined results: a null url, and one without ://, has an empty host and path, no rule, and features of an empty text;
 without labels of both kinds the trees' verdict is the only label, or allow; rows that repeat are judged alike; an empty
@@ -57,6 +57,15 @@ def _lexical(df: DataFrame) -> DataFrame:
     })
 
 
+def _suffixes(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, float]:
+    """_suffix, f_suffix_rate of all labelled urls, f_suffix_share of all pages; and the share of blocked urls."""
+    n = rows.count()
+    prior = known.agg(F.avg("label")).first()[0]
+    rates = known.groupBy("_suffix").agg(((F.sum("label") + prior * 10) / (F.count("*") + 10)).alias("f_suffix_rate"))
+    shares = rows.groupBy("_suffix").agg((F.count("*") / max(n, 1)).alias("f_suffix_share"))
+    return shares.join(rates, "_suffix", "full"), prior
+
+
 def _with_suffixes(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
     return df.join(suffixes, "_suffix", "left").fillna({"f_suffix_rate": prior, "f_suffix_share": 0.0})
 
@@ -82,8 +91,7 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, samp
         other = "block" if seen.get(1.0) else "allow"
         judged = ruled.withColumn("p_block", F.lit(1.0 if other == "block" else 0.0))
     else:
-        n, prior = sum(seen.values()), seen[1.0] / sum(seen.values())
-        suffixes = taken.groupBy("_suffix").agg(((F.sum("label") + prior * 10) / (F.count("*") + 10)).alias("f_suffix_rate"), (F.count("*") / n).alias("f_suffix_share"))
+        suffixes, prior = _suffixes(_lexical(rows), _lexical(known))
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="_x", handleInvalid="keep")
         model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=20, maxDepth=4, seed=7).fit(assembler.transform(_with_suffixes(taken, suffixes, prior)).select("_x", "label"))
         rest = _with_suffixes(_lexical(ruled), suffixes, prior)

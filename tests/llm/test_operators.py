@@ -504,6 +504,18 @@ def test_squeeze():
         assert exact_dedup.squeeze(t.encode()).decode() == re.sub(r"[\x20\x09-\x0d]+", " ", t)
 
 
+def test_url_suffix_statistics_cover_all_rows(spark, monkeypatch):
+    urls = [f"http://a{k}.com/{'fr' if k % 3 else 'de'}/" for k in range(30)] + [f"http://b{k}.net/x" for k in range(60)] + ["http://c.org/", None]
+    seen, join = [], url_filters._with_suffixes
+    monkeypatch.setattr(url_filters, "_with_suffixes", lambda df, suffixes, prior: seen.append((suffixes, prior)) or join(df, suffixes, prior))
+    url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), sample=12).count()
+    suffixes, prior = seen[0]
+    got = {r._suffix: r for r in suffixes.collect()}
+    assert prior == pytest.approx(10 / 31)
+    assert {k: r.f_suffix_share for k, r in got.items()} == pytest.approx({"com": 30 / 92, "net": 60 / 92, "org": 1 / 92, "": 1 / 92})
+    assert got["com"].f_suffix_rate == pytest.approx((10 + 10 * prior) / 40) and got["net"].f_suffix_rate is None
+
+
 def test_license_scan(spark, docs, none):
     mit = license_scan.TEMPLATES[2][1]
     texts = [
