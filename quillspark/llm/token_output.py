@@ -69,7 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.model._resize_cache(0)  # each part reaches the model once
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
@@ -99,7 +99,7 @@ class Encoder:
         if len(self.pieces) > CACHE or len(self.known) > CACHE:
             self.pieces.clear()
             self.known.clear()
-        split = [t.split(" ") for t in texts]
+        split = [[t[:1].strip(), ""] if any(m in t for m in self.marks) else t.split(" ") for t in texts]  # a special token: whole
         heads = [s[0] for s in split]
         for s in split:
             s[0] = s[-1]  # the head has no space before it

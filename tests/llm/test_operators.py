@@ -32,7 +32,7 @@ def corpus(n=120, seed=5):
             words[len(words) // 2] = "changed"
             text = " ".join(words)
         rows.append((k, text, f"s{k % 4}" if k % 9 else None, k, "x", "y"))
-    rows += [(n, None, "s1", 1, None, None), (n + 1, "", None, 1, None, None), (n + 2, " \t\n ", "s2", 1, None, None), (n + 3, "word " * 30000, "s0", 1, None, None), (None, "no id here at all", "s1", 1, None, None), (7, rows[7][1], rows[7][2], 7, "x", "y")]
+    rows += [(n, None, "s1", 1, None, None), (n + 1, "", None, 1, None, None), (n + 2, " \t\n ", "s2", 1, None, None), (n + 3, "word " * 30000, "s0", 1, None, None), (n + 4, "hello <|endoftext|> world", "s0", 1, None, None), (n + 5, "ab" * 40000, "s0", 1, None, None), (None, "no id here at all", "s1", 1, None, None), (7, rows[7][1], rows[7][2], 7, "x", "y")]
     return rows
 
 
@@ -322,7 +322,6 @@ def test_token_output(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_output.default_tokenizer())
-    tok.encode_special_tokens = True
     manifest = token_output.write_tokens(docs)
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens, r.ids_crc32) for r in token_output.read_digests(manifest).collect())
     want, start = [], 0
@@ -338,9 +337,10 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_output.default_tokenizer())
-    tok.encode_special_tokens = True
-    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\u00a0 b", "x\u3000y", "<|endoftext|> a", "it's 've we've", "ab\n cd", "a\tb c", "\n a b", "1 2 3 !!", "é 你好 \u200b k", "a b\n", "q\x1fr s", "🙂 ok 👩‍💻"]
-    assert [np.frombuffer(b, "<u2").tolist() for b in token_output.Encoder(token_output.default_tokenizer()).encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\u00a0 b", "x\u3000y", "<|endoftext|> a", "it's 've we've", "ab\n cd", "a\tb c", "\n a b", "1 2 3 !!", "é 你好 \u200b k", "a b\n", "q\x1fr s", "hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|>\n y", "\u180e a\u180e b", "\x00a b\x00 c", "x" * 5000 + " y" * 3, "🙂 ok 👩‍💻"]
+    code = token_output.Encoder(token_output.default_tokenizer())
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u2").tolist() for b in code.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_shards_give_single_documents_and_find_damage():
