@@ -13,9 +13,10 @@ and the manifest, with one row per shard, names the files of the attempts that s
 file that no manifest names. Files are written and read by the folder's own file system, local or remote.
 
 Encoding a text piece by piece: between two non-space characters a single space begins a new pre-token in byte-level
-BPE, so the pieces of a text that is split there are encoded apart: their pre-tokens go to the library's model, and what
-was seen before is taken from a bounded cache. A text in which a piece is empty or has white space at an end is encoded
-whole by the library.
+BPE, so a text may be split there. Each piece that a worker has not seen yet is cut into pre-tokens, new pre-tokens go to the
+library's model in bulk, and the ids of both are kept in a bounded cache from which texts are put together. A text in which
+a piece is empty or has white space at an end, and one that holds the string of a special token (which the library by
+default takes as that token), is encoded whole by the library, as is every text with a tokenizer of another kind.
 
 Defined results: a null text is empty and still gets its end id; null ids come first; repeated rows each get a place;
 an empty table gives an empty result; further columns are not read.
@@ -23,14 +24,15 @@ an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import xxhash
@@ -43,12 +45,14 @@ from quillspark.llm.shared import cut, new_path
 END_ID = 2
 FRAME_BYTES = 256 << 10
 LEVEL = 3
-#: Pieces, and parts of pieces, that a worker keeps encoded before it begins anew.
-CACHE = 1_000_000
-#: The pre-tokens and the byte alphabet of byte-level BPE, as published with it.
+#: Pieces that a worker keeps encoded before it begins anew; pieces or pre-tokens that go to a library at once; bytes of texts at once.
+CACHE, RUN, BATCH_BYTES = 1_000_000, 4096, 8 << 20
+#: The pre-tokens and the byte alphabet of byte-level BPE, as published with it; a character that was white space in older Unicode.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+OLD_SPACE = "\u180e"
+OTHER_BYTES = re.compile("[\x01-\x20\x7f-\xa0\xad]")
 #: Up to here character classes are the same in all versions of Unicode that the libraries carry; other pieces are encoded by the library alone.
 PLAIN = "\u04ff"
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -62,66 +66,125 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Known(dict):
+    """string -> its number, in the order in which strings were first asked for; new holds those whose ids are not there yet."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.new: list[str] = []
+        self.ids, self.used = np.empty(1 << 16, kind), 0
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self[text] = k = len(self)
+        self.new.append(text)
+        return k
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the new strings, one after another; size -1: this string has none to use."""
+        held = np.maximum(sizes, 0)
+        self.first = np.concatenate([self.first, self.used + np.cumsum(held) - held])
+        self.size = np.concatenate([self.size, sizes])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.new = []
+
+    def put_together(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these strings, one after another, and where each string's ids end."""
+        sizes = np.maximum(self.size[numbers], 0)
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.first[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian 16- or 32-bit numbers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
-        self.tok = Tokenizer.from_file(path)
-        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.model = self.tok.model
-        self.model._resize_cache(0)  # each part reaches the model once
+        self.tok, self.cache = Tokenizer.from_file(path), cache
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        before, self.apart = self.tok.pre_tokenizer, self.tok.token_to_id(BYTE_CHARS[0])
+        plain = self.tok.normalizer is None and self.tok.truncation is None and self.tok.padding is None and self.apart is not None
+        self.by_piece = plain and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.bare = Tokenizer(self.tok.model)  # for pre-tokens that are in the byte alphabet already, between spaces
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.parts = regex.compile(PRETOKEN)
-        self.pieces: dict[str, bytes | None] = {}
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _part(self, part: str) -> bytes:
-        shown = part.replace(" ", BYTE_CHARS[32]).replace("\n", BYTE_CHARS[10]) if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
-        found = self.known[part] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
-
-    def _piece(self, p: str) -> bytes | None:
-        """Of a piece behind a space; None where a text may not be cut before or behind it."""
-        if not p or p[0].isspace() or p[-1].isspace():
-            return None
-        if not (p.isascii() or max(p) <= PLAIN) or not (p.isprintable() or p.replace("\n", "").isprintable()):
-            return self.whole([f" {p}"])[0]
-        known, part = self.known.get, self._part
-        return b"".join([known(x) or part(x) for x in self.parts.findall(f" {p}")])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE or len(self.known) > CACHE:
-            self.pieces.clear()
-            self.known.clear()
-        split = [[t[:1].strip(), ""] if any(m in t for m in self.marks) else t.split(" ") for t in texts]  # a special token: whole
-        heads = [s[0] for s in split]
-        for s in split:
-            s[0] = s[-1]  # the head has no space before it
-        pieces = self.pieces
-        for p in set().union(*split).difference(pieces):
-            pieces[p] = self._piece(p)
-        get, out, rest = pieces.__getitem__, [], []
-        for k, (head, s, first) in enumerate(zip(heads, split, self.whole(heads))):
-            try:
-                if len(s) > 1:
-                    if not head or head[0].isspace() or head[-1].isspace():
-                        raise TypeError
-                    s[0] = s[1]
-                    parts = list(map(get, s))
-                    parts[0] = first
-                    first = b"".join(parts)
-                out.append(first)
-            except TypeError:  # a piece of None
-                out.append(b"")
-                rest.append(k)
-        for k, whole in zip(rest, self.whole([texts[k] for k in rest])):
-            out[k] = whole
+        self._clear()
+
+    def _clear(self) -> None:
+        self.pieces, self.pretokens = Known(self.kind), Known(self.kind)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pretokens(self) -> None:
+        new, ids, sizes = self.pretokens.new, [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        for at in range(0, len(new), RUN):
+            raw = "\0".join([*new[at : at + RUN], ""]).encode().decode("latin-1").replace(" ", BYTE_CHARS[32]).replace("\n", BYTE_CHARS[10])
+            shown = OTHER_BYTES.sub(lambda m: BYTE_CHARS[ord(m[0])], raw).replace("\0", f" {BYTE_CHARS[0]} ")  # zero bytes, which no plain piece holds
+            found = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(found == self.apart)
+            ids.append(found[found != self.apart])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        self.pretokens.learn(np.concatenate(ids), np.concatenate(sizes))
+
+    def _spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of plain pieces, each behind a space: ids and how many each has."""
+        numbers, starts = [], []
+        for at in range(0, len(pieces), RUN):
+            parts = self.parts.findall(f" {' '.join(pieces[at : at + RUN])}")
+            starts += [len(numbers) + k for k, x in enumerate(parts) if x[0] == " "]
+            numbers += map(self.pretokens.__getitem__, parts)
+        self._learn_pretokens()
+        ids, ends = self.pretokens.put_together(np.array(numbers, np.int64))
+        return ids, np.diff(ends[np.array([*starts[1:], len(numbers)], np.int64) - 1], prepend=0)
+
+    def _learn(self) -> None:
+        """Pieces: None of them holds a space but a head, which begins with one and is encoded without it."""
+        new = self.pieces.new
+        sizes, kinds = np.full(len(new), -1, np.int64), ([], [])
+        for k, p in enumerate(new):
+            if p == " " or p.strip() == (p[1:] if p[:1] == " " else p) != "" and OLD_SPACE not in p:  # else a text may not be cut next to it
+                kinds[p[0] != " " and (p.isascii() or max(p) <= PLAIN) and (p.isprintable() or p.replace("\n", "").isprintable())].append(k)
+        lone = self.whole([new[k][1:] if new[k][0] == " " else f" {new[k]}" for k in kinds[0]])
+        sizes[kinds[0]] = [len(x) for x in lone]
+        ids, sizes[kinds[1]] = self._spaced([new[k] for k in kinds[1]]) if kinds[1] else (np.empty(0, self.kind), [])
+        owner = np.repeat(np.array([*kinds[0], *kinds[1]], np.int64), sizes[[*kinds[0], *kinds[1]]])
+        self.pieces.learn(np.concatenate([*lone, ids])[np.argsort(owner, kind="stable")], sizes)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if len(self.pieces) > self.cache:
+            self._clear()
+        cut = np.full(len(texts), self.by_piece)
+        for mark in self.marks:
+            cut &= ~pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(cut)
+        out: list[bytes | None] = [None] * len(texts)
+        if len(at):
+            split = pc.split_pattern(texts.take(pa.array(at)), " ")
+            starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+            flat = split.flatten()
+            counts = np.diff(starts, append=len(flat))
+            coded = flat.dictionary_encode()
+            number = self.pieces.__getitem__
+            found = np.array(list(map(number, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), np.int64)[coded.indices.to_numpy()]
+            found[starts] = [number(f" {x}") for x in flat.take(pa.array(starts)).to_pylist()]
+            if self.pieces.new:
+                self._learn()
+            good = np.minimum.reduceat(self.pieces.size[found], starts) >= 0
+            ids, ends = self.pieces.put_together(found)
+            last = ends[starts + counts - 1]
+            for k, fine, a, b in zip(at.tolist(), good.tolist(), np.concatenate([[0], last[:-1]]).tolist(), last.tolist()):
+                if fine:
+                    out[k] = ids[a:b].tobytes()
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self.whole(texts.take(pa.array(rest, pa.int64())).to_pylist())):
+            out[k] = ids.tobytes()
         return out
 
 
@@ -222,15 +285,16 @@ def _write(folder: str, tokenizer: str, end_id: int):
         code = encoder(tokenizer)
         end = np.array([end_id], code.kind).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            bounds = pc.cumulative_sum(pc.binary_length(column)).to_numpy(zero_copy_only=False) // BATCH_BYTES
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(bounds)) + 1):
                 if writer is None:
                     path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     fs, name = pafs.FileSystem.from_uri(path)
                     fs.create_dir(name.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(name, compression=None)
                     writer = ShardWriter(out, code.kind.itemsize)
-                for doc_id, found in zip(ids[at : at + 256], code.encode(texts[at : at + 256])):
+                for doc_id, found in zip(batch.column(0).slice(int(rows[0]), len(rows)).to_pylist(), code.encode(column.slice(int(rows[0]), len(rows)))):
                     writer.add(doc_id, found + end)
         if writer:
             writer.close()
