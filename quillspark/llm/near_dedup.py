@@ -9,9 +9,13 @@
    neither the radius nor chunks nor leaders lose a link. With shingles in one order for all texts (rare before common, see
    _common; any order is right), two texts of n and m >= n shingles that reach the threshold share ceil(THRESHOLD m) of
    them, so COMMON of these (all, if they are fewer) lie among the first n - ceil(THRESHOLD n) + COMMON of the one and
-   the same of the other. Such pairs are compared, first those with a hub of each
-   shingle (they join large groups in few comparisons), then all between sets that are still apart.
-Of each linked group the smallest doc_id stays.
+   the same of the other; of texts of like sizes more (see _enough). Such pairs are compared, first those with a hub of each shingle (they join large groups in few
+   comparisons), then all between sets that are still apart. A pair is compared where its least common shingle is dealt
+   to; the texts of a frequent shingle are dealt over blocks of BLOCK texts and BLOCK_BYTES, so a text travels once per
+   block and not once per pair, and a task holds two blocks at most.
+Of each linked group the smallest doc_id stays. Prints and prefixes come from one pass over the texts; after it only texts
+that are compared move. Joins that meet a frequent shingle, digest or root stream that side and hold one row of the other, so
+their memory is bounded, and adaptive execution splits them.
 
 Defined results: null and empty texts are equal to each other; rows of one doc_id stay or go together; null ids come last;
 an empty table gives an empty result; all columns of docs are given back.
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
@@ -35,6 +39,8 @@ from quillspark.llm.simhash import _signed, distinct_words, fingerprint, links,
 RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, 1000
 #: Shared shingles of two prefixes that make a candidate; postings of a shingle in one task of the join.
 COMMON, POSTINGS = 4, 10_000
+#: Of a shingle's texts, those that are compared with each other or with another block in one task; and the bytes of their shingles.
+BLOCK, BLOCK_BYTES = 1000, 16 << 20
 #: For the order of shingles alone: one in SAMPLE texts is looked at, shingles of LEAST of them are common, MOST are told apart.
 SAMPLE, LEAST, MOST = 16, 4, 100_000
 
@@ -43,15 +49,6 @@ def digest(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, prints = [], []
-        for t in texts_of(batch.column(1)):
-            digests.append(digest(t))
-            prints.append(_signed(fingerprint(distinct_words(t))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64())], ["doc_id", "digest", "fp"])
-
-
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Jaccard of sorted distinct arrays, at least threshold."""
     if min(len(a), len(b)) < threshold * max(len(a), len(b)):
@@ -97,7 +94,7 @@ def _clusters(threshold: float):
                     now, rows, seen = (root, chunk), [], set()
                 if d not in seen and digest(t) == d:
                     seen.add(d)
-                    rows.append((d, np.unique(shingle_hashes(t.lower().split(), SHINGLE))))
+                    rows.append((d, _own(t)))
         if rows:
             yield give(rows)
 
@@ -108,20 +105,24 @@ def _linked(docs: DataFrame, reps: DataFrame, threshold: float, chunk: int) -> D
     """(digest, leader) of reps (digest, doc_id, root), each root's reps in chunks."""
     sizes = reps.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = reps.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / chunk))).select("root", "chunk", "digest", F.col("doc_id").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("_id")))
     ordered = texts.repartition("root", "chunk").sortWithinPartitions("root", "chunk", F.col("doc_id").asc_nulls_last())
     return ordered.select("root", "chunk", "digest", "text").mapInArrow(_clusters(threshold), "digest binary, leader binary")
 
 
+def _own(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text.lower().split(), SHINGLE))
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(shingle_hashes(t.lower().split(), SHINGLE)) for t in texts_of(batch.column(0))]
+        found = [_own(t) for t in texts_of(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
 
 
-def _common(texts: DataFrame, sample: int = SAMPLE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and their counts in a sample of the texts. They only say which shingles come last in the order."""
-    some = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(sample)) == 0).select("text").mapInArrow(_shingles, "shingle long")
+def _common(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their counts in a sample of the distinct texts. They only say which shingles come last in the order."""
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).distinct().mapInArrow(_shingles, "shingle long")
     rows = some.groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).collect()
     shingle, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(shingle)
@@ -146,87 +147,123 @@ def prefix(own: np.ndarray, threshold: float, shingle: np.ndarray, count: np.nda
     return own[np.argsort(rank, kind="stable")][: n - least + min(COMMON, least)]
 
 
-def _postings(threshold: float, shingle: np.ndarray, count: np.ndarray):
+def _prints(threshold: float, shingle: np.ndarray, count: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (digest, text)."""
+        """Rows (doc_id, text) to (doc_id, digest, fp, size, prefix)."""
         for batch in batches:
-            tokens, owners, sizes = [np.empty(0, np.uint64)], [], []
-            for d, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                if digest(t) == d:
-                    own = np.unique(shingle_hashes(t.lower().split(), SHINGLE))
-                    tokens.append(prefix(own, threshold, shingle, count))
-                    owners += [d] * len(tokens[-1])
-                    sizes += [len(own)] * len(tokens[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(owners, pa.binary()), pa.array(sizes, pa.int32())], ["shingle", "digest", "size"])
+            digests, prints, sizes, heads = [], [], [], [np.empty(0, np.uint64)]
+            for t in texts_of(batch.column(1)):
+                own = _own(t)
+                digests.append(digest(t))
+                prints.append(_signed(fingerprint(distinct_words(t))))
+                sizes.append(len(own))
+                heads.append(prefix(own, threshold, shingle, count))
+            ends = pa.array(np.cumsum([0, *map(len, heads[1:])]), pa.int32())
+            prefixes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), prefixes], ["doc_id", "digest", "fp", "size", "prefix"])
 
     return run
 
 
-def _verified(threshold: float):
+def _tested(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (digest a, digest b, text a, text b)."""
+        """Links (a, b) between sets; rows (shingle, ca, cb, digest a, b, set ra, rb, text) sorted by block, its texts (null b) first."""
+        now, held, top = None, {}, {}
+
+        def root(x):
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
         for batch in batches:
-            seen, found = {}, []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3))):
-                for d, t in ((a, x), (b, y)):
-                    if d not in seen and digest(t) == d:
-                        seen[d] = np.unique(shingle_hashes(t.lower().split(), SHINGLE))
-                if a in seen and b in seen and similar(seen[a], seen[b], threshold):
-                    found.append((a, b))
+            found = []
+            for s, ca, cb, a, b, ra, rb, t in zip(*(batch.column(k).to_pylist() for k in range(7)), texts_of(batch.column(7))):
+                if (s, ca, cb) != now:
+                    now, held, top = (s, ca, cb), {}, {}
+                if b is None:
+                    if a not in held and digest(t) == a:  # a text with another digest is another row of that doc_id
+                        held[a] = _own(t)
+                elif (x := root(ra)) != (y := root(rb)) and similar(held[a], held[b], threshold):
+                    top[max(x, y)] = min(x, y)
+                    found.append((ra, rb))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _candidates(postings: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ra, rb): pairs of different roots that share enough of postings (shingle, digest, size, root)."""
-    sizes = postings.groupBy("shingle").agg(F.ceil(F.count("*") / POSTINGS).alias("parts"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    dealt = cut(postings.join(sizes.select("shingle", "parts"), "shingle"), "near-postings")
-    left = dealt.select("shingle", F.pmod(F.xxhash64("digest"), "parts").alias("part"), F.col("digest").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    right = dealt.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    near = left.join(right, ["shingle", "part"]).filter("ra < rb").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    counted = near.groupBy("a", "b", "ra", "rb").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return counted.filter(F.col("n") >= F.least(F.lit(COMMON), F.ceil(threshold * F.least("na", "nb") - 1e-9))).select("a", "b", "ra", "rb")
+def _enough(near: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ra, rb, at): the pairs of near (shingle, blocks, a, na, ra, b, nb, rb) that share enough shingles; at: the least of them.
 
+    Of two texts, all common shingles but those behind the prefix whose last shingle comes first in the order lie in both
+    prefixes; so the threshold's overlap, less the greater number of shingles behind a prefix, must be shared by the prefixes.
+    """
+    def behind(n: str):
+        least = F.ceil(threshold * F.col(n) - 1e-9)
+        return least - F.least(F.lit(COMMON), least)
 
-def _starred(postings: DataFrame, threshold: float, hub) -> DataFrame:
-    """(a, b, ra, rb): each text with the least or greatest of its shingles' texts, in proportion to the postings."""
+    fits = near.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    counted = fits.groupBy("a", "b", "ra", "rb").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.struct("shingle", "blocks")).alias("at"))
+    overlap = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    return counted.filter(F.col("n") >= overlap - F.greatest(behind("na"), behind("nb"))).select("a", "b", "ra", "rb", "at")
+
+
+def _all_pairs(postings: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts of different sets; the texts of a frequent shingle meet in parts."""
+    parts = F.ceil(F.col("n") / POSTINGS)
+    left = postings.select("shingle", "blocks", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    right = postings.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    return _enough(left.join(right, ["shingle", "part"]).filter("ra < rb"), threshold)
+
+
+def _hub_pairs(postings: DataFrame, threshold: float, hub) -> DataFrame:
+    """Each text with the least or greatest of its shingles' texts, in proportion to the postings."""
     hubs = postings.groupBy("shingle").agg(hub(F.struct("digest", "size", "root")).alias("h")).select("shingle", "h.*").toDF("shingle", "a", "na", "ra")
-    near = postings.join(hubs, "shingle").filter("root <> ra").filter(F.least("na", "size") >= threshold * F.greatest("na", "size") - 1e-9)
-    counted = near.groupBy("a", F.col("digest").alias("b"), "ra", F.col("root").alias("rb")).agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("size").alias("nb"))
-    return counted.filter(F.col("n") >= F.least(F.lit(COMMON), F.ceil(threshold * F.least("na", "nb") - 1e-9))).select("a", "b", "ra", "rb")
+    both = postings.join(hubs, "shingle").filter("root <> ra").select("shingle", "blocks", "a", "na", "ra", F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    return _enough(both, threshold)
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between sets, from the pairs that reach the threshold."""
+    def block(text: str):
+        return F.pmod(F.xxhash64(text), F.col("at.blocks"))
+
+    dealt = pairs.select(F.col("at.shingle").alias("shingle"), block("a").alias("ca"), block("b").alias("cb"), "a", "b", "ra", "rb")
+    some = dealt.select("shingle", "ca", "cb", "a").unionByName(dealt.select("shingle", "ca", "cb", F.col("b").alias("a"))).distinct()
+    ids = some.join(reps.select(F.col("digest").alias("a"), F.col("doc_id").alias("_id")), "a")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
+    none = F.lit(None).cast("binary")
+    rows = texts.select("shingle", "ca", "cb", "a", none.alias("b"), none.alias("ra"), none.alias("rb"), "text").unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    ordered = rows.repartition("shingle", "ca", "cb").sortWithinPartitions("shingle", "ca", "cb", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(_tested(threshold), "a binary, b binary")
 
 
-def _joined(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _joined(prints: DataFrame, docs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """sets (digest, root) with the sets joined between which any two texts reach the threshold."""
-    postings = texts.mapInArrow(_postings(threshold, *_common(texts)), "shingle long, digest binary, size int")
-    shared = postings.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n")
-    shared = cut(shared, "near-shared")
+    own = prints.join(reps.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    postings = own.select("digest", "size", F.explode("prefix").alias("shingle"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES))
+    repeated = postings.groupBy("shingle").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
+    shared = cut(postings.join(repeated, "shingle"), "near-shared")
     for hub in (F.min, F.max, None):  # each step tests only between sets that are still apart
         rooted = shared.join(sets, "digest")
-        pairs = cut(_starred(rooted, threshold, hub) if hub else _candidates(rooted, threshold), "near-pairs")
+        pairs = cut(_hub_pairs(rooted, threshold, hub) if hub else _all_pairs(rooted, threshold), "near-pairs")
         if pairs.isEmpty():
             continue
-        some = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        held = cut(texts.join(some, "digest", "left_semi"), "near-held")
-        both = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("y")), "b")
-        found = cut(both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a binary, b binary"), "near-verified")
-        edges = found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        roots = components(edges, "near-sets").withColumnRenamed("root", "_root")
+        roots = components(_compared(pairs, docs, reps, threshold), "near-sets").withColumnRenamed("root", "_root")
         sets = cut(sets.join(roots, F.col("root") == F.col("node"), "left").select("digest", F.coalesce("_root", "root").alias("root")), "near-roots")
     return sets
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """The rows of docs that stay."""
-    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, digest binary, fp long"), "near-prints")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = cut(plain.mapInArrow(_prints(threshold, *_common(plain)), "doc_id long, digest binary, fp long, size int, prefix array<long>"), "near-prints")
     reps = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "near-texts")
     roots = components(links(reps.select("fp").distinct(), radius), "near-links")
     rooted = reps.join(roots, F.col("fp") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "fp").alias("root"))
-    found = cut(_linked(docs, rooted, threshold, chunk), "near-chunks")
+    found = cut(_linked(plain, rooted, threshold, chunk), "near-chunks")
     sets = cut(reps.select("digest").join(found, "digest", "left").select("digest", F.coalesce("leader", "digest").alias("root")), "near-leaders")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(reps.select("digest", "doc_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "text")
-    joined = _joined(texts, sets, threshold).join(reps.select("digest", "doc_id"), "digest")
+    joined = _joined(prints, plain, reps, sets, threshold).join(reps.select("digest", "doc_id"), "digest")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     stays = joined.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_stay")).distinct()
     out = prints.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias("_gone"))

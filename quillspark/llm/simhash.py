@@ -65,14 +65,10 @@ def shingled(text: bytes, size: int = 3) -> np.ndarray:
     return shingle_hashes(text.lower().split(), size)
 
 
-def distinct_words(text: bytes, least: int = 5, few: int = 16) -> np.ndarray:
-    """Features for near copies with changed words: the distinct words of at least five bytes; with under 16 of them, word pairs."""
-    words = text.lower().split()
-    long = {w for w in words if len(w) >= least}
-    if len(long) < few:
-        return shingle_hashes(words, 2)
+def distinct_words(text: bytes) -> np.ndarray:
+    """Features for near copies with changed words: the distinct words."""
     h = xxhash.xxh64_intdigest
-    return np.array([h(w, SEED) for w in long], np.uint64)
+    return np.array([h(w, SEED) for w in set(text.lower().split())], np.uint64)
 
 
 def _signed(n: int) -> int:
