@@ -1,8 +1,10 @@
 """Operator 6, benchmark decontamination, in DataFrame functions only.
 
-1. Windows. Texts are lower-cased and split at ASCII white space; where a document shares a word shingle (five words;
-   an item of fewer words is one shingle) with an item, a window of the item's size is laid so that the two shingles
-   coincide. A window without a common shingle has similarity 0, so no window that could pass is left out.
+1. Windows. Texts are lower-cased and split at ASCII white space; the windows of an item are all runs of its size. Of a
+   window's shingles (five words; an item of fewer words is one shingle) only those that the item holds count for it and the
+   others against it, so windows are laid only where the weights of common shingles in reach suffice for THRESHOLD. Of
+   neighbouring windows the best and first one begins where a common shingle comes in at its end, or, cut short by the text's
+   end, at a common shingle: those starts are laid, whatever lies between. Nothing that could pass is left out.
 2. SimHash. Windows and items get 64-bit fingerprints over their words.
 3. Multi-index Hamming blocks. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree on one block at
    least, so equal (size, block, value) finds every item of the window's size within the radius, whichever item anchored it.
@@ -10,7 +12,10 @@
    lesser count over the sum of weight times the greater count of all shingles (with repeats, compared as words); a shingle
    weighs 1 over the number of items that hold it, and 1 if the item does not hold it.
 
-The table of items' shingles is broadcast only up to BROADCAST_ROWS rows; beyond that Spark shuffles by shingle.
+The items' shingles and the windows' places are broadcast only up to BROADCAST_ROWS rows, counted before; beyond that Spark
+shuffles. Else texts are not shuffled: all are read for shingles, then those with a window are read again.
+Radius: a window at the threshold has some ten bits of its item's fingerprint changed, more where cheap shingles (held by
+many items) are; RADIUS leaves room for that, tests compare with brute force over all windows, and see the README.
 
 Defined results: null and empty texts on either side match nothing; rows of one doc_id (null included) are one document;
 a window at a text's end is cut short; repeated items each match; empty tables give an empty result; further columns are
@@ -22,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 11
+from quillspark.llm.shared import cut
+
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
 BROADCAST_ROWS = 1_000_000
 
 
@@ -30,9 +37,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _hashes(of: Column, size: int) -> Column:
-    """A hash for each run of size words."""
-    return F.when(F.size(of) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(of) - (size - 1))), lambda i: F.xxhash64(F.slice(of, i, size)))).otherwise(F.array())
+def _runs(of: Column, size: Column | int, value) -> Column:
+    """value(place from 0, words) of each run of size words."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.when(F.size(of) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(of) - size + 1)), lambda i: value(i - 1, F.slice(of, i, size)))).otherwise(F.array())
 
 
 def _shingles(of: Column) -> Column:
@@ -60,45 +68,53 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("_b", F.explode(F.array(*values))).withColumns({"_block": F.col("_b.k"), "_value": F.col("_b.v")}).drop("_b")
 
 
-def _count(of: Column, x: Column) -> Column:
-    return F.size(F.filter(of, lambda y: y == x))
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start (of the best window, in words from 0), similarity: one row per document and item that it holds."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bench = items.select("item_id", words(F.col("text")).alias("i_words")).filter(F.size("i_words") > 0).withColumns({"n": F.size("i_words"), "_size": F.least(F.size("i_words"), F.lit(SHINGLE))})
     sizes = [r[0] for r in bench.select("_size").distinct().orderBy("_size").collect()]  # of 1 to 5
-    anchors = bench.select("n", "_size", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("_size") + 1), lambda i: F.xxhash64(F.slice("i_words", i, F.col("_size"))))).alias("i_at", "hash")).distinct()
-    small = anchors.count() <= broadcast_rows
-    found = None
-    for size in sizes:
-        own = anchors.filter(F.col("_size") == size).drop("_size")
-        at = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(_hashes(F.col("w"), size)).alias("d_at", "hash"))
-        hit = at.join(F.broadcast(own) if small else own, "hash").select("doc_id", (F.col("d_at") - F.col("i_at")).alias("start"), "n")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, similarity double")
-    places = found.distinct().withColumnRenamed("doc_id", "_d")
-    held = texts.join(places.groupBy("_d").agg(F.collect_list(F.struct("start", "n")).alias("_at")), F.col("doc_id").eqNullSafe(F.col("_d")))  # at most one place per shared shingle
-    cut_out = _once(held.select("doc_id", "text", "_at"), "w", words(F.col("text"))).select("doc_id", F.explode(F.transform("_at", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.slice("w", F.greatest(F.lit(1), p["start"] + 1), F.greatest(F.lit(0), p["n"] + F.least(F.lit(0), p["start"]))).alias("w")))).alias("x")).select("doc_id", "x.*")
-    windows = _blocks(with_fingerprint(cut_out.filter(F.size("w") > 0), "w"), radius)
     df = bench.select("item_id", F.explode(F.array_distinct(_shingles(F.col("i_words")))).alias("s"))
     weights = df.groupBy("s").agg((1.0 / F.count("*")).alias("weight"))
-    weighed = df.join(weights, "s").groupBy("item_id").agg(F.collect_list(F.struct("s", "weight")).alias("weights"))
-    prints = _blocks(with_fingerprint(bench.join(weighed, "item_id").drop("_size"), "i_words"), radius).withColumnRenamed("fp", "i_fp")
+    known = bench.select("n", "_size", "i_words", F.xxhash64("i_words").alias("_item")).dropDuplicates(["_item"])
+    spots = known.select("_item", "n", "_size", F.explode(_runs(F.col("i_words"), F.col("_size"), lambda _, run: F.struct(F.array_join(run, " ").alias("s"), F.xxhash64(run).alias("hash")))).alias("x")).select("_item", "n", "_size", "x.*").join(weights, "s")
+    totals = spots.groupBy("_item").agg(F.sum("weight").alias("total"))
+    anchors = cut(spots.select("_item", "n", "_size", "hash", "weight").distinct().join(totals, "_item"), "leak-shingles")
+    small = anchors.count() <= broadcast_rows
+    split = texts.select("doc_id", words(F.col("text")).alias("w"))
+    runs = F.flatten(F.array(*(_runs(F.col("w"), size, lambda at, run: F.struct(at.alias("d_at"), F.xxhash64(run).alias("hash"))) for size in sizes)))
+    hits = split.select("doc_id", F.size("w").alias("len"), F.explode(runs).alias("x")).select("doc_id", "len", "x.*").join(F.broadcast(anchors) if small else anchors, "hash")
+    least = threshold - 1e-5
+    enough = hits.withColumn("all", F.expr("sum(weight) OVER (PARTITION BY doc_id, _item)")).filter(F.col("all") >= least * F.col("total"))
+    span = F.col("n") - F.col("_size")
+    spread = enough.withColumns({"span": span, "behind": F.col("len") - F.col("_size") - F.col("d_at"), "at": F.col("d_at") / F.greatest(span, F.lit(0.5))})
+    over = lambda what, frame: F.expr(f"{what} OVER (PARTITION BY doc_id, _item ORDER BY at RANGE BETWEEN {frame})")
+    back, on = "1.000000001D PRECEDING AND CURRENT ROW", "CURRENT ROW AND 1.000000001D FOLLOWING"
+    laid = spread.withColumns({"w_back": over("sum(weight)", back), "n_back": over("count(*)", back), "w_on": over("sum(weight)", on), "n_on": over("count(*)", on)})
+    fits = lambda side, room: F.col(f"w_{side}") >= least * (F.col("total") + F.greatest(F.lit(0), F.least(F.col("span"), room) + 1 - F.col(f"n_{side}")))
+    starts = F.array(F.when(fits("back", F.col("d_at")), F.col("d_at") - F.col("span")), F.when((F.col("behind") < F.col("span")) & fits("on", F.col("behind")), F.col("d_at")))
+    places = cut(laid.select(F.col("doc_id").alias("_d"), "n", F.explode(starts).alias("start")).filter("start IS NOT NULL").distinct(), "leak-places")
+    dealt = places.groupBy("_d").agg(F.collect_list(F.struct("start", "n")).alias("_at"))  # at most two for each shared shingle of one text
+    held = texts.join(F.broadcast(dealt) if places.count() <= broadcast_rows else dealt, F.col("doc_id").eqNullSafe(F.col("_d")))
+    cut_out = _once(held.select("doc_id", "text", "_at"), "w", words(F.col("text"))).select("doc_id", F.explode(F.transform("_at", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.slice("w", F.greatest(F.lit(1), p["start"] + 1), F.greatest(F.lit(0), p["n"] + F.least(F.lit(0), p["start"]))).alias("w")))).alias("x")).select("doc_id", "x.*")
+    windows = _blocks(with_fingerprint(cut_out.filter(F.size("w") > 0), "w"), radius)
+    counted = bench.dropDuplicates(["item_id", "i_words"]).select("item_id", "i_words", F.explode(_shingles(F.col("i_words"))).alias("s")).groupBy("item_id", "i_words", "s").agg(F.count("*").alias("n_item"))
+    weighed = counted.join(weights, "s").groupBy("item_id", "i_words").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("weight", "n_item")))).alias("shingles"), F.sum(F.col("weight") * F.col("n_item")).alias("total"))
+    prints = _blocks(with_fingerprint(weighed.withColumn("n", F.size("i_words")), "i_words"), radius).withColumnRenamed("fp", "i_fp").drop("i_words")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= radius
     candidates = windows.join(F.broadcast(prints) if small else prints, ["n", "_block", "_value"]).filter(near)
     first = F.expr(f"_block = aggregate(sequence(0, {radius}), {radius + 1}, (m, k) -> least(m, if(((fp ^ i_fp) & element_at(_masks, k + 1)) = 0, k, {radius + 1})))")
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
     masks = F.array(*(F.lit(((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0)).cast("long") for a, b in zip(cuts, cuts[1:])))
     once = candidates.withColumn("_masks", masks).filter(first)  # a pair that agrees on several blocks counts at the first
-    a, b = F.col("_w"), F.col("_i")
-    listed = _once(_once(once, "_w", _shingles(F.col("w"))), "_i", _shingles(F.col("i_words")))
-    zero = F.lit(0.0)
-    both = F.aggregate("weights", zero, lambda n, s: n + s["weight"] * F.least(_count(a, s["s"]), _count(b, s["s"])))
-    either = F.aggregate("weights", zero, lambda n, s: n + s["weight"] * F.greatest(_count(a, s["s"]), _count(b, s["s"]))) + F.size(F.filter(a, lambda s: ~F.array_contains(b, s)))
-    scored = listed.withColumn("similarity", F.round(both / either, 6)).filter(F.col("similarity") >= threshold)
+    listed = _once(once, "_w", _shingles(F.col("w")))
+    a, own = F.col("_w"), F.array_distinct("_w")
+    times = lambda s: F.when(F.size(own) == F.size(a), F.lit(1)).otherwise(F.size(F.filter(a, lambda y: y == s)))
+    met = _once(listed, "_met", F.transform(own, lambda s: F.struct(F.try_element_at("shingles", s).alias("item"), times(s).alias("c"))))
+    both = F.aggregate("_met", F.lit(0.0), lambda n, x: n + F.when(x["item"].isNull(), 0.0).otherwise(x["item"]["weight"] * F.least(x["c"], x["item"]["n_item"])))
+    more = F.aggregate("_met", F.lit(0.0), lambda n, x: n + F.when(x["item"].isNull(), x["c"].cast("double")).otherwise(x["item"]["weight"] * F.greatest(F.lit(0), x["c"] - x["item"]["n_item"])))
+    scored = met.withColumn("similarity", F.round(both / (F.col("total") + more), 6)).filter(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", F.greatest(F.lit(0), -F.col("m.s")).cast("int").alias("start"), F.col("m.similarity").alias("similarity"))
 
