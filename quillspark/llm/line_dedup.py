@@ -1,15 +1,16 @@
 """Operator 2, reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-State (LineStore) is one written table of postings, one row per distinct key and document, dealt to shards by the key's
-hash. The reference count of a key is the number of its postings; the exact table (key, count, largest doc_id) is
-their aggregate. insert() adds the postings of new documents, delete() takes documents' postings away; both give a new
-store, so that a delete undoes an insert. Each shard has a cuckoo filter of the keys at or over the threshold: it is
-kept by insertions and deletions of fingerprints, and tells for most lines, without the exact table, that they are no
-repeat. What passes a filter is checked against the exact table, so false positives cost time but no line.
-
-A key is carried as its 128-bit BLAKE2b digest. Filters meet lines in one pass over the shard (the filter's row sorts
-first), never as a broadcast. A line that very many documents hold is one row per document, dealt over SALTS parts of
-its shard, each of which gets a copy of the filter; joins on hot keys are left to adaptive splitting.
+State (LineStore): written postings, one row per distinct key and document, and the exact table of reference counts (key,
+number of documents, largest doc_id). insert() adds the postings of new documents, delete() takes documents' postings away;
+either changes the exact table by the changed keys alone and gives a new store, so that a delete undoes an insert. Keys are
+dealt to shards by hash; each shard has a cuckoo filter of its keys at or over the threshold: it is kept by insertions and
+deletions of fingerprints, and tells for most lines, without the exact table, that they are no repeat. What passes a filter
+is checked against the exact table, so false positives cost time but no line.
+
+A key is carried as its 128-bit BLAKE2b digest. The number of shards follows the number of postings. Filters meet lines in
+one pass over the shard (the filter's row sorts first), never as a broadcast. A shard with many postings, such as one with a
+line that most documents hold, is dealt over salts by their number, each of which gets a copy of its filter; joins on hot
+keys stream them past one row of the exact table, and adaptive execution splits them.
 
 Defined results: a null or empty text is one empty line; rows of one doc_id count as one document for the keys and
 each row loses the lines; a null doc_id comes before all others (it never is the largest unless alone); an empty table
@@ -29,70 +30,83 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import ASCII_SPACE, cut
 
 MIN_POINTS, MIN_DOCS = 20, 3
-SHARDS, SALTS = 1024, 4
+#: At least so many shards; postings of a shard when a store is made; postings of a shard that meet its filter in one task.
+SHARDS, SHARD_ROWS, SALT_ROWS = 64, 200_000, 25_000
 
 
 class CuckooFilter:
-    """Buckets of four 16-bit fingerprints; an item has two buckets, each found from the other by its fingerprint.
+    """Buckets of four 32-bit fingerprints; both buckets of an item follow from its fingerprint alone.
 
-    When an item finds no place, another table of twice the size is chained on, so that nothing has to be read again.
+    So an item is either in its two buckets or nowhere: deleting it can't hit another key's only copy (keys of one fingerprint
+    each have a copy), and when an item finds no place, a table of twice the size is filled from the fingerprints themselves.
     """
 
     KICKS, FIRST = 200, 64
 
-    def __init__(self, tables: list[bytes] = ()) -> None:
-        self.tables = [np.frombuffer(t, np.uint16).reshape(-1, 4).copy() for t in tables] or [np.zeros((self.FIRST, 4), np.uint16)]
+    def __init__(self, table: bytes | None = None) -> None:
+        self.table = np.frombuffer(table, np.uint32).reshape(-1, 4).copy() if table else np.zeros((self.FIRST, 4), np.uint32)
 
     @staticmethod
-    def _other(at, f, table):
-        return (at ^ (f * 0x5BD1E995)) & (len(table) - 1)
+    def _print(digest: bytes) -> int:
+        return int.from_bytes(digest[8:12], "little") or 1
+
+    def _first(self, f):
+        return (f * 0x9E3779B1 >> 7) & (len(self.table) - 1)
 
-    def _places(self, digest: bytes, table: np.ndarray) -> tuple[int, int, int]:
-        f, a = int.from_bytes(digest[8:10], "little") or 1, int.from_bytes(digest[:8], "little") & (len(table) - 1)
-        return f, a, self._other(a, f, table)
+    def _other(self, at, f):
+        return at ^ ((f * 0x85EBCA77 >> 5 | 1) & (len(self.table) - 1))
 
-    def _put(self, digest: bytes, table: np.ndarray) -> bool:
-        f, a, at = self._places(digest, table)
+    def _put(self, f: int) -> bool:
+        at = self._first(f)
         moves = []
-        for k in range(-2, self.KICKS):
-            at = a if k == -2 else self._other(at, f, table) if k > 0 or k == -1 else at
-            free = np.flatnonzero(table[at] == 0)
-            if len(free):
-                table[at, free[0]] = f
-                return True
-            if k >= 0:
-                moves.append((at, k % 4, int(table[at, k % 4])))
-                table[at, k % 4], f = f, moves[-1][2]
+        for k in range(-1, self.KICKS):
+            for place in (at, self._other(at, f)) if k < 0 else (at,):
+                free = np.flatnonzero(self.table[place] == 0)
+                if len(free):
+                    self.table[place, free[0]] = f
+                    return True
+            moves.append((at, k % 4, int(self.table[at, k % 4])))
+            self.table[at, k % 4], f = f, moves[-1][2]
+            at = self._other(at, f)
         for at, k, old in reversed(moves):
-            table[at, k] = old
+            self.table[at, k] = old
         return False
 
     def insert(self, digest: bytes) -> None:
-        if not self._put(digest, self.tables[-1]):
-            self.tables.append(np.zeros((2 * len(self.tables[-1]), 4), np.uint16))
-            self._put(digest, self.tables[-1])
+        """Each key once."""
+        f = self._print(digest)
+        if self._put(f):
+            return
+        held = [*self.table[self.table != 0].tolist(), f]
+        if held.count(f) > 8:
+            raise ValueError("a key was inserted again and again")
+        size = len(self.table)
+        while True:
+            size *= 2
+            self.table = np.zeros((size, 4), np.uint32)
+            if all(map(self._put, held)):
+                return
 
     def delete(self, digest: bytes) -> bool:
-        """Only of items that were inserted; one of their fingerprints goes."""
-        for table in self.tables:
-            f, a, b = self._places(digest, table)
-            for at in (a, b):
-                if len(found := np.flatnonzero(table[at] == f)):
-                    table[at, found[0]] = 0
-                    return True
+        """Only of items that were inserted; one copy of their fingerprint goes."""
+        f = self._print(digest)
+        for at in (self._first(f), self._other(self._first(f), f)):
+            if len(found := np.flatnonzero(self.table[at] == f)):
+                self.table[at, found[0]] = 0
+                return True
         return False
 
     def holds(self, digests: list[bytes]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-        f = np.maximum(raw[:, 8:10].copy().view("<u2").ravel().astype(np.int64), 1)
-        found = np.zeros(len(raw), bool)
-        for table in self.tables:
-            a = (raw[:, :8].copy().view("<u8").ravel() & np.uint64(len(table) - 1)).astype(np.int64)
-            found |= (table[a] == f[:, None]).any(1) | (table[self._other(a, f, table)] == f[:, None]).any(1)
-        return found
+        f = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)[:, 8:12].copy().view("<u4").ravel()
+        f = np.maximum(f, 1).astype(np.uint64)
+        mask = np.uint64(len(self.table) - 1)
+        a = (f * np.uint64(0x9E3779B1) >> np.uint64(7)) & mask
+        b = a ^ ((f * np.uint64(0x85EBCA77) >> np.uint64(5) | np.uint64(1)) & mask)
+        f = f.astype(np.uint32)[:, None]
+        return (self.table[a.astype(np.int64)] == f).any(1) | (self.table[b.astype(np.int64)] == f).any(1)
 
-    def dump(self) -> list[bytes]:
-        return [t.tobytes() for t in self.tables]
+    def dump(self) -> bytes:
+        return self.table.tobytes()
 
 
 def line_keys(text: bytes, min_points: int = MIN_POINTS) -> Iterator[tuple[bytes, bytes | None]]:
@@ -122,15 +136,11 @@ def _postings(min_points: int):
     return run
 
 
-def _shard(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")
-
-
 def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each shard's filter after its changes; rows (shard, filter, key, added), the old filter's row before its changes."""
 
     def give(shard, sieve):
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sieve.dump()], pa.list_(pa.binary()))], ["shard", "filter"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sieve.dump()], pa.binary())], ["shard", "filter"])
 
     now, sieve = None, None
     for batch in batches:
@@ -138,7 +148,7 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if shard != now:
                 if sieve:
                     yield give(now, sieve)
-                now, sieve = shard, CuckooFilter(old or ())
+                now, sieve = shard, CuckooFilter(old)
             if key is not None:
                 (sieve.insert if added else sieve.delete)(key)
     if sieve:
@@ -150,7 +160,7 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, sieve = None, None
     for batch in batches:
         shards, salts, filters, keys, ids = (batch.column(k) for k in range(5))
-        both = shards.to_numpy(zero_copy_only=False).astype(np.int64) * SALTS + salts.to_numpy(zero_copy_only=False)
+        both = shards.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | salts.to_numpy(zero_copy_only=False)
         for at in np.split(np.arange(len(both)), np.flatnonzero(np.diff(both)) + 1) if len(both) else []:
             if both[at[0]] != now:
                 now, sieve = both[at[0]], None
@@ -163,54 +173,78 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.filter(hit), docs.filter(hit)], ["key", "doc_id"])
 
 
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+
+
 class LineStore:
-    """postings (shard, key, doc_id) of the documents inserted so far; repeats (shard, key, largest): the exact table at or
-    over the threshold; filters (shard, filter) of these keys. Each change gives a new store and touches no old one."""
-
-    def __init__(self, postings: DataFrame, before: LineStore | None = None, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> None:
-        self.postings, self.min_points, self.min_docs = postings, min_points, min_docs
-        self.repeats = cut(self.counts().filter(F.col("n_docs") >= min_docs), "line-repeats")
-        now = self.repeats.select("shard", "key", F.lit(True).alias("added"))
-        no_filter = F.lit(None).cast("array<binary>").alias("filter")
-        if before is None:
-            change = now.select("shard", no_filter, "key", "added")
-        else:
-            old = before.repeats.select("shard", "key", F.lit(False).alias("added"))
-            moved = now.join(old, "key", "left_anti").unionByName(old.join(now, "key", "left_anti"))
-            change = moved.select("shard", no_filter, "key", "added").unionByName(before.filters.select("shard", "filter", F.lit(None).cast("binary").alias("key"), F.lit(True).alias("added")))
+    """postings (key, doc_id) of the documents inserted so far, each once; counts (key, n_docs, largest): the exact table; filters
+    (shard, filter) of the keys at or over the threshold. Each change gives a new store and touches no old one."""
+
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame | None, gained: DataFrame, lost: DataFrame | None, shards: int, min_points: int, min_docs: int) -> None:
+        self.postings, self.counts, self.shards, self.min_points, self.min_docs = postings, counts, shards, min_points, min_docs
+        change = gained.select(self._shard(), F.lit(None).cast("binary").alias("filter"), "key", F.lit(True).alias("added"))
+        if lost is not None:
+            change = change.unionByName(lost.select(self._shard(), F.lit(None).cast("binary").alias("filter"), "key", F.lit(False).alias("added")))
+        if filters is not None:
+            change = change.unionByName(filters.select("shard", "filter", F.lit(None).cast("binary").alias("key"), F.lit(True).alias("added")))
         ordered = change.repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull(), "added")
-        self.filters = cut(ordered.mapInArrow(_changed, "shard int, filter array<binary>"), "line-filters")
+        self.filters = cut(ordered.mapInArrow(_changed, "shard int, filter binary"), "line-filters")
+
+    def _shard(self) -> F.Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
     @staticmethod
     def read(docs: DataFrame, min_points: int = MIN_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(key, doc_id), each once: rows of one doc_id are one document."""
         found = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_postings(min_points), "key binary, doc_id long")
-        return cut(found.select(_shard("key").alias("shard"), "key", "doc_id"), "line-postings")
+        return cut(found.distinct(), "line-postings")
 
     @classmethod
     def of(cls, docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> LineStore:
-        return cls(cls.read(docs, min_points), None, min_points, min_docs)
+        postings = cls.read(docs, min_points)
+        shards = max(SHARDS, -(-postings.count() // SHARD_ROWS))
+        counts = cut(_counted(postings), "line-counts")
+        return cls(postings, counts, None, counts.filter(F.col("n_docs") >= min_docs), None, shards, min_points, min_docs)
 
     def insert(self, docs: DataFrame) -> LineStore:
-        return LineStore(self.postings.unionByName(self.read(docs, self.min_points)), self, self.min_points, self.min_docs)
+        read = self.read(docs, self.min_points)
+        new = read.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+        again = self.postings.join(new, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+        fresh = cut(read.join(again, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), "line-fresh")
+        delta = cut(_counted(fresh).withColumnsRenamed({"n_docs": "_n", "largest": "_l"}), "line-delta")
+        was = self.counts.join(delta, "key").select("key", "n_docs", (F.col("n_docs") + F.col("_n")).alias("now"), F.greatest("largest", "_l").alias("largest"))
+        was = cut(was.unionByName(delta.join(self.counts, "key", "left_anti").select("key", F.lit(0).cast("long").alias("n_docs"), F.col("_n").alias("now"), F.col("_l").alias("largest"))), "line-touched")
+        return self._next(self.postings.unionByName(fresh), was)
 
     def delete(self, ids: DataFrame) -> LineStore:
         """ids: the doc_id of each document to take away."""
         gone = ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).distinct()
-        left = cut(self.postings.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti"), "line-postings")
-        return LineStore(left, self, self.min_points, self.min_docs)
-
-    def counts(self) -> DataFrame:
-        """The exact table of all keys: shard, key, n_docs, largest."""
-        once = self.postings.distinct()  # rows of one doc_id are one document
-        return once.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+        same = F.col("doc_id").eqNullSafe(F.col("_gone"))
+        left = cut(self.postings.join(gone, same, "left_anti"), "line-postings")
+        delta = cut(self.postings.join(gone, same, "left_semi").groupBy("key").agg(F.count("*").alias("_n")), "line-delta")
+        largest = left.join(delta.select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("_l"))  # of the changed keys alone
+        was = cut(self.counts.join(delta, "key").join(largest, "key", "left").select("key", "n_docs", (F.col("n_docs") - F.col("_n")).alias("now"), F.col("_l").alias("largest")), "line-touched")
+        return self._next(left, was)
+
+    def _next(self, postings: DataFrame, touched: DataFrame) -> LineStore:
+        """touched: key, n_docs before, now, largest, of the keys whose counts change."""
+        stay = self.counts.join(touched.select("key"), "key", "left_anti")
+        counts = cut(stay.unionByName(touched.filter("now > 0").select("key", F.col("now").alias("n_docs"), "largest")), "line-counts")
+        up, down = touched.filter((F.col("n_docs") < self.min_docs) & (F.col("now") >= self.min_docs)), touched.filter((F.col("n_docs") >= self.min_docs) & (F.col("now") < self.min_docs))
+        return LineStore(postings, counts, self.filters, up.select("key"), down.select("key"), self.shards, self.min_points, self.min_docs)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: digests of the lines that each document loses."""
-        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"))
-        salted = self.postings.select("shard", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"), F.lit(None).cast("array<binary>").alias("filter"), "key", "doc_id")
+        salts = F.greatest(F.lit(1), F.ceil(F.sum("n_docs") / SALT_ROWS)).cast("int")
+        sizes = F.broadcast(cut(self.counts.groupBy(self._shard()).agg(salts.alias("salts")), "line-sizes"))  # a row for each shard
+        no_key, no_id, no_filter = F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("filter")
+        filters = self.filters.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter", no_key, no_id)
+        salted = self.postings.withColumn("shard", self._shard()).join(sizes, "shard").select("shard", F.pmod(F.hash("doc_id"), F.col("salts")).alias("salt"), no_filter, "key", "doc_id")
         met = filters.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
         likely = met.mapInArrow(_sieve, "key binary, doc_id long")
-        lost = likely.join(self.repeats.select("key", "largest"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("largest")))
+        repeats = self.counts.filter(F.col("n_docs") >= self.min_docs)
+        lost = likely.join(repeats.select("key", "largest"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("largest")))
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # no more than the document has lines
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

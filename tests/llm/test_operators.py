@@ -94,28 +94,49 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.LineStore.of(none).apply(none).count() == 0
 
 
+def exact(store):
+    return sorted((bytes(r.key), r.n_docs, r.largest is not None, r.largest or 0) for r in store.counts.collect())
+
+
 def test_line_dedup_is_reversible(spark, docs, rows):
     first, second = docs.filter("doc_id % 2 = 0 AND doc_id <> 7"), docs.filter("doc_id % 2 = 1 OR doc_id IS NULL")
     one = line_dedup.LineStore.of(first)
-    both = one.insert(second)
+    both = one.insert(second).insert(first.limit(9))  # documents that are there already change nothing
     assert digest(both.apply(docs)) == lines_by_force(rows)
+    assert exact(both) == exact(line_dedup.LineStore.of(docs))
     back = both.delete(second.select("doc_id"))
-    assert sorted(map(tuple, back.repeats.collect())) == sorted(map(tuple, one.repeats.collect()))
-    keys = [bytes(r.key) for r in both.repeats.collect()]
-    left = {bytes(r.key) for r in one.repeats.collect()}
+    assert exact(back) == exact(one) and digest(back.apply(first)) == digest(one.apply(first))
+    left = {k for k, n, *_ in exact(one) if n >= line_dedup.MIN_DOCS}
     sieves = [line_dedup.CuckooFilter(r.filter) for r in back.filters.collect()]
     assert all(any(s.holds([k])[0] for s in sieves) for k in left)
-    assert sum(int((t != 0).sum()) for s in sieves for t in s.tables) == len(left) < len(keys)
+    assert sum(int((s.table != 0).sum()) for s in sieves) == len(left) < sum(n >= line_dedup.MIN_DOCS for _, n, *_ in exact(both))
+
 
+def test_hot_lines_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", 5)
+    rows = [(k, f"a line that nearly all documents hold\nown line number {k} of this very document" if k % 9 else f"other {k}") for k in range(200)]
+    assert digest(line_dedup.LineStore.of(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).apply(spark.createDataFrame(rows, "doc_id long, text string"))) == lines_by_force(rows)
 
-def test_cuckoo_filter():
-    sieve, keys = line_dedup.CuckooFilter(), [hashlib.blake2b(str(k).encode(), digest_size=16).digest() for k in range(3000)]
-    for k in keys:
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuckoo_filter_loses_no_key(seed):
+    dice = random.Random(seed)
+    keys = [hashlib.blake2b(f"{seed} {k}".encode(), digest_size=16).digest() for k in range(20_000)]
+    sieve, living = line_dedup.CuckooFilter(), set()
+    for k in keys[:12_000]:
         sieve.insert(k)
-    assert sieve.holds(keys).all() and len(sieve.tables) > 1
-    assert line_dedup.CuckooFilter(sieve.dump()).holds(keys).all()
-    assert all(sieve.delete(k) for k in keys[:2000])
-    assert sieve.holds(keys[2000:]).all() and sieve.holds(keys[:2000]).mean() < 0.02
+        living.add(k)
+    for k in dice.sample(keys, 14_000):
+        if k in living:
+            assert sieve.delete(k)
+            living.remove(k)
+        else:
+            sieve.insert(k)
+            living.add(k)
+    assert sieve.holds(sorted(living)).all() and int((sieve.table != 0).sum()) == len(living)
+    assert sieve.holds([k for k in keys if k not in living]).mean() < 0.001
+    again = line_dedup.CuckooFilter(sieve.dump())
+    assert again.holds(sorted(living)).all() and all(map(again.delete, living)) and not again.table.any()
 
 
 def print_by_force(text):
@@ -409,6 +430,34 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_windows(spark):
+    """Words inserted, removed and replaced, cheap shingles that many items hold, a very long text, a repeated row: as brute force."""
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(dice.randrange(3, 8)))
+    shared = [word() for _ in range(18)]
+    items = [(k, " ".join([word() for _ in range(48)] + shared)) for k in range(8)] + [(k, " ".join(word() for _ in range(dice.randrange(15, 60)))) for k in range(8, 30)]
+    rows = []
+    for k in range(90):
+        held = items[k % 30][1].split()
+        at, many = dice.randrange(1, len(held) - 1), dice.randrange(1, 5)
+        if k % 5 == 0:
+            held[len(held) // 2 : len(held) // 2] = [word() for _ in range(2)]
+        elif k % 5 == 1:
+            del held[at : at + many]
+        elif k % 5 == 2:
+            held[at : at + many] = [word() for _ in range(many)]
+        elif k % 5 == 3:
+            held = held[many:] if k % 2 else held[:-many]
+        own = [word() for _ in range(dice.randrange(0, 30))]
+        rows.append((k, " ".join([*own, *held, *(word() for _ in range(dice.randrange(0, 30)))])))
+    rows.append(rows[3])
+    want = leaks_by_force(rows, items)
+    long = (900, " ".join([*(word() for _ in range(9000)), items[9][1], *(word() for _ in range(9000))]))
+    docs = spark.createDataFrame([*rows, long], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want | {(900, 9)} and len({d for d, i in want if d % 5 == 0 and i < 8}) > 3
+
+
 def test_url_filters(spark):
     urls = [None, "", "no scheme", "http://A.org", "http://a.org/x", "https://Example.ORG/es/1?q=1", "http://www.example.org/en/12", "http://b.com/fr/", "http://b.com/de/x#y", "http://notcom/de/", "ftp://x.net?://y", "http://h.com/de", "http://x.org/a://b"]
     urls += [f"http://s{k}.com/{'fr' if k % 2 else 'de'}/{k}" for k in range(40)]
