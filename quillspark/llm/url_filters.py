@@ -4,7 +4,7 @@ Rules (host, path, verdict) fit a host and its subdomains where the path begins
 that no rule fits are judged by boosted trees, trained on labelled urls (without others given: those that the rules
 decide), a bounded sample of SAMPLE rows by the md5 of their id. Features: length, host labels, path depth, digit ratio,
 character entropy, parameters, hyphens, and of the host's last label the smoothed share of blocked urls among all labelled
-ones and the frequency among all pages; only the fitting uses the sample. All of it is DataFrame functions and Spark's own tree learner; no Python runs on executors.
+ones and the frequency among all pages; only the fitting uses the sample, which is written once. All of it is DataFrame functions and Spark's own tree learner; no Python runs on executors.
 
 Defined results: a null url, and one without ://, has an empty host and path, no rule, and features of an empty text;
 without labels of both kinds the trees' verdict is the only label, or allow; rows that repeat are judged alike; an empty
@@ -19,7 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
+from quillspark.llm.shared import cut
+
+SAMPLE, BROADCAST_ROWS = 20_000, 100_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 FEATURES = ["f_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix_rate", "f_suffix_share"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,8 +68,10 @@ def _suffixes(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, float]:
     return shares.join(rates, "_suffix", "full"), prior
 
 
-def _with_suffixes(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    return df.join(suffixes, "_suffix", "left").fillna({"f_suffix_rate": prior, "f_suffix_share": 0.0})
+def _with_suffixes(df: DataFrame, suffixes: DataFrame, few: bool, prior: float) -> DataFrame:
+    """A few suffixes are broadcast, so that a hot one moves no rows; else the larger side streams past them."""
+    joined = df.join(F.broadcast(suffixes) if few else suffixes.hint("merge"), "_suffix", "left")
+    return joined.withColumns({"f_suffix_rate": F.coalesce("f_suffix_rate", F.lit(prior)), "f_suffix_share": F.coalesce("f_suffix_share", F.lit(0.0))})
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -85,16 +89,19 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, samp
         known = ruled.filter("_rule IS NOT NULL").select("url", "host", "path", (F.col("_rule.verdict") == "block").cast("double").alias("label"))
     else:
         known = prepared(labelled.select("url", F.col("blocked").cast("double").alias("label"))).filter(F.col("label").isin(0.0, 1.0))
-    taken = _lexical(known.orderBy(F.md5(F.coalesce("url", F.lit(""))), "label").limit(sample)).persist()
+    taken = _lexical(known.orderBy(F.md5(F.coalesce("url", F.lit(""))), "label").limit(sample))
+    taken = cut(taken, "url-sample")
     seen = {r["label"]: r["count"] for r in taken.groupBy("label").count().collect()}  # two rows at most
     if len(seen) < 2:
         other = "block" if seen.get(1.0) else "allow"
         judged = ruled.withColumn("p_block", F.lit(1.0 if other == "block" else 0.0))
     else:
         suffixes, prior = _suffixes(_lexical(rows), _lexical(known))
+        suffixes = cut(suffixes, "url-suffixes")
+        few = suffixes.count() <= BROADCAST_ROWS
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="_x", handleInvalid="keep")
-        model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=20, maxDepth=4, seed=7).fit(assembler.transform(_with_suffixes(taken, suffixes, prior)).select("_x", "label"))
-        rest = _with_suffixes(_lexical(ruled), suffixes, prior)
+        model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=20, maxDepth=4, seed=7).fit(assembler.transform(_with_suffixes(taken, suffixes, few, prior)).select("_x", "label"))
+        rest = _with_suffixes(_lexical(ruled), suffixes, few, prior)
         judged = model.transform(assembler.transform(rest)).withColumn("p_block", F.element_at(vector_to_array("probability"), 2))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("_rule").isNull(), F.col("p_block")).alias("p_block"))

@@ -484,6 +484,29 @@ def test_url_filters(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_url_trees_on_held_out_urls(spark):
+    """Noisy labelled urls; accuracy and AUC on those that the fitting did not see. Repeated rows and a very long url are judged too."""
+    dice = random.Random(3)
+    word = lambda n: "".join(dice.choice("abcdefghijklmnop") for _ in range(dice.randrange(3, n)))
+    def url(bad):
+        bad ^= dice.random() < 0.03
+        host = f"{word(9)}{dice.randrange(10**6)}-{word(5)}" if bad and dice.random() < 0.7 else word(9)
+        path = "/".join(word(8) + (str(dice.randrange(10**8)) if bad else "") for _ in range(dice.randrange(1, 5)))
+        query = "?" + "&".join(f"{word(4)}={dice.randrange(10**5)}" for _ in range(dice.randrange(1, 6))) if dice.random() < (0.6 if bad else 0.15) else ""
+        return f"http://{host}.{dice.choice(['net', 'info', 'dev'])}/{path}{query}"
+
+    rows = [(k, url(k % 2), k % 2) for k in range(1600)]
+    labelled = spark.createDataFrame([(u, b) for k, u, b in rows if k % 5], "url string, blocked int")
+    held = [r for r in rows if r[0] % 5 == 0]
+    pages = spark.createDataFrame([(k, u) for k, u, _ in held] + [(held[0][0], held[0][1]), (-1, "http://a.net/" + "x9" * 50000)], "page_id long, url string")
+    got = url_filters.judge(pages, labelled=labelled).collect()
+    assert len(got) == len(held) + 2
+    p = {r.page_id: r.p_block for r in got}
+    right = np.mean([(p[k] > 0.5) == bool(b) for k, _, b in held])
+    auc = np.mean([(p[i] > p[j]) + 0.5 * (p[i] == p[j]) for i, _, a in held if a for j, _, b in held if not b])
+    assert right > 0.85 and auc > 0.9, (right, auc)
+
+
 def test_mixing(spark, docs, rows, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
@@ -556,7 +579,7 @@ def test_squeeze():
 def test_url_suffix_statistics_cover_all_rows(spark, monkeypatch):
     urls = [f"http://a{k}.com/{'fr' if k % 3 else 'de'}/" for k in range(30)] + [f"http://b{k}.net/x" for k in range(60)] + ["http://c.org/", None]
     seen, join = [], url_filters._with_suffixes
-    monkeypatch.setattr(url_filters, "_with_suffixes", lambda df, suffixes, prior: seen.append((suffixes, prior)) or join(df, suffixes, prior))
+    monkeypatch.setattr(url_filters, "_with_suffixes", lambda df, suffixes, few, prior: seen.append((suffixes, prior)) or join(df, suffixes, few, prior))
     url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), sample=12).count()
     suffixes, prior = seen[0]
     got = {r._suffix: r for r in suffixes.collect()}
@@ -622,3 +645,14 @@ def test_planted_licences_are_found():
         assert name in [x[0] for x in scanner.scan(around)], name
     assert scanner.scan("word " * 2000 + license_scan.TEMPLATES[2][1] + " word" * 2000)[0][0] == "MIT"
 
+
+
+def test_quality_on_held_out_labels(spark):
+    """Held-out accuracy and AUC of the registered query on the labelled documents of sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    got = quality_crf.query(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r.score for r in got if r.quality], [r.score for r in got if not r.quality]
+    assert good and bad
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    right = np.mean([r.predicted == r.quality for r in got])
+    assert right > 0.95 and auc > 0.95, (right, auc, len(got))
