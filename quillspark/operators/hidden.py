@@ -38,17 +38,29 @@ def hits(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
     return F.when(text.rlike(char_class(wanted)), let(F.split(text, ""), loose)).otherwise(F.expr("array()").cast("array<struct<at:int,cp:int>>"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One finding per row, rule and code point: rule_id, confidence, code_point, count, and where first (offset, line, column in UTF-16 units)."""
-    text = F.col(text_col)
-    found = df.filter(text.rlike(HIDDEN)).select(F.col(id_col), text.alias("_text"), F.explode(hits(text)).alias("h"))
-    first = found.groupBy(id_col, F.col("h.cp").alias("cp")).agg(F.count("*").alias("count"), F.min(F.struct(F.col("h.at").alias("at"), F.col("_text"))).alias("f"))
-    before = F.substring(F.col("f._text"), 1, F.col("f.at"))
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One finding per row, rule and code point: rule_id, confidence, code_point, count, and where first (offset, line, column in UTF-16 units).
+
+    Places are worked out before anything is grouped, so no text is shuffled; keep: columns of the row that findings carry.
+    """
+    text, own = F.col(text_col), [id_col, *keep]
+
+    def by_code_point(found: Column) -> Column:
+        def first(cp: Column) -> Column:
+            same = F.filter(found, lambda h: h["cp"] == cp)
+            return F.struct(cp.alias("cp"), F.size(same).alias("n"), F.array_min(F.transform(same, lambda h: h["at"])).alias("at"))
+
+        return F.transform(F.array_distinct(F.transform(found, lambda h: h["cp"])), first)
+
+    found = df.filter(text.rlike(HIDDEN)).select(*own, text.alias("_text"), F.explode(let(hits(text), by_code_point)).alias("h"))
+    before = F.substring("_text", 1, F.col("h.at"))
+    lines = F.split(before, "\n", -1)
+    place = F.struct(F.col("h.at").alias("at"), utf16_length(before).cast("long").alias("offset"), F.size(lines).cast("long").alias("line"), (utf16_length(F.element_at(lines, -1)) + 1).cast("long").alias("column"))
+    placed = found.select(*own, F.col("h.cp").alias("cp"), F.col("h.n").alias("n"), place.alias("place"))
+    first = placed.groupBy(*own, "cp").agg(F.sum("n").alias("count"), F.min("place").alias("f"))
     rule = unicode_class(F.col("cp"))
-    return first.select(
-        id_col, rule.alias("rule_id"), F.when(rule.isin(rules.PROBABLE_CLASSES), "probable").otherwise("confirmed").alias("confidence"), code_point_label(F.col("cp")).alias("code_point"),
-        "count", utf16_length(before).cast("long").alias("offset"), F.size(F.split(before, "\n", -1)).cast("long").alias("line"), (utf16_length(F.element_at(F.split(before, "\n", -1), -1)) + 1).cast("long").alias("column"),
-    )
+    confidence = F.when(rule.isin(rules.PROBABLE_CLASSES), "probable").otherwise("confirmed")
+    return first.select(*own, rule.alias("rule_id"), confidence.alias("confidence"), code_point_label(F.col("cp")).alias("code_point"), "count", "f.offset", "f.line", "f.column")
 
 
 def clean(text: Column) -> Column:

@@ -69,7 +69,9 @@ def phrase_density(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", te
 
     The phrases go to the plan as one array, so documents are read once and nothing is joined.
     """
-    listed = [(r["category"], r["phrase"].lower()) for r in phrases.select("category", "phrase").limit(MOST).collect()]
+    listed = [(r["category"], r["phrase"].lower()) for r in phrases.select("category", "phrase").limit(MOST + 1).collect()]
+    if len(listed) > MOST:
+        raise ValueError(f"a rule table has over {MOST} rows")
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     hit = lambda p: ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long")
     kinds = sorted({c for c, _ in listed})

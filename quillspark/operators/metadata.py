@@ -60,15 +60,18 @@ def image_format(content: Column) -> Column:
 
 
 def data_uris(df: DataFrame, id_col: str = "page_id", text_col: str = "html", limits: dict = rules.LIMITS) -> DataFrame:
-    """Embedded images: target (<id>#data-uri-<n>), declared, bytes, actual format, error (per-item, count and running-total limits, mismatch)."""
+    """Embedded images: target (<id>#data-uri-<n>), declared, bytes, actual format, error (per-item and running-total limits, mismatch).
+
+    One row with data_uri_count_limit stands for all behind the count limit.
+    """
     pattern = f"{CI}{rules.DATA_URI}"
     each = df.filter(F.col(text_col).rlike("(?i)data:image/")).select(id_col, F.posexplode(F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("code"))).alias("n", "u"))
     estimate = F.floor(F.length("u.code") * 3 / 4)
-    sized = each.filter(F.col("n") < limits["data_uris"]).select(id_col, (F.col("n") + 1).alias("n"), F.lower("u.kind").alias("declared"), F.when(estimate <= limits["data_uri_bytes"], F.try_to_binary("u.code", F.lit("base64"))).alias("content"), estimate.alias("estimate"))
+    sized = each.filter(F.col("n") <= limits["data_uris"]).select(id_col, (F.col("n") + 1).alias("n"), F.lower("u.kind").alias("declared"), F.when((estimate <= limits["data_uri_bytes"]) & (F.col("n") < limits["data_uris"]), F.try_to_binary("u.code", F.lit("base64"))).alias("content"), estimate.alias("estimate"))
     running = F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).over(Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     actual = image_format(F.col("content"))
     wanted = F.when(F.col("declared") == "jpg", "jpeg").otherwise(F.col("declared"))
-    error = F.when(F.col("estimate") > limits["data_uri_bytes"], "data_uri_limit").when(F.col("total") > limits["data_uri_total"], "data_uri_total_limit").when(F.col("content").isNull() | F.coalesce(actual != wanted, F.lit(True)), "data_uri_mismatch")
+    error = F.when(F.col("n") > limits["data_uris"], "data_uri_count_limit").when(F.col("estimate") > limits["data_uri_bytes"], "data_uri_limit").when(F.col("total") > limits["data_uri_total"], "data_uri_total_limit").when(F.col("content").isNull() | F.coalesce(actual != wanted, F.lit(True)), "data_uri_mismatch")
     return sized.withColumn("total", running).select(id_col, F.concat(F.col(id_col).cast("string"), F.lit("#data-uri-"), F.col("n").cast("string")).alias("target"), "declared", F.octet_length("content").cast("long").alias("bytes"), actual.alias("actual"), error.alias("error"))
 
 
@@ -84,7 +87,7 @@ def text_format(name: Column, text: Column) -> Column:
 
 def is_text(content: Column) -> Column:
     """Valid UTF-8 without NUL."""
-    return F.is_valid_utf8(content.cast("string")) & ~F.contains(F.hex(content), F.lit("\0"))
+    return F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit(b"\0"))
 
 
 def strip_quotes(v: Column) -> Column:

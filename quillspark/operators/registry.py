@@ -10,16 +10,23 @@ from quillspark.functions.text import slug
 
 
 def unique_slugs(df: DataFrame, label: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """slug and a collision-free name: later rows of a slug get -2, -3, ...; taken (column name) are names already in use."""
+    """slug and a collision-free name: later rows of a slug get -2, -3, ..., passing over numbers that another row's own slug
+    or taken (column name: names already in use) holds. The first row of a slug keeps it unless it is taken."""
     rows = df.withColumn("slug", slug(F.col(label)))
+    held = rows.select(F.col("slug").alias("name"))
+    numbered = held if taken is None else held.unionByName(taken.select("name"))
+    number = F.regexp_extract("name", r"-([1-9]\d{0,8})$", 1)
+    reserved = numbered.filter(number != "").select(F.regexp_extract("name", r"^(.+)-[1-9]\d{0,8}$", 1).alias("_stem"), number.cast("int").alias("_k"))
     if taken is not None:
-        stems = taken.select(F.regexp_extract("name", r"^(.*?)(?:-(\d+))?$", 1).alias("_stem"), F.coalesce(F.regexp_extract("name", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("_n"))
-        used = stems.groupBy("_stem").agg(F.max("_n").alias("_used"))
-        rows = rows.join(used, F.col("slug") == F.col("_stem"), "left").drop("_stem")
-    else:
-        rows = rows.withColumn("_used", F.lit(None).cast("int"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(order)) + F.coalesce("_used", F.lit(0))
-    return rows.withColumn("name", F.when(n == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), n.cast("string")))).drop("_used")
+        reserved = reserved.unionByName(taken.select(F.col("name").alias("_stem"), F.lit(1).alias("_k")))
+    stems = rows.groupBy("slug").agg(F.count("*").alias("_rows")).select(F.col("slug").alias("_own"), "_rows")
+    # only numbers that a made name could reach
+    used = reserved.distinct().join(stems, F.col("_stem") == F.col("_own")).groupBy("_own").agg(F.array_sort(F.collect_set("_k")).alias("_used"))
+    joined = rows.join(used, F.col("slug") == F.col("_own"), "left").drop("_own")
+    n = F.row_number().over(Window.partitionBy("slug").orderBy(order))
+    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_n"), lambda k, r: F.when(r <= k, k + 1).otherwise(k))
+    named = joined.withColumn("_n", n).withColumn("_free", free)
+    return named.withColumn("name", F.when(F.col("_free") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("_free").cast("string")))).drop("_used", "_n", "_free")
 
 
 def collisions(df: DataFrame, name: str) -> DataFrame:

@@ -90,7 +90,7 @@ def pair_matrix(spark, sf):
 
 
 def timeline_order(spark, sf):
-    o = _t(spark, sf, "orders").filter("o_custkey % 10 = 0").withColumn("date", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
+    o = _t(spark, sf, "orders").withColumn("date", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
     return story.timeline_order(o, "o_custkey", "o_orderkey", "date").select("o_custkey", "o_orderkey", F.col("story_pos").cast("long").alias("story_pos"), F.col("date_pos").cast("long").alias("date_pos"), "moved")
 
 
@@ -114,7 +114,7 @@ def reference_density(spark, sf):
 
 def numbering_faults(spark, sf):
     li = _t(spark, sf, "lineitem").filter("l_partkey % 3 <> 0")
-    return story.numbering_faults(li.filter("l_orderkey < 3000").withColumn("l_linenumber", F.col("l_linenumber").cast("long")), "l_orderkey", "l_linenumber")
+    return story.numbering_faults(li.withColumn("l_linenumber", F.col("l_linenumber").cast("long")), "l_orderkey", "l_linenumber")
 
 
 def orphans_both_ways(spark, sf):
@@ -185,7 +185,7 @@ def worst_verdicts(spark, sf):
 
 
 def unregistered_names(spark, sf):
-    docs = _t(spark, sf, "documents").filter("lang = 'en'")
+    docs = _t(spark, sf, "documents")
     return drift.unregistered_names(docs, spark.createDataFrame([("The",), ("And",)], "name string"), "doc_id", "text", 2)
 
 
@@ -204,7 +204,7 @@ def scaffold_markers(spark, sf):
 
 
 def cleanup_blocks(spark, sf):
-    docs = inject.documents(spark, sf).filter("doc_id % 10 IN (8, 9)")
+    docs = inject.documents(spark, sf)
     return docs.select("doc_id", F.sha2(assembly.cleanup(F.col("text")), 256).alias("clean_sha256"))
 
 
@@ -267,7 +267,7 @@ def runtime_availability(spark, sf):
 
 def keyword_routing(spark, sf):
     keys = spark.createDataFrame([(1, "ing", "draft"), (2, "the", "review"), (3, "que", "translate")], "priority int, keyword string, hub string")
-    return registry.match_command(_t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("request")), "request", keys).select("doc_id", "hub")
+    return registry.match_command(_t(spark, sf, "documents").select("doc_id", F.col("text").alias("request")), "request", keys).select("doc_id", "hub")
 
 
 def preserved_copy(spark, sf):
@@ -314,12 +314,12 @@ ORACLES = {
     "thread_matrix": f"SELECT event_type, {', '.join(f'count(*) FILTER (WHERE dayofweek(ts) = {k}) AS u{k + 1}' for k in range(7))} FROM events GROUP BY event_type",
     "convergence": "SELECT ts::DATE::VARCHAR AS unit, count(DISTINCT event_type) AS threads, count(DISTINCT event_type) >= 3 AS dense FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2",
     "pair_matrix": "WITH e AS (SELECT x.n_regionkey, least(x.n_name, y.n_name) AS a, greatest(x.n_name, y.n_name) AS b, min(CASE WHEN x.n_nationkey % 2 = 0 THEN 'none' ELSE 'ally' END) AS kind FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND y.n_nationkey - x.n_nationkey IN (1, 2) GROUP BY ALL) SELECT x.n_regionkey, x.n_name AS a, y.n_name AS b, CASE WHEN kind IS NULL THEN 'undefined' WHEN kind = 'none' THEN 'none' ELSE 'described' END AS state FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name LEFT JOIN e ON e.n_regionkey = x.n_regionkey AND e.a = x.n_name AND e.b = y.n_name",
-    "timeline_order": "WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS d FROM orders WHERE o_custkey % 10 = 0), p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS story_pos, row_number() OVER (PARTITION BY o_custkey ORDER BY d NULLS LAST, o_orderkey) AS date_pos FROM o) SELECT *, story_pos <> date_pos AS moved FROM p",
+    "timeline_order": "WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS d FROM orders), p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS story_pos, row_number() OVER (PARTITION BY o_custkey ORDER BY d NULLS LAST, o_orderkey) AS date_pos FROM o) SELECT *, story_pos <> date_pos AS moved FROM p",
     "chronology_conflicts": "WITH p AS (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders) SELECT o_custkey, o_orderkey FROM p WHERE prev > o_orderdate",
     "descendants": "WITH RECURSIVE e AS (SELECT (n_nationkey // 3)::BIGINT AS parent, n_nationkey::BIGINT AS child FROM nation WHERE n_nationkey // 3 <> n_nationkey), r(root, node, depth) AS (SELECT DISTINCT parent, parent, 0::BIGINT FROM e WHERE parent < 3 UNION SELECT root, child, depth + 1 FROM r JOIN e ON parent = node) SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL",
     "contradictions": "SELECT l_orderkey, l_returnflag, count(DISTINCT l_suppkey) AS parents FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1",
     "reference_density": "SELECT l_partkey % 25 AS brand, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL",
-    "numbering_faults": "WITH g AS (SELECT l_orderkey, l_linenumber::BIGINT AS l, count(*) AS n FROM lineitem WHERE l_partkey % 3 <> 0 AND l_orderkey < 3000 GROUP BY ALL), s AS (SELECT *, lead(l) OVER (PARTITION BY l_orderkey ORDER BY l) AS nx FROM g) SELECT l_orderkey, 'missing' AS kind, l + 1 AS first, nx - 1 AS last FROM s WHERE nx - l > 1 UNION ALL SELECT l_orderkey, 'duplicate', l, l FROM g WHERE n > 1",
+    "numbering_faults": "WITH g AS (SELECT l_orderkey, l_linenumber::BIGINT AS l, count(*) AS n FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL), s AS (SELECT *, lead(l) OVER (PARTITION BY l_orderkey ORDER BY l) AS nx FROM g) SELECT l_orderkey, 'missing' AS kind, l + 1 AS first, nx - 1 AS last FROM s WHERE nx - l > 1 UNION ALL SELECT l_orderkey, 'duplicate', l, l FROM g WHERE n > 1",
     "orphans_both_ways": "SELECT DISTINCT doc_id, 'left_only' AS side FROM documents WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'right_only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
     "citation_audit": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)",
     "recorded_vs_derived": "WITH d AS (SELECT l_orderkey AS key, round(sum(l_extendedprice), 2) AS derived FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey AS key, round(o_totalprice, 2) AS recorded FROM orders) SELECT key, recorded, derived, round(derived - recorded, 2) AS delta FROM r FULL JOIN d USING (key) WHERE derived IS NULL OR recorded IS NULL OR abs(derived - recorded) > 10",
@@ -331,11 +331,11 @@ ORACLES = {
     "compare_units": "WITH k AS (SELECT source AS unit, doc_id AS pos, CASE WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' END AS kind FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY unit) AS changes, row_number() OVER (PARTITION BY unit ORDER BY pos) AS n FROM k WHERE kind IS NOT NULL) SELECT unit, pos, kind, changes FROM c WHERE n <= 10",
     "stage_buckets": "SELECT CASE WHEN o_orderkey % 2 <> 0 THEN 'planned' WHEN o_orderkey % 3 <> 0 THEN 'drafted' WHEN o_orderkey % 5 <> 0 THEN 'reviewed' WHEN o_orderkey % 7 <> 0 THEN 'submitted' ELSE 'complete' END AS next_stage, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'done' WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 'in_progress' ELSE 'untouched' END AS bucket, count(*) AS n FROM orders GROUP BY ALL",
     "worst_verdicts": "WITH m AS (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT CASE WHEN q > 45 THEN 'BLOCKER' WHEN q > 30 THEN 'ACTION' WHEN q > 10 THEN 'CAUTION' ELSE 'none' END AS verdict, count(*) AS n FROM m GROUP BY 1",
-    "unregistered_names": r"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = 'en'), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), p AS (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM e) SELECT regexp_extract(x, '^(\p{Lu}\p{Ll}{2,})', 1) AS name, count(DISTINCT doc_id) AS docs FROM p WHERE regexp_matches(prev, '[\p{Ll},]$') AND regexp_matches(x, '^\p{Lu}\p{Ll}{2,}') AND regexp_extract(x, '^(\p{Lu}\p{Ll}{2,})', 1) NOT IN ('The', 'And') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2",
+    "unregistered_names": r"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), p AS (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM e) SELECT regexp_extract(x, '^(\p{Lu}\p{Ll}{2,})', 1) AS name, count(DISTINCT doc_id) AS docs FROM p WHERE regexp_matches(prev, '[\p{Ll},]$') AND regexp_matches(x, '^\p{Lu}\p{Ll}{2,}') AND regexp_extract(x, '^(\p{Lu}\p{Ll}{2,})', 1) NOT IN ('The', 'And') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2",
     "conflict_markers": "WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 9 = 0) SELECT doc_id, 1::BIGINT AS line, '<<<<<<<' AS marker FROM l UNION ALL SELECT doc_id, n + 2, '=======' FROM l UNION ALL SELECT doc_id, n + 4, '>>>>>>>' FROM l",
     "newest_not_undone": "SELECT user_id, arg_max(event_id::VARCHAR, (floor(epoch(ts))::BIGINT, event_id::VARCHAR)) AS hash, max(floor(epoch(ts))::BIGINT) AS ts FROM events WHERE event_type <> 'click' AND event_id % 3 <> 0 GROUP BY user_id",
     "scaffold_markers": "SELECT doc_id, unnest([1, 2, 5])::BIGINT AS line, unnest(['fill_in', 'alternate', 'duplicate_heading']) AS kind FROM documents WHERE doc_id % 10 = 8",
-    "cleanup_blocks": "SELECT doc_id, sha256(CASE doc_id % 10 WHEN 8 THEN chr(10) || '# One' || chr(10) || text ELSE text END) AS clean_sha256 FROM documents WHERE doc_id % 10 IN (8, 9)",
+    "cleanup_blocks": f"WITH {inject.DOCS_SQL} SELECT doc_id, sha256(CASE doc_id % 10 WHEN 8 THEN chr(10) || '# One' || substr(t, length('[Fill in: a]~Alternate 1: b~~# One~# Two') + 1) ELSE t END) AS clean_sha256 FROM inj",
     "assemble_text_hash": "SELECT conv_id, count(*) AS parts, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id",
     "unit_reorder": "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), n AS (SELECT *, CASE WHEN pos = 7 THEN 3 WHEN pos < 7 AND pos >= 3 THEN pos + 1 ELSE pos END::BIGINT AS new_pos FROM p) SELECT *, new_pos <> pos AS changed FROM n",
     "split_points": r"WITH s AS (SELECT source, doc_id, len(regexp_extract_all(text, '\S+')) AS w FROM documents), c AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY source) AS total FROM s) SELECT source, min(doc_id) AS split_at FROM c WHERE upto >= 0.3::DOUBLE * total GROUP BY source",
@@ -344,6 +344,6 @@ ORACLES = {
     "surface_tiers": "SELECT * FROM (VALUES ('novel', 'cast', 'core', 'CHARACTERS.md'), ('novel', 'world', 'optional', 'WORLD.md'), ('runbook', 'cast', 'hidden', 'ROLES.md'), ('runbook', 'world', 'core', 'WORLD.md'), ('poem', 'cast', 'optional', 'CHARACTERS.md')) v(work_type, surface, tier, name)",
     "profile_commands": "SELECT * FROM (VALUES ('core', 'a'), ('core', 'b'), ('wide', 'a'), ('wide', 'b'), ('wide', 'c'), ('wide', 'd'), ('loop', 'a'), ('loop', 'b'), ('loop', 'c'), ('loop', 'd'), ('full', 'a'), ('full', 'b'), ('full', 'c'), ('full', 'd'), ('full', 'e')) v(profile, command)",
     "runtime_availability": "WITH h AS (SELECT DISTINCT s_nationkey AS r, s_suppkey % 3 AS k FROM supplier), g AS (SELECT n_nationkey AS r, k FROM nation, (VALUES (0), (1), (2)) v(k)) SELECT g.r::VARCHAR AS runtime, count(*) AS expected, count(h.k) AS present, coalesce(string_agg(g.k::VARCHAR, ',' ORDER BY g.k) FILTER (WHERE h.k IS NULL), '') AS missing, CASE WHEN count(h.k) = 3 THEN 'ready' WHEN count(h.k) > 0 THEN 'partial' ELSE 'missing' END AS status FROM g LEFT JOIN h ON g.r = h.r AND g.k = h.k GROUP BY g.r",
-    "keyword_routing": "SELECT doc_id, CASE WHEN contains(lower(text[1:60]), 'ing') THEN 'draft' WHEN contains(lower(text[1:60]), 'the') THEN 'review' WHEN contains(lower(text[1:60]), 'que') THEN 'translate' END AS hub FROM documents",
+    "keyword_routing": "SELECT doc_id, CASE WHEN contains(lower(text), 'ing') THEN 'draft' WHEN contains(lower(text), 'the') THEN 'review' WHEN contains(lower(text), 'que') THEN 'translate' END AS hub FROM documents",
     "preserved_copy": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'stale' WHEN doc_id % 3 = 0 THEN 'fresh' WHEN doc_id % 2 = 0 THEN 'backed_up' ELSE 'replaced' END AS kind, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 0 GROUP BY 1",
 }

@@ -50,7 +50,7 @@ def unicode_scan(spark, sf):
 
 def unicode_totals_by_lang(spark, sf):
     docs = inject.documents(spark, sf)
-    return hidden.scan(docs).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "rule_id", "confidence").agg(F.count_distinct("doc_id").alias("docs"), F.sum("count").alias("n"))
+    return hidden.scan(docs, keep=("lang",)).groupBy("lang", "rule_id", "confidence").agg(F.count_distinct("doc_id").alias("docs"), F.sum("count").alias("n"))
 
 
 def clean_text_hash(spark, sf):
@@ -76,7 +76,7 @@ def _targets(docs):
 
 def audit_status(spark, sf):
     docs = inject.documents(spark, sf)
-    findings = hidden.scan(docs).join(docs.select("doc_id", F.col("source").alias("run_id")), "doc_id").select("run_id")
+    findings = hidden.scan(docs, keep=("source",)).select(F.col("source").alias("run_id"))
     errors = docs.filter("doc_id % 97 = 0").select(F.col("source").alias("run_id"), F.when(F.col("doc_id") % 2 == 0, "remote_unsupported").otherwise("unsafe_path").alias("code"))
     return metadata.fold_status(findings, errors, _targets(docs))
 
@@ -108,7 +108,7 @@ def front_matter_values(spark, sf):
 
 
 def front_matter_clean(spark, sf):
-    docs = inject.documents(spark, sf).filter("doc_id % 10 IN (7, 8)")
+    docs = inject.documents(spark, sf)
     cleaned = hidden.clean_front_matter(F.col("text"))
     return docs.select("doc_id", F.sha2(cleaned, 256).alias("clean_sha256"), F.sha2(metadata.strip_front_matter(F.col("text")), 256).alias("body_sha256"))
 
@@ -172,7 +172,7 @@ SELECT page_id, page_id || '#data-uri-' || n AS target, lower(declared) AS decla
 UNION ALL SELECT 'page', page_id, CASE WHEN lower(ltrim(html)) LIKE '<svg%' THEN 'svg' WHEN lower(ltrim(html)) LIKE '<html%' OR lower(ltrim(html)) LIKE '<!doctype html%' THEN 'html' ELSE 'text' END FROM pg""",
     "front_matter_values": f"""WITH {inject.DOCS_SQL}, l AS (SELECT doc_id, unnest(string_split(regexp_extract(t, '^---\\n((.|\\n)*?)\\n---\\n', 1), chr(10))) AS s, generate_subscripts(string_split(regexp_extract(t, '^---\\n((.|\\n)*?)\\n---\\n', 1), chr(10)), 1) AS n FROM inj WHERE t LIKE '---%')
 SELECT doc_id, trim(string_split(s, ':')[1]) AS key, arg_min(trim(regexp_replace(s, '^[^:]*:', '')), n) AS value FROM l WHERE s LIKE '%:%' GROUP BY ALL""",
-    "front_matter_clean": "SELECT doc_id, sha256(CASE doc_id % 10 WHEN 7 THEN '---' || chr(10) || 'title: y' || chr(10) || '---' || chr(10) || text ELSE '[Fill in: a]' || chr(10) || 'Alternate 1: b' || chr(10) || chr(10) || '# One' || chr(10) || '# Two' || chr(10) || text END) AS clean_sha256, sha256(CASE doc_id % 10 WHEN 7 THEN text ELSE '[Fill in: a]' || chr(10) || 'Alternate 1: b' || chr(10) || chr(10) || '# One' || chr(10) || '# Two' || chr(10) || text END) AS body_sha256 FROM documents WHERE doc_id % 10 IN (7, 8)",
+    "front_matter_clean": f"WITH {inject.DOCS_SQL} SELECT inj.doc_id, sha256(CASE inj.doc_id % 10 WHEN 7 THEN '---' || chr(10) || 'title: y' || chr(10) || '---' || chr(10) || text ELSE t END) AS clean_sha256, sha256(CASE inj.doc_id % 10 WHEN 7 THEN text ELSE t END) AS body_sha256 FROM inj JOIN documents USING (doc_id)",
     "writing_policy": f"""WITH {inject.DOCS_SQL}, m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'a ' || chr(8212) || ' b' || chr(10) || 'c ' || chr(8211) || ' d ' || chr(8211) || chr(10) || t ELSE t END AS t FROM inj),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM m),
 c AS (SELECT doc_id, line, unnest(regexp_extract_all(s, '[\\x{{2013}}\\x{{2014}}]|{EMOJI}')) AS c FROM l)

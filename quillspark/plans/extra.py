@@ -30,12 +30,12 @@ def service_urls(spark, sf):
 
 
 def markdown_cells(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.sha2(tx.markdown_escape(F.substring("text", 1, 400)), 256).alias("escaped_sha256"))
+    return _t(spark, sf, "documents").select("doc_id", F.sha2(tx.markdown_escape(F.col("text")), 256).alias("escaped_sha256"))
 
 
 def report_markdown(spark, sf):
     docs = inject.documents(spark, sf)
-    found = hidden.scan(docs).join(docs.select("doc_id", F.col("source").alias("run_id")), "doc_id").withColumn("target", F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    found = hidden.scan(docs, keep=("source",)).withColumnRenamed("source", "run_id").withColumn("target", F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
     return reports.markdown(found).select("run_id", F.size(F.split("report", "\n")).cast("long").alias("lines"))
 
 
@@ -67,7 +67,7 @@ def _range(network, bits):
 ORACLES = {
     "ip_classes": f"WITH n AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN (event_id % 256) * 16777216 + (event_id // 7 % 256) * 65536 + (event_id // 3 % 256) * 256 + event_id * 13 % 256 END AS number FROM events) SELECT event_id, number, coalesce(NOT ({' OR '.join(_range(*r) for r in reports.SPECIAL_RANGES)}), false) AS global FROM n",
     "service_urls": "SELECT page_id, CASE WHEN contains(url, '?') OR contains(url, '#') THEN 'query_or_fragment' WHEN url LIKE 'http://%' THEN 'plain_http' END AS error FROM pages",
-    "markdown_cells": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text[1:400], '\r?\n|\r', ' ', 'g'), '([\\`*\[\]{}#|<>])', '\\\1', 'g')) AS escaped_sha256 FROM documents",
+    "markdown_cells": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\r?\n|\r', ' ', 'g'), '([\\`*\[\]{}#|<>])', '\\\1', 'g')) AS escaped_sha256 FROM documents",
     "report_markdown": f"WITH {FINDINGS} SELECT source AS run_id, count(*)::BIGINT + 5 AS lines FROM fd JOIN documents USING (doc_id) GROUP BY source",
     "progress_bars": "WITH o AS (SELECT o_orderkey, o_orderkey % 13 AS d, o_orderkey % 17 AS t FROM orders), k AS (SELECT *, CASE WHEN t > 0 THEN greatest(0, least(10, floor(d / t * 10 + 0.5)))::INTEGER ELSE 0 END AS k FROM o) SELECT o_orderkey, repeat('█', k) || repeat('░', 10 - k) AS bar, CASE WHEN t > 0 THEN floor(d / t * 100 + 0.5)::BIGINT ELSE 0 END AS percent FROM k",
     "code_point_labels": f"WITH c AS (SELECT o_orderkey, o_orderkey * 37 % 1114112 AS cp FROM orders) SELECT o_orderkey, 'U+' || lpad(printf('%X', cp), greatest(4, length(printf('%X', cp)))::INTEGER, '0') AS label, CASE {' '.join(f'WHEN {_sql_in(r)} THEN {n!r}' for n, _, r in rules.UNICODE_CLASSES)} END AS rule_id FROM c",

@@ -12,7 +12,7 @@ def _t(spark, sf, name):
 
 
 def metadata_elements(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("<generator>tool x</generator><dc:author>me</dc:author><author kind='c2pa'>y</author><p data-ai-model=\"m\" id='1'>"), F.substring("text", 1, 50)).alias("t"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("<generator>tool x</generator><dc:author>me</dc:author><author kind='c2pa'>y</author><p data-ai-model=\"m\" id='1'>"), F.col("text")).alias("t"))
     return docs.select("doc_id", F.md5(g.clean_metadata_elements(F.col("t"))).alias("cleaned_md5"))
 
 
@@ -90,7 +90,7 @@ def proposal_tally(spark, sf):
 
 
 def reference_rewrite(spark, sf):
-    t = F.concat(F.lit("see /cmd:sacred:genealogy and /cmd:save, "), F.substring("text", 1, 30))
+    t = F.concat(F.lit("see /cmd:sacred:genealogy and /cmd:save, "), F.col("text"))
     return _t(spark, sf, "documents").select("doc_id", g.rewrite_refs(t, {"flat": r"\$cmd-$1"}).alias("text"))
 
 
@@ -98,7 +98,7 @@ QUERIES = {f.__name__: f for f in (metadata_elements, artifact_plans, safe_apply
 
 _SLUG = "coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-'), ''), 'untitled')"
 ORACLES = {
-    "metadata_elements": "SELECT doc_id, md5('<generator></generator><dc:author>me</dc:author><author kind=''c2pa''></author><p id=''1''>' || text[1:50]) AS cleaned_md5 FROM documents",
+    "metadata_elements": "SELECT doc_id, md5('<generator></generator><dc:author>me</dc:author><author kind=''c2pa''></author><p id=''1''>' || text) AS cleaned_md5 FROM documents",
     "artifact_plans": "WITH p AS (SELECT doc_id, 'cleaned/drafts/' || CASE WHEN doc_id % 9 = 0 THEN 'Same' || doc_id % 5 ELSE doc_id::VARCHAR END || '-cleaned.md' AS output FROM documents) SELECT doc_id, output, count(*) OVER (PARTITION BY lower(output)) > 1 AS conflict FROM p",
     "safe_apply": "SELECT ['manual-gated', 'agent-ready', 'read-only', 'local-helper'][event_id % 4 + 1] AS lane, CASE event_id % 4 WHEN 0 THEN 'manual_gate' WHEN 1 THEN 'agent_candidate' WHEN 2 THEN 'suggested' ELSE CASE WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'ran' ELSE 'ready' END END AS kind, count(*) AS n FROM events GROUP BY ALL",
     "json_depth": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 40 ELSE 4 END::BIGINT AS depth, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 40 ELSE 7 END::BIGINT AS nodes, CASE event_id % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'too_deep' END AS error FROM events",
@@ -112,5 +112,5 @@ ORACLES = {
     "arc_types": "SELECT CASE WHEN o_orderkey % 15 <= 1 THEN 'single' WHEN o_orderkey % 11 = 0 THEN 'cyclical' WHEN o_orderkey % 3 = 0 AND o_orderkey % 15 >= 12 THEN 'journey' WHEN o_orderkey % 4 = 0 THEN 'mystery' WHEN o_orderkey % 15 >= 9 THEN 'five_act' ELSE 'three_act' END AS arc, count(*) AS n FROM orders GROUP BY 1",
     "term_snippets": "WITH a AS (SELECT doc_id, text, instr(lower(text), 'license') AS p FROM documents) SELECT doc_id, (p - 1)::BIGINT AS at, substr(text, greatest(1, p - 20), p - greatest(1, p - 20) + 27) AS snippet FROM a WHERE p > 0",
     "proposal_tally": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'open' WHEN o_orderkey % 2 = 0 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN o_orderkey % 5 = 0 THEN 'open' WHEN o_orderkey % 7 = 0 THEN 'agree' ELSE 'query' END AS response, count(*) AS n FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 = 0) GROUP BY ALL",
-    "reference_rewrite": "SELECT doc_id, 'see $cmd-sacred-genealogy and $cmd-save, ' || text[1:30] AS text FROM documents",
+    "reference_rewrite": "SELECT doc_id, 'see $cmd-sacred-genealogy and $cmd-save, ' || text AS text FROM documents",
 }

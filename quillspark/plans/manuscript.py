@@ -72,7 +72,7 @@ def style_measures(spark, sf):
 
 
 def variant_forms(spark, sf):
-    return m.variant_forms(_docs(spark, sf).filter("lang = 'en'"))
+    return m.variant_forms(_docs(spark, sf))
 
 
 TRIMS = [("5x8", 250, 828), ("6x9", 300, 800), ("large", 180, 30)]
@@ -161,7 +161,7 @@ z AS (SELECT *, CASE WHEN stddev_pop(ml) OVER o > 0 THEN round((ml - avg(ml) OVE
 SELECT doc_id, chunk, round(ml, 4) AS mean_length, z FROM z WHERE abs(z) > 2""",
     "style_measures": rf"""WITH s AS (SELECT doc_id, {_LENS} AS n, regexp_extract_all(lower(text), '\S+') AS w FROM documents)
 SELECT doc_id, len(w)::BIGINT AS words, len(n)::BIGINT AS sentences, round(list_stddev_pop(n) / list_avg(n), 4) AS burstiness, round(len(list_distinct(w)) / len(w), 4) AS diversity FROM s WHERE len(n) > 0""",
-    "variant_forms": r"""WITH t AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}-]*\p{L}')) AS form FROM documents WHERE lang = 'en'), c AS (SELECT form, count(*) AS n FROM t GROUP BY form)
+    "variant_forms": r"""WITH t AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}-]*\p{L}')) AS form FROM documents), c AS (SELECT form, count(*) AS n FROM t GROUP BY form)
 SELECT replace(lower(form), '-', '') AS key, count(*) AS forms, sum(n)::BIGINT AS total, arg_max(form, (n, form)) AS chosen FROM c GROUP BY 1 HAVING count(*) > 1""",
     "page_estimate": f"WITH {_STATS}, p(trim, wpp, cap) AS (VALUES {_values(TRIMS)}) SELECT doc_id, trim, words, floor(words / wpp + 0.5)::BIGINT AS pages, CASE WHEN floor(words / wpp + 0.5) > cap THEN 'block' WHEN floor(words / wpp + 0.5) > 0.9 * cap THEN 'warn' ELSE 'ok' END AS verdict FROM st, p",
     "range_guidance": f"WITH {_STATS}, p(kind, low, high) AS (VALUES {_values(RANGES)}) SELECT doc_id, words, coalesce(kind, 'outside') AS kind FROM st LEFT JOIN p ON words >= low AND words < high",

@@ -66,7 +66,7 @@ def command_lanes(spark, sf):
 
 def route_graph(spark, sf):
     """Chains are the event types of each user in order (an adaptation); families hold the types by their first letter."""
-    events = spark.read.parquet(f"{sf}/events.parquet").filter("user_id % 50 = 0")
+    events = spark.read.parquet(f"{sf}/events.parquet")
     lists = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("names")).select(F.lit("intent").alias("kind"), F.col("user_id").cast("string").alias("label"), "names")
     types = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("name")).distinct()
     families = types.groupBy(F.substring("name", 1, 1).alias("label")).agg(F.min("name").alias("hub"), F.array_sort(F.collect_set("name")).alias("members"))
@@ -126,7 +126,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY project_id, role ORDER BY mtime
 w AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY size DESC, rel_path DESC) AS top FROM z)
 SELECT project_id, count(*) AS files, sum(size)::BIGINT AS bytes, ceil(sum(size) / 4)::BIGINT AS tokens, CASE WHEN ceil(sum(size) / 4) >= 120000 THEN 'critical' WHEN ceil(sum(size) / 4) >= 80000 THEN 'tight' WHEN ceil(sum(size) / 4) >= 45000 THEN 'watch' ELSE 'ok' END AS state, string_agg(rel_path, ',' ORDER BY top) FILTER (WHERE top <= 5) AS largest FROM w GROUP BY project_id""",
     "command_lanes": "SELECT * FROM (VALUES ('draft', 'core', 'agent-ready', 3), ('plan', 'core', 'agent-ready', 3), ('save', 'session', 'local-helper', 2), ('export', 'publishing', 'manual-gated', 4), ('help', 'navigation', 'read-only', 1), ('polish', 'quality', 'agent-or-local', 3), ('odd', 'none', 'read-only', 1), ('undo', 'session', 'manual-gated', 4)) v(name, category, lane, level)",
-    "route_graph": """WITH e AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE user_id % 50 = 0),
+    "route_graph": """WITH e AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 t AS (SELECT DISTINCT event_type AS name FROM events), f AS (SELECT name[1:1] AS label, min(name) AS hub FROM t GROUP BY 1),
 al AS (SELECT DISTINCT 'intent' AS kind, user_id::VARCHAR AS label, src, dst FROM e WHERE dst IS NOT NULL UNION SELECT 'family', label, hub, name FROM f JOIN t ON name[1:1] = label WHERE hub <> name)
 SELECT kind, src, dst, count(*) AS edges FROM al WHERE src <> 'click' AND dst <> 'click' GROUP BY ALL""",

@@ -10,6 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import rules
 from quillspark.functions import text as tx
 from quillspark.operators import assembly, drift, hidden, manuscript, metadata, projects, registry, reports, story, translation
 from quillspark.sources import containers, files
@@ -283,3 +284,26 @@ def test_cycles_end(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long")
     got = story.descendants(edges, spark.createDataFrame([(1,)], "node long"))
     assert sorted((r.node, r.depth) for r in got.collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_slugs_pass_over_names_that_other_rows_hold(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a 2"), (4, "a"), (5, "a 2")], "id int, label string")
+    names = [r.name for r in registry.unique_slugs(df, "label", "id").orderBy("id").collect()]
+    assert names == ["a", "a-3", "a-2", "a-4", "a-2-2"]
+
+
+def test_text_has_no_nul(spark):
+    df = spark.createDataFrame([(1, bytearray(b"plain \xc3\xa9")), (2, bytearray(b"a\0b")), (3, bytearray(b"\xff\xfe"))], "id int, content binary")
+    assert [r.x for r in df.orderBy("id").select(metadata.is_text(F.col("content")).alias("x")).collect()] == [True, False, False]
+
+
+def test_data_uris_past_the_count_limit_are_told(spark):
+    df = spark.createDataFrame([(1, f'<img src="data:image/png;base64,{"iVBORw0KGgo="}">' * 5)], "page_id int, html string")
+    got = metadata.data_uris(df, limits={**rules.LIMITS, "data_uris": 3}).orderBy("target").collect()
+    assert [r.error for r in got] == [None, None, None, "data_uri_count_limit"]
+
+
+def test_findings_carry_kept_columns_and_first_places(spark):
+    df = spark.createDataFrame([(1, "ab\nc​d​ ", "s")], "doc_id int, text string, source string")
+    got = {r.code_point: (r["count"], r.offset, r.line, r.column, r.source) for r in hidden.scan(df, keep=("source",)).collect()}
+    assert got["U+200B"][:4] == (2, 4, 2, 2) and {g[4] for g in got.values()} == {"s"}
