@@ -45,11 +45,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of the Arrow batches that Python workers get while a table is written: buffers, and what workers keep of them, stay small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: what follows no longer depends on executors' files."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = new_path(spark, name), {k: spark.conf.get(k, None) for k in ARROW}
+    try:
+        for k, v in ARROW.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
