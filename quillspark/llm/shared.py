@@ -45,8 +45,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows and bytes of the Arrow batches that Python workers get while a table is written: buffers, and what workers keep of them, stay small.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Bytes of the Arrow batches that Python workers get while a table is written, whatever the length of texts: buffers stay small.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ table keeps: no pair is missed, whatever the random choice.
 
 Rows are reduced to distinct fingerprints first, so copies cost one row. In a table's bucket not all pairs are emitted
 but links that span its groups of fingerprints within the radius: a bucket of up to BUCKET fingerprints is compared in
-one block; the fingerprints of larger ones are linked over hubs, exactly: x and y are within r if and only if a point
+one block of one pass over all buckets; the fingerprints of larger ones are linked over hubs, exactly: x and y are within r if and only if a point
 lies within ceil(r/2) of one and floor(r/2) of the other, so each fingerprint is dealt to the points around it and each
 point links what meets there. Components come from alternating stars over the written links.
 
@@ -129,11 +129,38 @@ def spanning_links(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             front, left = left[near], left[~near]
 
 
-def _links(radius: int):
+def _bucket_links(radius: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (tab, key, fp) sorted by bucket to links (a, b); of a bucket over most, whose fingerprints are not held, one row without a link."""
+        now, held, n, found = None, [], 0, []
+
+        def ended():
+            if n > most:
+                found.append((*now, None, None))
+            elif n > 1:
+                found.extend((*now, _signed(x), _signed(y)) for x, y in spanning_links(np.concatenate(held), radius))
+
+        def give():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["tab", "key", "a", "b"])
+
         for batch in batches:
-            found = [p for x in batch.column(0).to_pylist() for p in spanning_links(np.array(x, np.int64), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in found], np.uint64).view(np.int64), pa.int64()) for k in (0, 1)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            tab, key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            first = np.concatenate([[0], np.flatnonzero((np.diff(tab) != 0) | (np.diff(key) != 0)) + 1])
+            last = np.append(first[1:], len(tab))
+            many = last - first > 1
+            many[[0, -1]] = True  # a bucket may go on in the next batch
+            for s, e in zip(first[many].tolist(), last[many].tolist()):
+                if (at := (int(tab[s]), int(key[s]))) != now:
+                    ended()
+                    now, held, n = at, [], 0
+                n += e - s
+                held = [*held, fp[s:e]] if n <= most else []
+            yield give()
+            found.clear()
+        ended()
+        yield give()
 
     return run
 
@@ -162,13 +189,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed:
     masks = covering_masks(radius, seed)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: few bytes come in, many rows go out
     keyed = distinct.select("fp").repartition(parts, "fp").mapInArrow(_keys(masks), "tab int, key long, fp long")
-    sizes = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    large = cut(sizes.filter(F.col("n") > bucket), "simhash-large")
-    blocks = keyed.join(large.select("tab", "key"), ["tab", "key"], "left_anti").groupBy("tab", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    found = blocks.select("fps").mapInArrow(_links(radius), "a long, b long")
+    dealt = keyed.repartition("tab", "key").sortWithinPartitions("tab", "key")  # distinct fingerprints: a few bytes a row, and only BUCKET of them are held
+    found = cut(dealt.mapInArrow(_bucket_links(radius, bucket), "tab int, key long, a long, b long"), "simhash-buckets")
+    large, found = found.filter("a IS NULL").select("tab", "key"), found.filter("a IS NOT NULL").select("a", "b")
     if large.isEmpty():
         return found
-    hot = keyed.join(large.select("tab", "key"), ["tab", "key"]).select("tab", "fp").repartition("fp", "tab")
+    hot = keyed.join(large, ["tab", "key"]).select("tab", "fp").repartition("fp", "tab")
     hubs = cut(hot.mapInArrow(_hubs(masks, radius), "hub long, fp long, close boolean").distinct(), "simhash-hubs")
     anchors = hubs.filter("close").groupBy("hub").agg(F.min("fp").alias("a"))  # all that meet at a hub are within the radius of a close one
     return found.unionByName(hubs.join(anchors, "hub").select("a", F.col("fp").alias("b")).filter("a <> b").distinct())
