@@ -1,7 +1,7 @@
 """Near-duplicate removal with operator 3: SimHash components, verified by word shingles; one document of each group stays.
 
 1. Texts that are equal but for letter case (A-Z) and white space are one (the smallest doc_id stands for them).
-2. The distinct texts' fingerprints over distinct words (simhash.distinct_words) are linked by covering LSH at RADIUS bits:
+2. The distinct texts' fingerprints over distinct words are linked by covering LSH at RADIUS bits:
    a similarity of 0.8 over five-word shingles leaves nearly all words in common, which moves few of these bits.
 3. Inside a component texts are linked at a Jaccard similarity of at least THRESHOLD over distinct five-word shingles, each
    with the leaders of its component, components of over CHUNK texts by chunks. This only spares the next step work.
@@ -24,17 +24,19 @@ an empty table gives an empty result; all columns of docs are given back.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
 from quillspark.llm.shared import cut
-from quillspark.llm.simhash import _signed, distinct_words, fingerprint, links, shingle_hashes, texts_of
+from quillspark.llm.simhash import SEED, _signed, fingerprint, links, texts_of
 
 RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, 1000
 #: Shared shingles of two prefixes that make a candidate; postings of a shingle in one task of the join.
@@ -43,6 +45,8 @@ COMMON, POSTINGS = 4, 10_000
 BLOCK, BLOCK_BYTES = 1000, 16 << 20
 #: For the order of shingles alone: one in SAMPLE texts is looked at, shingles of LEAST of them are common, MOST are told apart.
 SAMPLE, LEAST, MOST = 16, 4, 100_000
+#: An odd number that spreads the hash of a run of words over all bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def digest(text: bytes) -> bytes:
@@ -110,8 +114,26 @@ def _linked(docs: DataFrame, reps: DataFrame, threshold: float, chunk: int) -> D
     return ordered.select("root", "chunk", "digest", "text").mapInArrow(_clusters(threshold), "digest binary, leader binary")
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(SEED)), np.uint64, len(words))
+
+
+def mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes, sorted, of the runs of size words, from the words' hashes; of all words if there are fewer."""
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    run = words[:n]
+    for k in range(1, size):
+        run = (run ^ (run >> np.uint64(29))) * MIX + words[k : n + k]
+    run = (run ^ (run >> np.uint64(32))) * MIX
+    return np.unique(run ^ (run >> np.uint64(29)))
+
+
 def _own(text: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(text.lower().split(), SHINGLE))
+    return mixed(word_hashes(text), SHINGLE)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +175,10 @@ def _prints(threshold: float, shingle: np.ndarray, count: np.ndarray):
         for batch in batches:
             digests, prints, sizes, heads = [], [], [], [np.empty(0, np.uint64)]
             for t in texts_of(batch.column(1)):
-                own = _own(t)
+                words = word_hashes(t)
+                own = mixed(words, SHINGLE)
                 digests.append(digest(t))
-                prints.append(_signed(fingerprint(distinct_words(t))))
+                prints.append(_signed(fingerprint(np.unique(words))))
                 sizes.append(len(own))
                 heads.append(prefix(own, threshold, shingle, count))
             ends = pa.array(np.cumsum([0, *map(len, heads[1:])]), pa.int32())
