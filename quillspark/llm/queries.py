@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
-from quillspark.llm import decontamination, exact_dedup, license_scan, line_dedup, mixing, quality_crf, sharding, simhash, token_output, url_filters, vector_codes
+from quillspark.llm import decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, quality_crf, sharding, simhash, token_output, url_filters, vector_codes
 from quillspark.llm.shared import carry_modules
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_license_scan": license_scan.query,
+    "op11_hard_negatives": hard_negatives.query,
     "op12_vector_codes": vector_codes.query,
 }
 QUERIES = {name: _carried(query) for name, query in QUERIES.items()}
@@ -31,5 +32,6 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
 }
