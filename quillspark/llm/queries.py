@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
-from quillspark.llm import decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, quality_crf, sharding, simhash, token_output, url_filters, vector_codes
+from quillspark.llm import decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, quality_crf, sharding, signature_join, simhash, token_output, url_filters, vector_codes
 from quillspark.llm.shared import carry_modules
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_license_scan": license_scan.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_signature_join": signature_join.query,
 }
 QUERIES = {name: _carried(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
@@ -34,4 +35,5 @@ ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_signature_join": signature_join.ORACLE,
 }
