@@ -64,4 +64,4 @@ def test_every_row_is_written(stages):
 
 
 def test_all_operators_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
