@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.ranges import running
+
 #: Scaffold marks by kind; template variables in double braces are never flagged.
 MARKS = [("fill_in", r"\[Fill in"), ("delete_note", r"\[Delete if not applicable:"), ("alternate", r"^\s*Alternate [12]:"), ("conflict", r"^(?:<<<<<<<|=======|>>>>>>>)")]
 
@@ -63,11 +65,36 @@ def move_unit(units: DataFrame, part: str, pos: str, source: int, to: int) -> Da
     return units.withColumn("new_pos", new.cast("long")).withColumn("changed", F.col("new_pos") != p)
 
 
+def insert_units(units: DataFrame, pos: str, at: int, many: int = 1) -> DataFrame:
+    """Numbers after so many units come in before the place at: what stands there or later moves on."""
+    p = F.col(pos)
+    return units.withColumn("new_pos", F.when(p >= at, p + many).otherwise(p).cast("long")).withColumn("changed", F.col("new_pos") != p)
+
+
+def remove_units(units: DataFrame, pos: str, first: int, last: int) -> DataFrame:
+    """Numbers after the units from first to last go: null for them, later ones move up."""
+    p = F.col(pos)
+    return units.withColumn("new_pos", F.when(p < first, p).when(p > last, p - (last - first + 1)).cast("long")).withColumn("changed", ~F.col("new_pos").eqNullSafe(p))
+
+
+def merge_units(units: DataFrame, part: str, pos: str, first: int, text: str = "text", rule: str = "\n\n---\n\n") -> DataFrame:
+    """Each part's units with first and the one behind it as one text (a rule between them), later ones moved up: part, new_pos, text, merged.
+
+    Only the two units of each part meet; a part without the second keeps its units.
+    """
+    p = F.col(pos)
+    behind = units.filter(p == first + 1).select(F.col(part).alias("_part"), F.col(text).alias("_text"))
+    pair = units.filter(p == first).join(behind, F.col(part).eqNullSafe(F.col("_part")), "left")
+    joined = pair.select(part, p.cast("long").alias("new_pos"), F.when(F.col("_part").isNull() & F.col("_text").isNull(), F.col(text)).otherwise(F.concat_ws(rule, text, "_text")).alias("text"), F.col("_text").isNotNull().alias("merged"))
+    rest = units.filter((p != first) & (p != first + 1)).select(part, F.when(p > first, p - 1).otherwise(p).cast("long").alias("new_pos"), F.col(text).alias("text"), F.lit(False).alias("merged"))
+    return joined.unionByName(rest)
+
+
 def split_point(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
     """The part of a unit with which the share of its words is reached."""
-    w = Window.partitionBy(key).orderBy(order)
-    upto, total = F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("_hit", upto >= share * total).filter("_hit").groupBy(key).agg(F.min(order).alias("split_at"))
+    totals = df.groupBy(F.col(key).alias("_key")).agg(F.sum("words").alias("total"))
+    upto = running(df, [key], [order], {"upto": F.col("words")}).join(totals, F.col(key).eqNullSafe(F.col("_key")))
+    return upto.filter(F.col("upto") >= share * F.col("total")).groupBy(key).agg(F.min(order).alias("split_at"))
 
 
 def screenplay_kind(line: Column, before: Column) -> Column:

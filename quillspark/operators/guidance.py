@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,33 +37,6 @@ def safe_apply(df: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind)
 
 
-def json_complexity(df: DataFrame, id_col: str, text: str, depth: int = 32, nodes: int = 50_000) -> DataFrame:
-    """depth, nodes and error of JSON texts: too_deep, too_many or malformed; each is walked without recursion."""
-    schema = pa.schema([("id", pa.int64()), ("depth", pa.int64()), ("nodes", pa.int64()), ("error", pa.string())])
-
-    def measure(s):
-        if s is None:
-            return None, None, "malformed"
-        try:
-            stack = [(json.loads(s), 1)]
-        except (ValueError, RecursionError):
-            return None, None, "malformed"
-        most = n = 0
-        while stack:
-            value, d = stack.pop()
-            most, n = max(most, d), n + 1
-            if isinstance(value, dict | list):
-                stack += [(v, d + 1) for v in (value.values() if isinstance(value, dict) else value)]
-        return most, n, "too_deep" if most > depth else "too_many" if n > nodes else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, *measure(s)) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, schema.types)], schema=schema)
-
-    return df.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, depth long, nodes long, error string").withColumnRenamed("id", id_col)
-
-
 def style_record_errors(r: Column) -> Column:
     """Faults of a remote style record (struct): counts and measures not negative, shares at most 1, a known band; short texts carry no measures."""
     share = lambda n: F.when(~F.coalesce(r[n].between(0, 1), F.lit(False)), n)

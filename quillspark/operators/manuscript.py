@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import rules, text as tx
+from quillspark.functions import ranges as order_of, rules, text as tx
 from quillspark.functions.dimension import MOST, as_array
 
 
@@ -23,35 +23,64 @@ def rollup_totals(stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def length_outliers(stats: DataFrame, part: str, id_col: str = "doc_id", high: float = 1.5, low: float = 0.5) -> DataFrame:
-    """Units longer than high or shorter than low times their part's median."""
-    middle = stats.groupBy(part).agg(F.expr("percentile(words, 0.5)").alias("median"), F.avg("words").alias("mean"))
+    """Units longer than high or shorter than low times their part's median. The median comes from counts of equal lengths, so no part is gathered."""
+    middle = order_of.percentiles(stats, [part], "words", {"median": 0.5})
+    mean = stats.groupBy(F.col(part).alias("_part")).agg(F.avg("words").alias("mean"))
+    both = middle.withColumnRenamed(part, "_m").join(mean, F.col("_m").eqNullSafe(F.col("_part"))).select("_part", "median", "mean")
     kind = F.when(F.col("words") > F.col("median") * high, "long").when(F.col("words") < F.col("median") * low, "short")
-    return stats.join(middle, part).select(part, id_col, "words", "median", F.round("mean", 4).alias("mean"), kind.alias("kind")).filter("kind IS NOT NULL")
+    joined = stats.join(both, F.col(part).eqNullSafe(F.col("_part")))
+    return joined.select(part, id_col, "words", "median", F.round("mean", 4).alias("mean"), kind.alias("kind")).filter("kind IS NOT NULL")
 
 
 def middle_band(stats: DataFrame, part: str, order: str, low: float = 0.4, high: float = 0.6) -> DataFrame:
     """Units whose end lies in the middle fifth of their part's words."""
-    w = Window.partitionBy(part).orderBy(order)
-    upto, total = F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return stats.withColumns({"upto": upto, "total": total}).filter((F.col("total") > 0) & (F.col("upto") >= low * F.col("total")) & (F.col("upto") <= high * F.col("total"))).select(part, order, "words", "upto", "total")
+    totals = stats.groupBy(F.col(part).alias("_part")).agg(F.sum("words").alias("total"))
+    upto = order_of.running(stats, [part], [order], {"upto": F.col("words")}).join(totals, F.col(part).eqNullSafe(F.col("_part")))
+    return upto.filter((F.col("total") > 0) & (F.col("upto") >= low * F.col("total")) & (F.col("upto") <= high * F.col("total"))).select(part, order, "words", "upto", "total")
 
 
 def runs(df: DataFrame, part: list[str], order: list[str], value: str, least: int = 3) -> DataFrame:
-    """Islands: runs of at least so many consecutive rows of one value."""
-    a, b = Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*part, value).orderBy(*order)
-    grouped = df.withColumn("_g", F.row_number().over(a) - F.row_number().over(b))
-    return grouped.groupBy(*part, value, "_g").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_g")
+    """Islands: runs of at least so many consecutive rows of one value.
+
+    A run begins where the row before has another value; a running count of beginnings numbers the runs, so a part that
+    holds most of the table is worked on in ranges, and a run is added up from both sides of their borders.
+    """
+    near = order_of.neighbours(df.select(*part, *order, value), part, order, [value])
+    begins = F.when(F.col("prev").isNull() | ~F.col(f"prev.{value}").eqNullSafe(F.col(value)), 1).otherwise(0)
+    numbered = order_of.running(near.select(*part, *order, value, begins.alias("_begins")), part, order, {"_run": F.col("_begins")})
+    return numbered.groupBy(*part, value, "_run").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_run")
+
+
+def adjacent(df: DataFrame, part: str, order: str, mark: Column, names: tuple[str, str] = ("unit", "next_unit")) -> DataFrame:
+    """Each two neighbours of a part that both bear a mark (intense scenes without a rest between them)."""
+    near = order_of.neighbours(df.select(part, order, F.coalesce(mark, F.lit(False)).alias("_mark")), [part], [order], [order, "_mark"])
+    return near.filter("_mark AND next._mark").select(part, F.col(order).alias(names[0]), F.col(f"next.{order}").alias(names[1]))
 
 
 def seam_pairs(df: DataFrame, part: str, order: str, opening: Column, closing: Column) -> DataFrame:
     """Each unit's close with the next one's open, and the kind of seam."""
-    w = Window.partitionBy(part).orderBy(order)
     rated = df.select(part, order, opening.alias("open"), closing.alias("close"))
-    pairs = rated.select(part, order, "close", F.lead("open").over(w).alias("next_open"), F.lead(order).over(w).alias("next"))
+    near = order_of.neighbours(rated, [part], [order], ["open", order])
+    pairs = near.select(part, order, "close", F.col("next.open").alias("next_open"), F.col(f"next.{order}").alias("next"))
     kind = F.when((F.col("close") == "strong") & (F.col("next_open") == "strong"), "tight").when((F.col("close") == "weak") & (F.col("next_open") == "weak"), "slack").when(F.col("close") == "weak", "weak_close").otherwise("weak_open")
     return pairs.filter("next_open IS NOT NULL").withColumn("kind", kind)
 
 
+def breathers(df: DataFrame, part: str, order: str, calm: Column, least: int = 3) -> DataFrame:
+    """Runs of so many calm units or more: a rest that lasts too long."""
+    return runs(df.select(part, order, F.when(calm, "calm").otherwise("other").alias("kind")), [part], [order], "kind", least).filter("kind = 'calm'").drop("kind")
+
+
+def seam_runs(df: DataFrame, part: str, order: str, opening: Column, closing: Column, device: Column, least: int = 3) -> DataFrame:
+    """Monotony at the seams: runs of one device, of weak openings and of weak closings. Columns: part, what, value, first, last, length."""
+    out = None
+    for what, value, only in (("device", device, None), ("open", opening, "weak"), ("close", closing, "weak")):
+        found = runs(df.select(part, order, value.alias("value")).withColumn("what", F.lit(what)), [part, "what"], [order], "value", least).filter("value IS NOT NULL")
+        found = (found.filter(F.col("value") == only) if only else found).select(part, "what", "value", "first", "last", "length")
+        out = out.unionByName(found) if out else found
+    return out
+
+
 def sentences(text: Column) -> Column:
     """Sentences: split after . ! ? and white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
@@ -81,6 +110,21 @@ def phrase_density(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", te
     return found.select(id_col, "c.category", "c.hits", "words", F.round(F.col("c.hits") * 1000 / F.col("words"), 4).alias("per_1000"))
 
 
+def phrase_hits(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Occurrences of phrases (columns category, phrase; a list of any length) as whole words: id, category, hits, distinct phrases.
+
+    One pass over the words of each text, whatever the number of phrases: each word meets the phrases that begin with it by
+    an equality join, and the words that follow decide. Letter case and marks between words don't count. Occurrences may overlap.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
+    listed = phrases.select("category", words(F.col("phrase")).alias("_p")).filter(F.size("_p") > 0).distinct().withColumn("_first", F.get("_p", F.lit(0)))
+    longest = listed.agg(F.max(F.size("_p"))).first()[0] or 1
+    each = df.select(id_col, words(F.col(text_col)).alias("_w")).select(id_col, F.explode(F.transform("_w", lambda _, i: F.slice("_w", i + 1, longest))).alias("_t"))
+    met = each.withColumn("_first", F.get("_t", F.lit(0))).join(F.broadcast(listed) if listed.count() <= MOST else listed, "_first")
+    found = met.filter(F.slice("_t", F.lit(1), F.size("_p")) == F.col("_p"))
+    return found.groupBy(id_col, "category", "_p").agg(F.count("*").alias("n")).groupBy(id_col, "category").agg(F.sum("n").alias("hits"), F.count("*").alias("phrases"))
+
+
 def chunk_profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = rules.CHUNK_WORDS, z: float = rules.CHUNK_Z) -> DataFrame:
     """Mean word length of chunks of size words against the document's own chunks (three at least); z-score outliers. The limits are ours."""
     words = df.select(id_col, tx.word_list(F.col(text_col)).alias("w"))
@@ -131,18 +175,27 @@ def range_guidance(stats: DataFrame, ranges: DataFrame, id_col: str = "doc_id")
 
 
 def tail_words(df: DataFrame, part: str, order: str, text_col: str = "text", n: int = 200) -> DataFrame:
-    """The last n words of the unit before."""
-    w = tx.word_list(F.lag(text_col).over(Window.partitionBy(part).orderBy(order)))
-    tail = F.when(F.size(w) > n, F.slice(w, -n, n)).otherwise(w)
-    return df.select(part, order, F.array_join(tail, " ").alias("tail"), F.size(tail).cast("long").alias("tail_words"))
+    """The last n words of the unit before. Each text is cut to its tail inside its row, so no more than n words of it move."""
+    w = tx.word_list(F.col(text_col))
+    tails = df.select(part, order, F.when(F.size(w) > n, F.slice(w, -n, n)).otherwise(w).alias("_tail"))
+    near = order_of.neighbours(tails, [part], [order], ["_tail"])
+    tail = F.col("prev._tail")
+    return near.select(part, order, F.array_join(tail, " ").alias("tail"), F.size(tail).cast("long").alias("tail_words"))
 
 
 def recurring_phrases(df: DataFrame, size: int = 3, least: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Runs of size words that occur at least so often: occurrences and documents. Counted per document first, and by hash of the phrase."""
+    """Runs of size words that occur at least so often: occurrences, and documents (rows) that hold them.
+
+    Each row's runs are sorted and counted inside the row, so a phrase moves once for each task that holds it.
+    """
     words = tx.word_list(F.lower(F.col(text_col)))
-    grams = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))).otherwise(F.array())
-    each = df.select(id_col, words.alias("w")).select(id_col, F.explode(grams).alias("phrase"))
-    own = each.groupBy(id_col, "phrase").agg(F.count("*").alias("n"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1)), lambda i: F.array_join(F.slice("w", i, size), " "))
+
+    def counted(g: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == F.size(g) - 1) | (F.get(g, i) != F.get(g, i + 1)))
+        return tx.let(ends, lambda e: F.transform(e, lambda at, k: F.struct(F.get(g, at).alias("phrase"), (at - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("long").alias("n"))))
+
+    own = df.select(words.alias("w")).filter(F.size("w") >= size).select(F.inline(tx.let(F.array_sort(grams), counted)))
     return own.groupBy("phrase").agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs")).filter(F.col("occurrences") >= least)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.ranges import running
 from quillspark.functions.text import markdown_escape
+from quillspark.operators import network
 from quillspark.operators.metadata import sarif_level
 
 CAVEAT = "A clear report does not prove authorship and does not lift duties of disclosure."
@@ -47,12 +49,11 @@ def ipv4_number(text: Column) -> Column:
     return F.when(valid, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
 
 
-#: IPv4 ranges that are not global unicast, as network and prefix length.
-SPECIAL_RANGES = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+SPECIAL_RANGES = network.SPECIAL_IPV4
 
 
-def in_network(number: Column, network: str, bits: int) -> Column:
-    a, b, c, d = map(int, network.split("."))
+def in_network(number: Column, base: str, bits: int) -> Column:
+    a, b, c, d = map(int, base.split("."))
     low = ((a << 24) | (b << 16) | (c << 8) | d) >> (32 - bits) << (32 - bits)
     return number.between(low, low + (1 << (32 - bits)) - 1)
 
@@ -60,8 +61,8 @@ def in_network(number: Column, network: str, bits: int) -> Column:
 def is_global_ipv4(text: Column) -> Column:
     n = ipv4_number(text)
     special = F.lit(False)
-    for network, bits in SPECIAL_RANGES:
-        special = special | in_network(n, network, bits)
+    for base, bits in SPECIAL_RANGES:
+        special = special | in_network(n, base, bits)
     return F.coalesce(~special, F.lit(False))
 
 
@@ -83,3 +84,17 @@ def hit_errors(kind: Column, count: Column, offsets: Column, length: Column, kin
 
 def capped(requested: Column, ceiling: int) -> Column:
     return F.least(F.coalesce(requested, F.lit(ceiling)), F.lit(ceiling))
+
+
+def markdown_lines(findings: DataFrame, run: str = "run_id") -> DataFrame:
+    """The Markdown report of each run as rows run, line (from 1), text, for reports of any size: title, findings in order of target, rule and code point, caveat.
+
+    Line numbers are running counts over ranges of the order, so no report has to fit one row or one task; written ordered
+    by run and line, the rows are the file. A run's findings must differ in target, rule or code point.
+    """
+    bullet = F.concat_ws(" ", F.lit("-"), markdown_escape(F.col("target").cast("string")), F.col("rule_id"), F.concat(F.lit("("), "confidence", F.lit(")")), "code_point", F.concat(F.lit("x"), F.coalesce("count", F.lit(1)).cast("string")))
+    plain = findings.select(F.col(run).alias("_run"), "target", "rule_id", F.coalesce("code_point", F.lit("")).alias("_cp"), bullet.alias("text"))
+    body = running(plain, ["_run"], ["target", "rule_id", "_cp"], {"_at": F.lit(1).cast("long")}).select("_run", (F.col("_at") + 2).alias("line"), "text")
+    frame = findings.groupBy(F.col(run).alias("_run")).agg(F.count("*").alias("n"))
+    around = frame.select("_run", F.explode(F.array(*(F.struct(at.cast("long").alias("line"), F.lit(t).alias("text")) for at, t in ((F.lit(1), "# Findings"), (F.lit(2), ""), (F.col("n") + 3, ""), (F.col("n") + 4, CAVEAT))))).alias("x")).select("_run", "x.*")
+    return body.unionByName(around).withColumnRenamed("_run", run)

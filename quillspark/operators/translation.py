@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
+from quillspark.functions.text import let
 
 
 def segments(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -43,10 +44,69 @@ def statistics(tm: DataFrame, by: str) -> DataFrame:
     return tm.groupBy(by).agg(F.count("*").alias("segments"), *(F.count_if(b == k).alias(k) for k in ("high", "medium", "low")), F.round(F.count("target") / F.count("*"), 4).alias("coverage"))
 
 
-def lookup(units: DataFrame, tm: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Segments of the memory that occur in a unit: both sides are cut into sentences, so it is an equality join by sentence."""
-    own = segments(units, [id_col], text).select(id_col, F.trim("segment").alias("_s")).distinct()
-    return own.join(tm.select(F.trim("source").alias("_s"), "source", "target", "confidence"), "_s").drop("_s")
+#: Units that hold an anchor beyond which its units and segments are dealt over SALT parts.
+HOT, SALT = 10_000, 16
+#: Characters of the anchors of segments that have no word between two others.
+SHORT = 3
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _runs(items: Column, n: int, sep: str) -> Column:
+    """All runs of n neighbours, as text."""
+    def each(of: Column) -> Column:
+        joined = lambda i: F.concat_ws(sep, *(F.get(of, i + k) for k in range(n)))
+        return F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(of) - n)), joined)).otherwise(F.array().cast("array<string>"))
+
+    return let(items, each)
+
+
+def _grams(text: Column, kinds: list[str]) -> Column:
+    """The distinct anchors that a unit offers: w2, w1 (runs of two words, words) and c3, c2, c1 (runs of characters)."""
+    def made(kind: str) -> Column:
+        items, sep = (_words(text), " ") if kind[0] == "w" else (F.split(text, ""), "")
+        return F.transform(_runs(items, int(kind[1]), sep), lambda g: F.concat(F.lit(f"{kind}:"), g))
+
+    return F.array_distinct(F.concat(*map(made, kinds)))
+
+
+def _own_grams(source: Column) -> Column:
+    """The anchors of a segment: words between its first and last one, which a unit that holds it must hold whole; else characters."""
+    words = _words(source)
+    inner = F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2))
+    chars = F.split(source, "")
+    kind = lambda k, runs: F.transform(runs, lambda g: F.struct(F.lit(k).alias("kind"), F.concat(F.lit(f"{k}:"), g).alias("gram")))
+    short = F.when(F.length(source) >= SHORT, kind(f"c{SHORT}", _runs(chars, SHORT, "")))
+    for n in range(SHORT - 1, 0, -1):
+        short = short.when(F.length(source) == n, kind(f"c{n}", _runs(chars, n, "")))
+    return F.array_distinct(F.when(F.size(words) >= 4, kind("w2", _runs(inner, 2, " "))).when(F.size(words) == 3, kind("w1", _runs(inner, 1, " "))).otherwise(short))
+
+
+def lookup(units: DataFrame, tm: DataFrame, id_col: str, text: str, hot: int = HOT) -> DataFrame:
+    """Segments of the memory (source, target, confidence) whose source, outer white space aside, occurs anywhere in a unit's text.
+
+    Each distinct source is anchored at the run of its inner words that the fewest units hold (of short ones, a run of their
+    characters); units meet segments by equal anchors, and only those pairs are looked at with contains(). A segment of
+    which one run is in no unit meets none. Units of an anchor that over hot units hold are dealt over SALT parts, and its
+    segments go to each. Texts move once, to the pairs of their unit. Null or blank sources and null texts match nothing.
+    """
+    sources = tm.select(F.trim(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("_s")).filter("_s <> ''").distinct()
+    own = sources.select("_s", F.explode(_own_grams(F.col("_s"))).alias("g")).select("_s", "g.kind", F.col("g.gram").alias("_g"))
+    kinds = [r[0] for r in own.select("kind").distinct().orderBy("kind").collect()]  # five at most
+    if not kinds:
+        return units.select(id_col, *(F.lit(None).cast(tm.schema[c].dataType).alias(c) for c in ("source", "target", "confidence"))).limit(0)
+    offered = units.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(_grams(F.col(text), kinds)).alias("_g"))
+    held = offered.groupBy("_g").agg(F.count("*").alias("n"))
+    anchors = own.join(held, "_g", "left").groupBy("_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_g")).alias("a")).select("_s", "a.n", F.col("a._g").alias("_g")).filter("n > 0")
+    parts = F.when(F.col("n") > hot, SALT).otherwise(1)
+    at = anchors.select("_g", parts.alias("parts")).distinct()
+    dealt = offered.join(at, "_g").withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).drop("parts")
+    met = dealt.join(anchors.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("_g", "part", "_s"), ["_g", "part"]).select("_id", "_s").distinct()
+    found = units.select(id_col, F.col(text).alias("_t")).join(met, F.col(id_col).eqNullSafe(F.col("_id"))).filter(F.contains("_t", "_s")).select(id_col, "_s")
+    told = tm.select(F.trim(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("_s"), "source", "target", "confidence")
+    return found.join(told, "_s").drop("_s")
 
 
 def tmx(tm: DataFrame, by: str) -> DataFrame:

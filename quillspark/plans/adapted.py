@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as tx
+from quillspark.functions import ranges, text as tx
 from quillspark.operators import assembly, drift, registry, story, translation
 from quillspark.plans import inject
 
@@ -213,16 +213,27 @@ def assemble_text_hash(spark, sf):
     return found.select("conv_id", "parts", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _placed(spark, sf):
+    return ranges.running(_t(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], {"pos": F.lit(1).cast("long")})
+
+
 def unit_reorder(spark, sf):
-    from pyspark.sql import Window
+    return assembly.move_unit(_placed(spark, sf), "source", "pos", 7, 3)
 
-    docs = _t(spark, sf, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("pos"))
-    return assembly.move_unit(docs, "source", "pos", 7, 3)
 
+def unit_renumbering(spark, sf):
+    """Places of each source's documents after two come in at 5, and after those from 10 to 14 go."""
+    units = _placed(spark, sf)
+    both = assembly.insert_units(units, "pos", 5, 2).withColumnRenamed("new_pos", "inserted").drop("changed")
+    return assembly.remove_units(both, "pos", 10, 14).withColumnRenamed("new_pos", "removed")
 
-def split_points(spark, sf):
-    from pyspark.sql import Window  # noqa: F401
 
+def unit_merge(spark, sf):
+    units = _placed(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return assembly.merge_units(units, "source", "pos", 3).select("source", "new_pos", F.sha2("text", 256).alias("text_sha256"), "merged")
+
+
+def split_points(spark, sf):
     docs = _t(spark, sf, "documents").select("source", "doc_id", tx.words_wc(F.col("text")).cast("long").alias("words"))
     return assembly.split_point(docs, "source", "doc_id", 0.3)
 
@@ -280,7 +291,7 @@ def preserved_copy(spark, sf):
 QUERIES = {f.__name__: f for f in (
     slugify, slug_collisions, deliverable_names, tm_align, tm_dedupe, tm_stats, severity_cube, fidelity_bands, thread_gaps, thread_shape, thread_matrix, convergence, pair_matrix, timeline_order, chronology_conflicts, descendants,
     contradictions, reference_density, numbering_faults, orphans_both_ways, citation_audit, recorded_vs_derived, newest_source_stale, history_parse, history_tail, history_malformed, sessionize, compare_units, stage_buckets, worst_verdicts,
-    unregistered_names, conflict_markers, newest_not_undone, scaffold_markers, cleanup_blocks, assemble_text_hash, unit_reorder, split_points, settings_validation, json_null_on_error, surface_tiers, profile_commands, runtime_availability,
+    unregistered_names, conflict_markers, newest_not_undone, scaffold_markers, cleanup_blocks, assemble_text_hash, unit_reorder, unit_renumbering, unit_merge, split_points, settings_validation, json_null_on_error, surface_tiers, profile_commands, runtime_availability,
     keyword_routing, preserved_copy,
 )}
 
@@ -338,6 +349,8 @@ ORACLES = {
     "cleanup_blocks": f"WITH {inject.DOCS_SQL} SELECT doc_id, sha256(CASE doc_id % 10 WHEN 8 THEN chr(10) || '# One' || substr(t, length('[Fill in: a]~Alternate 1: b~~# One~# Two') + 1) ELSE t END) AS clean_sha256 FROM inj",
     "assemble_text_hash": "SELECT conv_id, count(*) AS parts, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id",
     "unit_reorder": "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), n AS (SELECT *, CASE WHEN pos = 7 THEN 3 WHEN pos < 7 AND pos >= 3 THEN pos + 1 ELSE pos END::BIGINT AS new_pos FROM p) SELECT *, new_pos <> pos AS changed FROM n",
+    "unit_renumbering": "WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), n AS (SELECT *, CASE WHEN pos >= 5 THEN pos + 2 ELSE pos END AS inserted, CASE WHEN pos < 10 THEN pos WHEN pos > 14 THEN pos - 5 END AS removed FROM p) SELECT *, removed IS DISTINCT FROM pos AS changed FROM n",
+    "unit_merge": "WITH p AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nxt, lead(1) OVER (PARTITION BY source ORDER BY doc_id) AS more FROM documents) SELECT source, CASE WHEN pos > 3 THEN pos - 1 ELSE pos END AS new_pos, sha256(CASE WHEN pos = 3 AND more = 1 THEN concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), text, nxt) ELSE text END) AS text_sha256, pos = 3 AND coalesce(more, 0) = 1 AS merged FROM p WHERE pos <> 4",
     "split_points": r"WITH s AS (SELECT source, doc_id, len(regexp_extract_all(text, '\S+')) AS w FROM documents), c AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY source) AS total FROM s) SELECT source, min(doc_id) AS split_at FROM c WHERE upto >= 0.3::DOUBLE * total GROUP BY source",
     "settings_validation": "SELECT event_id, event_id % 6 = 1 AS valid, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 1 ELSE 8 END::BIGINT AS n_errors, CASE event_id % 6 WHEN 3 THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM events",
     "json_null_on_error": "SELECT event_id % 4 = 0 AS is_null, count(*) AS n FROM events GROUP BY 1",

@@ -27,12 +27,6 @@ def safe_apply(spark, sf):
     return g.safe_apply(_t(spark, sf, "events").select(lane.alias("lane"), (e % 3 == 0).alias("requested"), (e % 5 != 0).alias("found"))).groupBy("lane", "kind").agg(F.count("*").alias("n"))
 
 
-def json_depth(spark, sf):
-    e = F.col("event_id")
-    js = F.when(e % 7 == 0, "{bad").when(e % 7 == 1, F.concat(F.repeat(F.lit("["), 40), F.repeat(F.lit("]"), 40))).otherwise('{"a":[1,2,{"b":3}],"c":null}')
-    return g.json_complexity(_t(spark, sf, "events").select("event_id", js.alias("js")), "event_id", "js")
-
-
 def style_records(spark, sf):
     e = F.col("event_id")
     r = F.struct(F.when(e % 5 == 0, "insufficient_length").when(e % 5 == 1, "odd").otherwise("ok").alias("status"), (e % 9 - 1).alias("word_count"), (e % 4).alias("sentence_count"), F.lit(0.5).alias("burstiness_cv"), ((e % 11) / 8).alias("lexical_diversity"), F.lit(0.0).alias("ai_ngram_density"), ((e % 6) / 5).alias("score"), F.when(e % 3 == 0, "NONE").otherwise("LOW").alias("band"))
@@ -94,14 +88,13 @@ def reference_rewrite(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", g.rewrite_refs(t, {"flat": r"\$cmd-$1"}).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_elements, artifact_plans, safe_apply, json_depth, style_records, health_lights, severity_tally, save_messages, context_snapshot, book_identity, work_types, arc_types, term_snippets, proposal_tally, reference_rewrite)}
+QUERIES = {f.__name__: f for f in (metadata_elements, artifact_plans, safe_apply, style_records, health_lights, severity_tally, save_messages, context_snapshot, book_identity, work_types, arc_types, term_snippets, proposal_tally, reference_rewrite)}
 
 _SLUG = "coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-'), ''), 'untitled')"
 ORACLES = {
     "metadata_elements": "SELECT doc_id, md5('<generator></generator><dc:author>me</dc:author><author kind=''c2pa''></author><p id=''1''>' || text) AS cleaned_md5 FROM documents",
     "artifact_plans": "WITH p AS (SELECT doc_id, 'cleaned/drafts/' || CASE WHEN doc_id % 9 = 0 THEN 'Same' || doc_id % 5 ELSE doc_id::VARCHAR END || '-cleaned.md' AS output FROM documents) SELECT doc_id, output, count(*) OVER (PARTITION BY lower(output)) > 1 AS conflict FROM p",
     "safe_apply": "SELECT ['manual-gated', 'agent-ready', 'read-only', 'local-helper'][event_id % 4 + 1] AS lane, CASE event_id % 4 WHEN 0 THEN 'manual_gate' WHEN 1 THEN 'agent_candidate' WHEN 2 THEN 'suggested' ELSE CASE WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'ran' ELSE 'ready' END END AS kind, count(*) AS n FROM events GROUP BY ALL",
-    "json_depth": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 40 ELSE 4 END::BIGINT AS depth, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 40 ELSE 7 END::BIGINT AS nodes, CASE event_id % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'too_deep' END AS error FROM events",
     "style_records": "SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'status' WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 'word_count' ELSE '' END ELSE array_to_string(list_filter([CASE WHEN event_id % 9 = 0 THEN 'word_count' END, CASE WHEN event_id % 11 > 8 THEN 'lexical_diversity' END, CASE WHEN event_id % 3 = 0 THEN 'band' END], lambda x: x IS NOT NULL), ',') END AS errors, event_id % 2 > 0 OR event_id % 6 >= 4 AS suspicious FROM events",
     "health_lights": "WITH s AS (SELECT source, sum(n_chars) AS c, count(DISTINCT lang) AS l FROM documents GROUP BY source), x AS (SELECT source, CASE WHEN c > 150000 THEN 'red' WHEN c > 100000 THEN 'yellow' ELSE 'green' END AS size, CASE WHEN l < 2 THEN 'red' WHEN l < 4 THEN 'yellow' ELSE 'green' END AS spread FROM s) SELECT *, CASE WHEN 'red' IN (size, spread) THEN 'red' WHEN 'yellow' IN (size, spread) THEN 'yellow' ELSE 'green' END AS worst FROM x",
     "severity_tally": "SELECT strftime(l_shipdate, '%Y') AS year, count(*) FILTER (WHERE l_tax > 0.06::DOUBLE) AS drift, count(*) FILTER (WHERE l_tax > 0.03::DOUBLE AND l_tax <= 0.06::DOUBLE) AS warning, count(*) FILTER (WHERE l_tax <= 0.03::DOUBLE) AS info FROM lineitem GROUP BY 1",

@@ -39,11 +39,7 @@ def tempo_runs(spark, sf):
 
 def whiplash(spark, sf):
     """Adjacent units of high intensity."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    hot = F.col("words") > 900
-    return _stats(spark, sf).withColumns({"hot": hot, "next_hot": F.lead(hot).over(w), "next_doc": F.lead("doc_id").over(w)}).filter("hot AND next_hot").select("source", "doc_id", "next_doc")
+    return m.adjacent(_stats(spark, sf), "source", "doc_id", F.col("words") > 900, ("doc_id", "next_doc"))
 
 
 def seam_pairs(spark, sf):
@@ -52,6 +48,24 @@ def seam_pairs(spark, sf):
     return m.seam_pairs(conv, "conv_id", "turn", rate(F.length("text")), rate(F.length("text") * 2))
 
 
+def breathers(spark, sf):
+    return m.breathers(_stats(spark, sf), "source", "doc_id", F.col("words") < 400)
+
+
+def seam_runs(spark, sf):
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    rate = lambda n: F.when(n >= 200, "strong").otherwise("weak")
+    return m.seam_runs(conv.select((F.col("conv_id") % 7).alias("part"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), "role", "text"), "part", "place", rate(F.length("text")), rate(F.length("text") * 2), F.substring("role", 1, 1))
+
+
+def phrase_hits(spark, sf):
+    """Neighbouring words of the benchmark, as phrases, in all documents."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", words.alias("w")).filter(F.size("w") >= 3)
+    pairs = items.select((F.col("item_id") % 3).cast("string").alias("category"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrase"))
+    return m.phrase_hits(_docs(spark, sf), pairs)
+
+
 def sentence_runs(spark, sf):
     return m.sentence_runs(_docs(spark, sf))
 
@@ -124,7 +138,7 @@ def three_word_counts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    doc_stats, doc_stats_rollup, length_outliers, middle_band, tempo_runs, whiplash, seam_pairs, sentence_runs, lexical_density, chunk_profile, style_measures, variant_forms,
+    doc_stats, doc_stats_rollup, length_outliers, middle_band, tempo_runs, whiplash, seam_pairs, breathers, seam_runs, phrase_hits, sentence_runs, lexical_density, chunk_profile, style_measures, variant_forms,
     page_estimate, range_guidance, tail_words, recurring_phrases, concordance, voice_marker_score, dialogue_runs, three_word_counts,
 )}
 
@@ -146,6 +160,16 @@ ORACLES = {
     "middle_band": f"WITH {_STATS}, c AS (SELECT source, doc_id, words, (sum(words) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, (sum(words) OVER (PARTITION BY source))::BIGINT AS total FROM st) SELECT * FROM c WHERE upto >= 0.4::DOUBLE * total AND upto <= 0.6::DOUBLE * total",
     "tempo_runs": f"WITH {_STATS}, t AS (SELECT source, doc_id, CASE WHEN words < 150 THEN 'fast' WHEN words < 600 THEN 'even' ELSE 'slow' END AS tempo FROM st), g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - row_number() OVER (PARTITION BY source, tempo ORDER BY doc_id) AS g FROM t) SELECT source, tempo, min(doc_id) AS first, max(doc_id) AS last, count(*) AS length FROM g GROUP BY source, tempo, g HAVING count(*) >= 3",
     "whiplash": f"WITH {_STATS}, n AS (SELECT source, doc_id, words, lead(words) OVER w AS nw, lead(doc_id) OVER w AS next_doc FROM st WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id, next_doc FROM n WHERE words > 900 AND nw > 900",
+    "breathers": f"WITH {_STATS}, t AS (SELECT source, doc_id, words < 400 AS calm FROM st), g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - row_number() OVER (PARTITION BY source, calm ORDER BY doc_id) AS g FROM t) SELECT source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS length FROM g WHERE calm GROUP BY source, g HAVING count(*) >= 3",
+    "seam_runs": """WITH r AS (SELECT conv_id % 7 AS part, conv_id * 1000 + turn AS place, CASE WHEN length(text) >= 200 THEN 'strong' ELSE 'weak' END AS o, CASE WHEN length(text) * 2 >= 200 THEN 'strong' ELSE 'weak' END AS c, role[1] AS d FROM conversations),
+w AS (SELECT part, place, 'device' AS what, d AS value FROM r UNION ALL SELECT part, place, 'open', o FROM r UNION ALL SELECT part, place, 'close', c FROM r),
+g AS (SELECT *, row_number() OVER (PARTITION BY part, what ORDER BY place) - row_number() OVER (PARTITION BY part, what, value ORDER BY place) AS g FROM w)
+SELECT part, what, value, min(place) AS first, max(place) AS last, count(*) AS length FROM g WHERE value IS NOT NULL AND (what = 'device' OR value = 'weak') GROUP BY part, what, value, g HAVING count(*) >= 3""",
+    "phrase_hits": r"""WITH i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}''-]+'), lambda w: w <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT (item_id % 3)::VARCHAR AS category, w[k : k + 2] AS p FROM i, unnest(range(1, len(w) - 1)) t(k) WHERE len(w) >= 3),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}''-]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, w[k : k + 2] AS p FROM d, unnest(range(1, len(w) - 1)) t(k))
+SELECT doc_id, category, count(*) AS hits, count(DISTINCT p) AS phrases FROM g JOIN p USING (p) GROUP BY doc_id, category""",
     "seam_pairs": """WITH r AS (SELECT conv_id, turn, CASE WHEN length(text) >= 200 THEN 'strong' ELSE 'weak' END AS open, CASE WHEN length(text) * 2 >= 200 THEN 'strong' ELSE 'weak' END AS close FROM conversations),
 p AS (SELECT conv_id, turn, close, lead(open) OVER w AS next_open, lead(turn) OVER w AS next FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT *, CASE WHEN close = 'strong' AND next_open = 'strong' THEN 'tight' WHEN close = 'weak' AND next_open = 'weak' THEN 'slack' WHEN close = 'weak' THEN 'weak_close' ELSE 'weak_open' END AS kind FROM p WHERE next_open IS NOT NULL""",
