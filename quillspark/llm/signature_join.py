@@ -11,10 +11,11 @@ each two of them meet in a task.
 Trees. A leaf is a set; FAN neighbours make a node, which holds the OR of their bitmaps, the range of their sizes and the
 most shingles that one of them loses to shared bits. Two trees (or a tree and itself) are descended together: a pair of nodes
 is pruned if no two sizes of their ranges fit, if the common bits and lost shingles can't make the overlap that the threshold needs, or
-if all their sets are in one class already. What is left at the leaves are candidates.
+if all their sets are in one class already. What is left at the leaves are candidates; a pair that several trees hold counts in the
+first of them.
 
 Classes. Of a tree's candidates only a spanning forest is given out, the nearest first, never all pairs; it is compared exactly, by
-the shingles of both texts. Links that hold unite classes, pairs that don't are handed to their trees to be passed over, and
+the shingles of both texts. Links that hold unite classes, pairs that don't are handed to their tree to be passed over, and
 trees that gave candidates are descended again. The first descent takes the largest tree of each set alone, which unites most.
 After FORESTS descents all candidates left are given out, so the end doesn't depend on how many it takes. Nothing that could be
 a link is left out.
@@ -178,13 +179,13 @@ def _folded(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Group:
-    """The sets of one or two trees: (digest, class, block, size, mark, bitmap), at most two blocks."""
+    """The sets of one or two trees of a shingle: (id, class, block, size, mark, bitmap, shingles of all its trees), at most two blocks."""
 
-    def __init__(self, rows: list[tuple], crossed: bool) -> None:
+    def __init__(self, rows: list[tuple], crossed: bool, token: int | None = None) -> None:
         self.rows = sorted(rows, key=lambda r: (r[2], len(r[5]), r[1], r[4], r[0]))
-        names = {}
-        self.root = np.array([names.setdefault(r[1], len(names)) for r in self.rows], np.int64)
-        self.crossed = crossed
+        self.root = np.array([r[1] for r in self.rows], np.int64)
+        self.crossed, self.token = crossed, token
+        self.tokens = [frozenset(r[6] or ()) for r in self.rows]
 
     def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places i and j in rows, and the greatest similarity they can have."""
@@ -222,36 +223,38 @@ class Group:
             a, b = find(int(self.root[x])), find(int(self.root[y]))
             if a == b or tuple(sorted((self.rows[x][0], self.rows[y][0]))) in refuted:
                 continue
+            if self.token is not None and min(self.tokens[x] & self.tokens[y]) != self.token:  # counts in another tree
+                continue
             out.append((x, y))
             if not whole:
                 top[a] = b
         return out
 
 
-def _searched(percent: int, whole: bool):
+def _searched(percent: int, whole: bool, single: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, lo, hi, other, digest, root, block, n, mark, bits), sorted by (token, lo, hi); other: a refuted partner of digest, else null."""
+        """Rows (token, lo, hi, other, id, root, block, n, mark, bits, tokens), sorted by (token, lo, hi); other: a refuted partner of id, else null. single: each set has one tree."""
         now, rows, refuted = None, [], set()
 
         def give():
             if len(rows) < 2 or len({r[1] for r in rows}) < 2:
                 return None
-            group = Group(rows, now[1] != now[2])
+            group = Group(rows, now[1] != now[2], None if single else now[0])
             pairs = [sorted(group.rows[x][:2] for x in xy) for xy in group.chosen(percent, refuted, whole)]
             cols = [[now[k]] * len(pairs) for k in range(3)] + [[p[k][w] for p in pairs] for k in (0, 1) for w in (0, 1)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["token", "lo", "hi", "a", "ra", "b", "rb"])
 
         for batch in batches:
-            for token, lo, hi, other, digest, root, block, n, mark, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            for token, lo, hi, other, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, lo, hi) != now:
                     if now and (out := give()):
                         yield out
                     now, rows, refuted = (token, lo, hi), [], set()
                 if other is None:
-                    rows.append((digest, root, block, n, mark, bits))
+                    rows.append(tuple(row))
                 else:
-                    refuted.add((min(digest, other), max(digest, other)))
+                    refuted.add((min(row[0], other), max(row[0], other)))
         if now and (out := give()):
             yield out
 
@@ -260,93 +263,93 @@ def _searched(percent: int, whole: bool):
 
 def _compared(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, salt, kind, digest, text) sorted by (a, salt, kind): text a first, then its partners, to (a, b, links)."""
+        """Rows (a, salt, b, digest, text) sorted by (a, salt, b): text a (null b) first, then its partners, to (a, b, links)."""
         now, held = None, None
         for batch in batches:
             found = []
-            for a, salt, kind, d, t in zip(*(batch.column(k).to_pylist() for k in range(4)), texts_of(batch.column(4))):
+            for a, salt, b, d, t in zip(*(batch.column(k).to_pylist() for k in range(4)), texts_of(batch.column(4))):
                 if (a, salt) != now:
                     now, held = (a, salt), None
                 own = mixed(word_hashes(t), size)
                 if digest_of(own) != d:  # another row of that doc_id
                     continue
-                if not kind:
+                if b is None:
                     held = own
                 else:
-                    found.append((a, d, linked(held, own, percent)))
+                    found.append((a, b, linked(held, own, percent)))
             cols = list(zip(*found)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "links"])
 
     return run
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, links) of distinct pairs (a, b) of digests, by the shingles of both texts."""
+    """(a, b, links) of distinct pairs (a, b) of ids, by the shingles of both texts; a text travels once for each partner, or for SALT of them."""
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
-    places = dealt.select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("digest")).distinct().unionByName(dealt.select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("digest")))
-    asked = places.select("digest").distinct().join(reps.select("digest", F.col("doc_id").alias("_id")), "digest")
-    ids = cut(asked, "join-asked")
-    held = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "text")
-    rows = places.join(held, "digest").select("a", "salt", "kind", "digest", "text")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_compared(size, percent), "a binary, b binary, links boolean").distinct()
+    places = dealt.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "salt", "b", F.col("b").alias("id")))
+    asked = cut(places.join(reps.select("id", "digest", F.col("doc_id").alias("_id")), "id").drop("id"), "join-asked")
+    rows = docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("a", "salt", "b", "digest", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_compared(size, percent), "a long, b long, links boolean").distinct()
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """members (token, count, digest, ...) with lo, hi, block: a row for each two trees of the shingle in which the set takes part."""
+    """members (token, count, id, ...) with lo, hi, block: a row for each two trees of the shingle in which the set takes part."""
     blocks = F.ceil(F.col("count") / block).cast("int")
-    own = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("digest"), blocks).cast("int")})
+    own = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     past = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return past.withColumns({"lo": F.least("block", "_o"), "hi": F.greatest("block", "_o")}).drop("_o", "blocks")
 
 
 def _forest(reps: DataFrame) -> DataFrame:
-    """(token, count, digest): the sets of each tree. Of shingles held by the same sets one stays: their sets have one count and hash."""
-    postings = reps.select("digest", F.explode("prefix").alias("token"))
-    hashes = [F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    shared = postings.groupBy("token").agg(F.count("*").alias("count"), *hashes).filter("count > 1")
-    kept = shared.groupBy("count", "x0", "x1").agg(F.min("token").alias("token")).select("token", "count")
+    """(token, id): the sets of each tree. Of shingles held by the same sets one stays: their sets have one least id and one hash (64 bits)."""
+    postings = reps.select("id", F.explode("prefix").alias("token"))
+    held = postings.groupBy("token").agg(F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("all"))
+    shared = held.filter(F.col("all") != F.xxhash64("least"))  # the hash of one set is that of its id
+    kept = shared.groupBy("least", "all").agg(F.min("token").alias("token")).select("token")
     return cut(postings.join(kept, "token"), "join-trees")
 
 
-def _searching(dealt: DataFrame, refuted: DataFrame | None, percent: int, whole: bool) -> DataFrame:
-    names = ["token", "lo", "hi", "other", "digest", "root", "block", "n", "mark", "bits"]
-    rows = dealt.withColumn("other", F.lit(None).cast("binary")).select(names)
+def _searching(dealt: DataFrame, refuted: DataFrame | None, percent: int, whole: bool, single: bool) -> DataFrame:
+    kinds = {"root": "long", "block": "int", "n": "int", "mark": "long", "bits": "binary", "tokens": "array<long>"}
+    names = ["token", "lo", "hi", "other", "id", *kinds]
+    rows = dealt.withColumn("other", F.lit(None).cast("long")).select(names)
     if refuted is not None:
-        known = refuted.select("token", "lo", "hi", F.col("b").alias("other"), F.col("a").alias("digest"), *(F.lit(None).cast(t).alias(c) for c, t in (("root", "binary"), ("block", "int"), ("n", "int"), ("mark", "long"), ("bits", "binary"))))
-        rows = rows.unionByName(known)
+        rows = rows.unionByName(refuted.select("token", "lo", "hi", F.col("b").alias("other"), F.col("a").alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())))
     ordered = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return ordered.mapInArrow(_searched(percent, whole), "token long, lo int, hi int, a binary, ra binary, b binary, rb binary")
+    return ordered.mapInArrow(_searched(percent, whole, single), "token long, lo int, hi int, a long, ra long, b long, rb long")
 
 
 def jaccard_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, forests: int = FORESTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest of its set, n), and (digest, root, doc_id: its smallest): roots are equal for sets joined by links."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(plain.mapInArrow(_sets(size, percent, *common_shingles(plain, size)), "doc_id long, digest binary, n int, mark long, bits binary, prefix array<long>"), "join-sets")
-    reps = cut(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "mark", "bits", "prefix"))), "join-texts")
+    firsts = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "mark", "bits", "prefix")))
+    reps = cut(firsts.withColumn("id", F.monotonically_increasing_id()), "join-texts")  # written, so ids stay as they are
     trees = _forest(reps)
-    largest = trees.groupBy("digest").agg(F.max(F.struct("count", "token")).alias("m")).select("digest", F.col("m.token").alias("token"))
-    roots, refuted, asked = reps.select("digest", F.col("digest").alias("root")), None, None
+    sizes = trees.groupBy("token").agg(F.count("*").alias("count"))
+    largest = trees.join(sizes, "token").groupBy("id").agg(F.max(F.struct("count", "token")).alias("m"), F.sort_array(F.collect_list("token")).alias("tokens"))  # a prefix at most
+    own = cut(largest.select("id", F.col("m.token").alias("largest"), "tokens").join(reps.select("id", "n", "mark", "bits"), "id"), "join-own")
+    roots, refuted, asked = reps.select("id", F.col("id").alias("root")), None, None
     for k in range(forests + 2):
-        whole = k > forests
-        own = trees.select("token", "digest").join(largest, ["digest", "token"]) if not k else trees.select("token", "digest")
-        rooted = own.join(roots, "digest")
-        live = rooted.groupBy("token").agg(F.count("*").alias("count"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("token", "count")
+        of = own.select(F.col("largest").alias("token"), "id") if not k else trees
         if k > 1:  # a tree without candidates has none later
-            live = live.join(asked.select("token").distinct(), "token", "left_semi")
-        members = rooted.join(live, "token").join(reps.select("digest", "n", "mark", "bits"), "digest")
-        asked = cut(_searching(_dealt(members, block), refuted, percent, whole), "join-candidates")
+            of = of.join(asked.select("token").distinct(), "token", "left_semi")
+        rooted = of.join(roots, "id")
+        live = rooted.groupBy("token").agg(F.count("*").alias("count"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("token", "count")
+        members = rooted.join(live, "token").join(own.select("id", "n", "mark", "bits", "tokens"), "id")
+        asked = cut(_searching(_dealt(members, block), refuted, percent, k > forests, not k), "join-candidates")
         if asked.isEmpty():
             if not k:  # the largest trees have none, others may
                 continue
             break
         found = cut(_verified(asked.select("a", "b").distinct(), plain, reps, size, percent), "join-compared")
-        edges = asked.join(found.filter("links"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        moved = components(edges, "join-classes").withColumnRenamed("root", "_root")
-        roots = cut(roots.join(moved, F.col("root") == F.col("node"), "left").select("digest", F.coalesce("_root", "root").alias("root")), "join-roots")
+        told = asked.join(found, ["a", "b"])
+        moved = components(told.filter("links").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "join-classes").withColumnRenamed("root", "_root")
+        roots = cut(roots.join(moved, F.col("root") == F.col("node"), "left").select("id", F.coalesce("_root", "root").alias("root")), "join-roots")
         if k:
-            told = asked.join(found.filter("NOT links"), ["a", "b"]).select("token", "lo", "hi", "a", "b")
-            refuted = cut(told if refuted is None else refuted.unionByName(told), "join-refuted")
-    return sets.select("doc_id", "digest", "n"), roots.join(reps.select("digest", "doc_id"), "digest")
+            known = told.filter("NOT links").select("token", "lo", "hi", "a", "b")
+            refuted = cut(known if refuted is None else refuted.unionByName(known), "join-refuted")
+    return sets.select("doc_id", "digest", "n"), roots.join(reps.select("id", "digest", "doc_id"), "id").drop("id")
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
