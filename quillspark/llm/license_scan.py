@@ -1,7 +1,7 @@
 """Operator 10, license scans: Dice coefficient over word bigrams against licence templates.
 
 Texts are normalised (lower case; words of letters and digits, with inner dots and hyphens; lines that only name a
-copyright holder go from templates and from texts). Compared with a template of m bigrams is every contiguous part of the
+copyright holder go from templates and from texts, up to the end of their sentence and never with words of a template). Compared with a template of m bigrams is every contiguous part of the
 text, of any length. The Dice coefficient of sizes a and b is at most 2 min(a, b) / (a + b), so only parts of m t / (2 - t) to
 m (2 - t) / t bigrams can reach the threshold t, and most templates fall to too few common bigrams in the text or in reach. A
 part without a common bigram at an end gains when that end is cut, so parts from common bigram to common bigram suffice. The
@@ -9,7 +9,7 @@ number of common bigrams in a part bounds its coefficient; beginnings are tried
 counts over all its ends, until no other can be nearer.
 
 Defined results: null and empty texts match nothing; a text may match several licences, each once, at its best part (the
-first if parts tie); where matches overlap only the nearest licence counts; rows that repeat each get their matches; an empty table gives an empty result; further columns are
+first if parts tie); where matches overlap only the nearest licence counts, and another one at its best part that overlaps none; rows that repeat each get their matches; an empty table gives an empty result; further columns are
 not read.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from quillspark.llm.simhash import texts_of
 
 THRESHOLD = 0.8
 WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-HOLDER = re.compile(r"^\W*copyright\b[^\n]{0,200}$", re.M)
+#: A holder's line up to its sentence's end: the word, a sign or a year, and the name.
+HOLDER = re.compile(r"^\W*copyright\s*(?:\(c\)|©|\d{4}\b|by\b|:)[^\n]*?(?:\.(?=\s)|$)", re.M)
 
 #: Published notices and licence texts, by name. A name may have several; pass further ones as templates.
 BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
@@ -66,9 +67,14 @@ TEMPLATES = [
 ]
 
 
-def normal(text: str) -> list[str]:
+def normal(text: str, known: Container = frozenset()) -> list[str]:
+    """The words that count. A holder's line goes up to its sentence's end, unless it holds a known bigram of a template."""
     lowered = text.lower()
-    return WORDS.findall(HOLDER.sub("\n", lowered) if "copyright" in lowered else lowered)
+
+    def told(m: re.Match) -> str:
+        return m[0] if any(b in known for b in bigrams(WORDS.findall(m[0]))) else "\n"
+
+    return WORDS.findall(HOLDER.sub(told, lowered) if "copyright" in lowered else lowered)
 
 
 def bigrams(words: list[str]) -> list[tuple[str, str]]:
@@ -116,31 +122,40 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first word, number of words) of each licence found."""
-        words = normal(text)
+        words = normal(text, self.places)
         if self.firsts.isdisjoint(words):
             return []
-        pairs, places = bigrams(words), self.places
-        hits = defaultdict(list)
+        pairs, hits = bigrams(words), defaultdict(list)
         for at, b in enumerate(pairs):
-            if b in places:
-                for k in places[b]:
-                    hits[k].append(at)
-        best = {}
-        for k, found in hits.items():
-            name, m, _ = self.templates[k]
-            if len(found) < self.t * m / (2 - self.t) - 1e-9:  # what the smallest part that fits must hold
-                continue
-            if near := self.nearest(pairs, np.array(found, np.int64), k):
-                d, a, size = near
-                if (d, -a, -size) > best.get(name, (0, 0, 0)):
-                    best[name] = (d, -a, -size)
-        best = {name: (d, -a, 1 - size) for name, (d, a, size) in best.items()}
-        kept = []
-        for d, a, n, name in sorted(((*x, name) for name, x in best.items()), key=lambda x: (-x[0], x[1], x[3])):
-            if all(a + n <= b or b + k <= a for _, _, b, k in kept):  # of licences at one place the nearest
-                kept.append((name, d, a, n))
+            for k in self.places.get(b, ()):
+                hits[k].append(at)
+        hits = {k: np.array(found, np.int64) for k, found in hits.items()}
+        best = {name: x for name in {self.templates[k][0] for k in hits} if (x := self.best(name, pairs, hits, [(0, len(pairs))]))}
+        kept, free = [], [(0, len(pairs))]
+        while best:
+            name = min(best, key=lambda n: (-best[n][0], best[n][1], n))
+            d, a, size = best.pop(name)
+            kept.append((name, d, a, size + 1))
+            free = [(x, y) for s, e in free for x, y in ((s, min(e, a - 1)), (max(s, a + size + 1), e)) if x < y]  # a part takes a word more than its bigrams
+            for other, (_, b, n) in list(best.items()):
+                if b <= a + size and a <= b + n:  # of licences at one place the nearest; another part of this one may be near too
+                    again = self.best(other, pairs, hits, free)
+                    best.pop(other) if again is None else best.update({other: again})
         return sorted(kept)
 
+    def best(self, name: str, pairs: list, hits: dict[int, np.ndarray], free: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+        """(dice, first bigram, bigrams) of the part nearest to a template of this name, inside one of the free stretches of bigrams."""
+        found = []
+        for k, where in hits.items():
+            own, m, _ = self.templates[k]
+            if own != name:
+                continue
+            for s, e in free:
+                inside = where[np.searchsorted(where, s) : np.searchsorted(where, e)]
+                if len(inside) >= self.t * m / (2 - self.t) - 1e-9 and (near := self.nearest(pairs, inside, k)):  # what the smallest part that fits must hold
+                    found.append(near)
+        return min(found, key=lambda x: (-x[0], x[1], x[2])) if found else None
+
 
 def _scan(templates, threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
