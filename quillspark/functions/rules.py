@@ -52,7 +52,7 @@ STATE_SUBMITTED = r"(?i)\b(submit|submitted)\b"
 # Bands and targets of the prose rules.
 TM_CONFIDENCE = [("high", 0.8), ("medium", 0.5)]
 FIDELITY_BANDS = [("high", 90), ("medium", 75)]
-THEME_BANDS = [("dominant", 5), ("recurring", 2), ("single", 1)]
+THEME_BANDS = [("strong", 5), ("moderate", 2), ("emerging", 1), ("dormant", 0)]
 WORDS_PER_PAGE, READ_FAST, READ_SLOW = 250, 250, 200
 
 # Ours, where the prose rules give no number: tolerance of similar sentence lengths, words of a chunk, z-score of an outlying chunk.

@@ -456,3 +456,44 @@ def test_phrases_are_met_by_their_first_word(spark):
             if any(n):
                 want[d, c] = (sum(n), sum(map(bool, n)))
     assert got == want and len(want) > 40
+
+
+# Progress and review tables.
+
+
+def test_saves_themes_and_settings(spark):
+    from quillspark.operators import progress
+
+    messages = ["Saved after drafting chapter 3", "Saved after editor review of chapter 2", "Saved work in progress on x", "Saved: my words", "Initial save of Book", "Merge track a", "Saved oddly", "Proposal: saved"]
+    log = spark.createDataFrame([("p", k, m) for k, m in enumerate(messages)], "p string, at long, m string")
+    assert [r.action for r in progress.save_history(log, "p", ["at"], "m").orderBy("n").collect()] == ["Saved oddly", "Started Book", "my words", "Work in progress on x", "Reviewed chapter 2", "Drafted chapter 3"]
+    assert [r.at for r in progress.save_history(log, "p", ["at"], "m", 2).orderBy("n").collect()] == [6, 4]
+    themes = spark.createDataFrame([("a", t) for t in ("x", "y", "z", "w")], "part string, theme string")
+    units = spark.createDataFrame([("a", k) for k in range(7)], "part string, unit long")
+    mentions = spark.createDataFrame([("a", k, "x") for k in range(5)] + [("a", 0, "x"), ("a", 0, "y"), ("a", 1, "y"), ("a", 2, "z"), ("a", 6, "other")], "part string, unit long, theme string")
+    strength, bare = progress.theme_strength(themes, units, mentions, "part")
+    assert {r.theme: (r.units, r.strength) for r in strength.collect()} == {"x": (5, "strong"), "y": (2, "moderate"), "z": (1, "emerging"), "w": (0, "dormant")}
+    assert sorted(r.unit for r in bare.collect()) == [5, 6]
+    made = lambda js: spark.createDataFrame([(js,)], "js string").select(progress.migrate_settings(F.col("js")).alias("m")).first().m
+    assert made('{"runtime":"r","x":[1]}') == {"runtime": '"r"', "x": "[1]", "runtimes": '["r"]', "scope": '"global"', "install_mode": '"interactive"', "profile": '"full"'}
+    assert made("[]") is None and made(None) is None and made("{}")["runtimes"] == "[]"
+
+
+def test_positions_ages_and_glossaries(spark):
+    from quillspark.operators import progress
+
+    df = spark.createDataFrame([(1, True, False), (2, True, True), (3, None, True)], "k long, a boolean, b boolean")
+    done = {s: F.col("a") if k % 2 else F.col("b") for k, s in enumerate(progress.STAGES)}
+    got = {r.k: (r["index"], r.stage) for r in progress.pipeline_position(df, "k", done).collect()}
+    assert got == {1: (1, "seed"), 2: (None, None), 3: (2, "voice")}
+    untranslated = {**{s: F.lit(True) for s in progress.STAGES}, "translate": F.lit(False)}
+    assert progress.pipeline_position(df, "k", untranslated, translated=False).first()["index"] is None
+    people = spark.createDataFrame([("p", "2000-06-15"), ("q", "2000-02-29")], "who string, born string").withColumn("born", F.to_date("born"))
+    told = spark.createDataFrame([("p", "2030-06-14", 29), ("p", "2030-06-15", 29), ("q", "2001-02-28", 1), ("p", "1999-01-01", -2), ("x", "2000-01-01", 5)], "who string, at string, age long").withColumn("at", F.to_date("at"))
+    assert sorted((str(r["at"]), r.expected) for r in progress.age_conflicts(told, people, "who", "at", "age", "born").collect()) == [("1999-01-01", -2), ("2030-06-15", 30)]
+    terms = spark.createDataFrame([("a", "x"), ("a ", "y"), ("b", "x"), ("b", "x"), ("c", None), ("d", " "), ("d", "z")], "t string, x string")
+    assert sorted((r.term, r.kind, r.translations) for r in progress.conflicting_terms(terms, "t", "x").collect()) == [("a", "several", ["x", "y"]), ("c", "untranslated", [])]
+    refs = spark.createDataFrame([("/cmd:a:b", "own", None), ("/cmd:a-b", None, "hint"), ("/cmd:c-d", "", None)], "ref string, description string, hint string")
+    listed, clashes = progress.inventory(refs, spark.createDataFrame([("a-b", "cat", "known")], "key string, category string, description string"))
+    assert sorted(tuple(r)[:4] for r in listed.collect()) == [("/cmd:a-b", "a-b", "cat", "known"), ("/cmd:a:b", "a-b", "cat", "own"), ("/cmd:c-d", "c-d", "uncategorized", "c d")]
+    assert [(r.skill, r.refs) for r in clashes.collect()] == [("a-b", 2)]
