@@ -117,10 +117,15 @@ def validate_settings(df: DataFrame, json: str, fields=SETTINGS) -> DataFrame:
 
 
 def merge_settings(old: DataFrame, new: DataFrame, key: str, owned: list[str]) -> DataFrame:
-    """New values win for owned fields; other fields keep the old value where there is one."""
-    cols = [c for c in new.columns if c != key]
+    """New values win for owned fields; other fields keep the old value where there is one, and fields that only the old settings have stay."""
     joined = new.alias("n").join(old.alias("o"), key, "left")
-    return joined.select(key, *((F.coalesce(f"n.{c}", f"o.{c}") if c in owned or c not in old.columns else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in cols))
+
+    def value(c: str) -> Column:
+        if c not in old.columns or c not in new.columns:
+            return F.col(f"n.{c}" if c in new.columns else f"o.{c}")
+        return F.coalesce(*(f"{side}.{c}" for side in ("no" if c in owned else "on")))
+
+    return joined.select(key, *(value(c).alias(c) for c in dict.fromkeys([*new.columns, *old.columns]) if c != key))
 
 
 def preserved_copy(source: DataFrame, dest: DataFrame) -> DataFrame:

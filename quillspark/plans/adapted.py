@@ -256,17 +256,27 @@ def json_null_on_error(spark, sf):
 
 
 def surface_tiers(spark, sf):
-    works = spark.createDataFrame([("novel", "prose"), ("runbook", "technical"), ("poem", "verse")], "work_type string, grp string")
-    base = spark.createDataFrame([("prose", "cast", "core"), ("prose", "world", "optional"), ("technical", "cast", "hidden"), ("technical", "world", "optional"), ("verse", "cast", "optional")], "grp string, surface string, tier string")
-    over = spark.createDataFrame([("runbook", "world", "core")], "work_type string, surface string, tier string")
-    names = spark.createDataFrame([("cast", "default", "CHARACTERS.md"), ("cast", "technical", "ROLES.md"), ("world", "default", "WORLD.md")], "surface string, grp string, name string")
-    return registry.resolve_surfaces(works, base, over, names)
+    """Brands as work types of the groups that their names begin with, types as surfaces: a group's tier from its smallest part there, a brand's own where it has but one part."""
+    part = _t(spark, sf, "part").withColumn("grp", F.expr("left(p_brand, length(p_brand) - 1)"))
+    tier = lambda n: F.element_at(F.array(*map(F.lit, ("core", "optional", "hidden"))), (n % 3 + 1).cast("int"))
+    works = part.select(F.col("p_brand").alias("work_type"), "grp").distinct()
+    base = part.groupBy("grp", F.col("p_type").alias("surface")).agg(tier(F.min("p_size")).alias("tier"))
+    over = part.groupBy(F.col("p_brand").alias("work_type"), F.col("p_type").alias("surface")).agg(F.count("*").alias("n")).filter("n = 1").select("work_type", "surface", F.lit("core").alias("tier"))
+    names = part.select(F.col("p_type").alias("surface"), F.lit("default").alias("grp"), F.concat("p_type", F.lit(".md")).alias("name")).distinct()
+    own = part.filter("p_type LIKE 'S%'").select(F.col("p_type").alias("surface"), "grp", F.concat("grp", F.lit("/"), "p_type").alias("name")).distinct()
+    return registry.resolve_surfaces(works, base, over, names.unionByName(own))
 
 
 def profile_commands(spark, sf):
-    prof = spark.createDataFrame([("core", [], ["a", "b"], [], False), ("wide", ["core"], ["c"], ["x"], False), ("loop", ["wide", "loop"], [], [], False), ("full", [], [], [], True)], "profile string, includes array<string>, commands array<string>, categories array<string>, all boolean")
-    cmds = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "x"), ("e", "z")], "name string, category string")
-    return registry.expand_profiles(prof, cmds)
+    """Customers as profiles that include their region's, which hold its nations, a common base and, in one case, themselves."""
+    nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    of = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    none, off = F.array().cast("array<string>"), F.lit(False)
+    own = _t(spark, sf, "customer").join(of, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("profile"), F.array("r_name").alias("includes"), F.array("n_name").alias("commands"), none.alias("categories"), off.alias("all"))
+    regions = region.select(F.col("r_name").alias("profile"), F.when(F.col("r_regionkey") == 0, F.array(F.lit("base"), F.col("r_name"))).otherwise(F.array(F.lit("base"))).alias("includes"), none.alias("commands"), F.array(F.col("r_regionkey").cast("string")).alias("categories"), off.alias("all"))
+    fixed = spark.createDataFrame([("base", [], ["help"], [], False), ("full", [], [], [], True)], own.schema)
+    commands = nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("category")).unionByName(spark.createDataFrame([("help", "none")], "name string, category string"))
+    return registry.expand_profiles(own.unionByName(regions).unionByName(fixed), commands)
 
 
 def runtime_availability(spark, sf):
@@ -354,8 +364,11 @@ ORACLES = {
     "split_points": r"WITH s AS (SELECT source, doc_id, len(regexp_extract_all(text, '\S+')) AS w FROM documents), c AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY source) AS total FROM s) SELECT source, min(doc_id) AS split_at FROM c WHERE upto >= 0.3::DOUBLE * total GROUP BY source",
     "settings_validation": "SELECT event_id, event_id % 6 = 1 AS valid, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 1 ELSE 8 END::BIGINT AS n_errors, CASE event_id % 6 WHEN 3 THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM events",
     "json_null_on_error": "SELECT event_id % 4 = 0 AS is_null, count(*) AS n FROM events GROUP BY 1",
-    "surface_tiers": "SELECT * FROM (VALUES ('novel', 'cast', 'core', 'CHARACTERS.md'), ('novel', 'world', 'optional', 'WORLD.md'), ('runbook', 'cast', 'hidden', 'ROLES.md'), ('runbook', 'world', 'core', 'WORLD.md'), ('poem', 'cast', 'optional', 'CHARACTERS.md')) v(work_type, surface, tier, name)",
-    "profile_commands": "SELECT * FROM (VALUES ('core', 'a'), ('core', 'b'), ('wide', 'a'), ('wide', 'b'), ('wide', 'c'), ('wide', 'd'), ('loop', 'a'), ('loop', 'b'), ('loop', 'c'), ('loop', 'd'), ('full', 'a'), ('full', 'b'), ('full', 'c'), ('full', 'd'), ('full', 'e')) v(profile, command)",
+    "surface_tiers": """WITH p AS (SELECT *, left(p_brand, length(p_brand) - 1) AS grp FROM part), b AS (SELECT grp, p_type, ['core', 'optional', 'hidden'][min(p_size) % 3 + 1] AS tier FROM p GROUP BY ALL), o AS (SELECT p_brand, p_type FROM p GROUP BY ALL HAVING count(*) = 1),
+s AS (SELECT DISTINCT p_brand, grp FROM p) SELECT s.p_brand AS work_type, b.p_type AS surface, CASE WHEN o.p_brand IS NOT NULL THEN 'core' ELSE b.tier END AS tier, CASE WHEN b.p_type LIKE 'S%' THEN grp || '/' || b.p_type ELSE b.p_type || '.md' END AS name
+FROM s JOIN b USING (grp) LEFT JOIN o ON o.p_brand = s.p_brand AND o.p_type = b.p_type""",
+    "profile_commands": """WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), r AS (SELECT r_name AS profile, n_name AS command FROM n UNION SELECT r_name, 'help' FROM region)
+SELECT * FROM r UNION SELECT c_custkey::VARCHAR, command FROM customer JOIN n ON c_nationkey = n_nationkey JOIN r ON r.profile = r_name UNION SELECT 'base', 'help' UNION SELECT 'full', n_name FROM nation UNION SELECT 'full', 'help'""",
     "runtime_availability": "WITH h AS (SELECT DISTINCT s_nationkey AS r, s_suppkey % 3 AS k FROM supplier), g AS (SELECT n_nationkey AS r, k FROM nation, (VALUES (0), (1), (2)) v(k)) SELECT g.r::VARCHAR AS runtime, count(*) AS expected, count(h.k) AS present, coalesce(string_agg(g.k::VARCHAR, ',' ORDER BY g.k) FILTER (WHERE h.k IS NULL), '') AS missing, CASE WHEN count(h.k) = 3 THEN 'ready' WHEN count(h.k) > 0 THEN 'partial' ELSE 'missing' END AS status FROM g LEFT JOIN h ON g.r = h.r AND g.k = h.k GROUP BY g.r",
     "keyword_routing": "SELECT doc_id, CASE WHEN contains(lower(text), 'ing') THEN 'draft' WHEN contains(lower(text), 'the') THEN 'review' WHEN contains(lower(text), 'que') THEN 'translate' END AS hub FROM documents",
     "preserved_copy": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'stale' WHEN doc_id % 3 = 0 THEN 'fresh' WHEN doc_id % 2 = 0 THEN 'backed_up' ELSE 'replaced' END AS kind, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 0 GROUP BY 1",

@@ -61,7 +61,10 @@ COMMANDS = [("draft", "core"), ("plan", "core"), ("save", "session"), ("export",
 
 
 def command_lanes(spark, sf):
-    return p.lanes(spark.createDataFrame(COMMANDS, "name string, category string"))
+    """Uses of commands by lane; each event stands for a use of one of eight."""
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("category")) for n, c in COMMANDS))
+    uses = spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.element_at(listed, (F.col("event_id") % len(COMMANDS) + 1).cast("int")).alias("c")).select("event_type", "c.*")
+    return p.lanes(uses).groupBy("event_type", "name", "category", "lane", "level").agg(F.count("*").alias("uses"))
 
 
 def route_graph(spark, sf):
@@ -125,7 +128,8 @@ SELECT * EXCLUDE (nw, mw), greatest(0, total - nw)::BIGINT AS untouched, floor(n
 y AS (SELECT *, row_number() OVER (PARTITION BY project_id, role ORDER BY mtime DESC, rel_path) AS rn FROM x WHERE role IS NOT NULL), z AS (SELECT * FROM y WHERE role = 'core' OR rn <= CASE role WHEN 'draft' THEN 5 ELSE 3 END),
 w AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY size DESC, rel_path DESC) AS top FROM z)
 SELECT project_id, count(*) AS files, sum(size)::BIGINT AS bytes, ceil(sum(size) / 4)::BIGINT AS tokens, CASE WHEN ceil(sum(size) / 4) >= 120000 THEN 'critical' WHEN ceil(sum(size) / 4) >= 80000 THEN 'tight' WHEN ceil(sum(size) / 4) >= 45000 THEN 'watch' ELSE 'ok' END AS state, string_agg(rel_path, ',' ORDER BY top) FILTER (WHERE top <= 5) AS largest FROM w GROUP BY project_id""",
-    "command_lanes": "SELECT * FROM (VALUES ('draft', 'core', 'agent-ready', 3), ('plan', 'core', 'agent-ready', 3), ('save', 'session', 'local-helper', 2), ('export', 'publishing', 'manual-gated', 4), ('help', 'navigation', 'read-only', 1), ('polish', 'quality', 'agent-or-local', 3), ('odd', 'none', 'read-only', 1), ('undo', 'session', 'manual-gated', 4)) v(name, category, lane, level)",
+    "command_lanes": f"""WITH v(k, name, category, lane, level) AS (VALUES (0, 'draft', 'core', 'agent-ready', 3), (1, 'plan', 'core', 'agent-ready', 3), (2, 'save', 'session', 'local-helper', 2), (3, 'export', 'publishing', 'manual-gated', 4), (4, 'help', 'navigation', 'read-only', 1), (5, 'polish', 'quality', 'agent-or-local', 3), (6, 'odd', 'none', 'read-only', 1), (7, 'undo', 'session', 'manual-gated', 4))
+SELECT event_type, name, category, lane, level, count(*) AS uses FROM events JOIN v ON event_id % 8 = k GROUP BY ALL""",
     "route_graph": """WITH e AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 t AS (SELECT DISTINCT event_type AS name FROM events), f AS (SELECT name[1:1] AS label, min(name) AS hub FROM t GROUP BY 1),
 al AS (SELECT DISTINCT 'intent' AS kind, user_id::VARCHAR AS label, src, dst FROM e WHERE dst IS NOT NULL UNION SELECT 'family', label, hub, name FROM f JOIN t ON name[1:1] = label WHERE hub <> name)

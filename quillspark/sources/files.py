@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,19 @@ def ignored(path: Column, extra: tuple[str, ...] = ()) -> Column:
 def read_tree(spark: SparkSession, root: str, glob: str = "*", skip: tuple[str, ...] = ()) -> DataFrame:
     """path, rel_path, name, ext, length, modified, content of every file below root that no ignored folder holds."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    below = F.regexp_replace("path", rf"^.*?{root.rstrip('/').rpartition('/')[2]}/", "")
+    # the root as it stands in a path, without scheme and host: what follows its first occurrence lies below it
+    own = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "", root).rstrip("/") + "/"
+    own = own if own.startswith("/") else f"/{own.removeprefix('./')}"
+    below = F.substring(F.col("path"), F.instr(F.col("path"), own) + len(own), F.length("path"))
     tree = raw.select("path", below.alias("rel_path"), F.col("length"), F.col("modificationTime").alias("modified"), "content")
     return tree.filter(~ignored(F.col("rel_path"), skip)).withColumns({"name": F.element_at(F.split("rel_path", "/"), -1), "ext": F.lower(F.regexp_extract("rel_path", r"(\.[^./]*)$", 1))})
 
 
 def in_scope(df: DataFrame, scope: str) -> DataFrame:
-    return df.filter(F.split("rel_path", "/")[0].isin(SCOPES.get(scope, SCOPES["all"])))
+    """Files of a scope's folders; an unknown scope is an error."""
+    if scope not in SCOPES:
+        raise ValueError(f"no scope {scope}; there are {', '.join(SCOPES)}")
+    return df.filter(F.split("rel_path", "/")[0].isin(SCOPES[scope]))
 
 
 def listed(df: DataFrame, folder: str, exts: list[str] | None = None, recursive: bool = True) -> DataFrame:

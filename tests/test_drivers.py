@@ -497,3 +497,76 @@ def test_positions_ages_and_glossaries(spark):
     listed, clashes = progress.inventory(refs, spark.createDataFrame([("a-b", "cat", "known")], "key string, category string, description string"))
     assert sorted(tuple(r)[:4] for r in listed.collect()) == [("/cmd:a-b", "a-b", "cat", "known"), ("/cmd:a:b", "a-b", "cat", "own"), ("/cmd:c-d", "c-d", "uncategorized", "c d")]
     assert [(r.skill, r.refs) for r in clashes.collect()] == [("a-b", 2)]
+
+
+# Sources.
+
+
+@pytest.mark.parametrize("folder", ["data", "da.ta+x", "data/data"])
+def test_trees_are_cut_at_their_root(spark, tmp_path, folder):
+    from quillspark.sources import files
+
+    root = tmp_path / "data" / folder
+    for name in ("a.md", "data/b.TXT", ".git/c", f"sub/{folder}/d"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}")
+    for given in (str(root), f"{root}/", f"file://{root}"):
+        assert sorted(r.rel_path for r in files.read_tree(spark, given).collect()) == sorted(["a.md", "data/b.TXT", f"sub/{folder}/d"])
+    tree = files.read_tree(spark, str(root))
+    walked = collect.collect(collect.listing(tree.select("rel_path", "length"), "root"))
+    assert walked[0].count() == 3 and tuple(walked[2].first())[0] == 3
+    with pytest.raises(ValueError, match="no scope"):
+        files.in_scope(tree, "odd")
+
+
+def test_target_kinds_and_texts(spark):
+    from quillspark.sources import files
+
+    kinds = spark.createDataFrame([(t,) for t in ("https://x", "HTTP://y", "s3://z", "mailto:a", "/local", "c/d", None)], "t string").select(files.target_kind(F.col("t")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["remote_unsupported", "remote_unsupported", "scheme_unsupported", "scheme_unsupported", "local", "local", "local"]
+    df = spark.createDataFrame([(bytearray("ü".encode()),), (bytearray(b"\xff"),), (bytearray(b"a\0b"),), (None,)], "content binary")
+    assert [r.text for r in files.texts(df).collect()] == ["ü", None, None, None]
+
+
+def test_inventories_of_commands(spark):
+    from quillspark.sources import files
+
+    rows = [("commands/a.md", "---\ndescription: 'first one'\n---\nbody"), ("commands/x/b.md", "no front matter"), ("commands/c.txt", "---\ndescription: z\n---\n"), ("other/d.md", "---\ndescription: z\n---\n")]
+    found = files.command_inventory(spark.createDataFrame(rows, "rel_path string, text string")).collect()
+    assert sorted((r.ref, r.description) for r in found) == [("a", "first one"), ("x:b", None)]
+    profiles = spark.createDataFrame([(p,) for p in ("profiles/one/manifest.yaml", "profiles/Two/manifest.yml", "profiles/three/other.yml", "profiles/one/manifest.yml")], "rel_path string")
+    assert [r.name for r in files.profile_listing(profiles, "profiles").collect()] == ["one"]
+
+
+def test_voice_fixtures_are_read(spark, tmp_path):
+    from quillspark.sources import files
+
+    made = {"version": 1, "fixtures": [{"id": "f", "sample": "s.md", "expected_pass": True, "min_markers": 1, "max_forbidden": 0, "required_markers": ["a"], "forbidden_patterns": []}]}
+    (tmp_path / "fixtures.json").write_text(json.dumps(made, indent=1))
+    row = files.read_fixtures(spark, str(tmp_path / "fixtures.json")).first()
+    assert (row.id, row.expected_pass, row.required_markers) == ("f", True, ["a"])
+
+
+def test_small_operators_that_no_query_calls(spark):
+    from quillspark.operators import assembly, drift, guidance, manuscript, metadata, registry
+
+    merged = registry.merge_settings(spark.createDataFrame([("k", "old", "mine", "kept")], "key string, a string, b string, d string"), spark.createDataFrame([("k", "new", "theirs", "c")], "key string, a string, b string, c string"), "key", ["a"])
+    assert tuple(merged.select("key", "a", "b", "c", "d").first()) == ("k", "new", "mine", "c", "kept")
+    text = spark.createDataFrame([("body  ",), ("x\nNext commands:\n",)], "t string").select(registry.next_commands_contract(F.col("t")).alias("t"))
+    assert [r.t for r in text.collect()] == ["body\n\nNext commands:\n", "x\nNext commands:\n"]
+    counts = spark.createDataFrame([("a", 3), ("b", 1)], "term string, n int")
+    assert [r.term for r in translation.glossary_gaps(counts, spark.createDataFrame([("a",), ("a",)], "term string")).collect()] == ["b"]
+    elements = spark.createDataFrame([("x", "minimum"), ("y", "balanced"), ("z", "maximum")], "name string, min_level string")
+    assert [r.name for r in assembly.eligible_matter(elements, "balanced").collect()] == ["x", "y"]
+    sessions = spark.createDataFrame([("p", 0, "2024-01-01", "2024-01-02"), ("p", 1, "2024-01-09", "2024-01-09"), ("p", 2, "2024-01-20", "2024-01-21")], "part string, session long, started string, ended string").select("part", "session", F.to_timestamp("started").alias("started"), F.to_timestamp("ended").alias("ended"))
+    assert [(r.session, r.days) for r in drift.session_gaps(sessions, "part").collect()] == [(2, 11)]
+    tracks = spark.createDataFrame([("One", "active", 2, 3), ("one", "merged", 2, 3), ("two", "active", 1, 1)], "label string, status string, ahead int, behind int")
+    assert sorted((r.status, r.ahead) for r in guidance.track_lookup(tracks, "ONE").collect()) == [("active", 2), ("merged", None)]
+    said = spark.createDataFrame([(1, '“Hello,” she said.\nplain\n"Yes."')], "doc_id long, text string")
+    assert [(r.dialogue, r.attributed) for r in manuscript.dialogue_lines(said).orderBy("n").collect()] == [(True, True), (False, False), (True, False)]
+    svg = spark.createDataFrame([(1, "<svg><metadata>\n<dc:creator>me</dc:creator></metadata></svg>")], "page_id long, svg string")
+    assert [(r.line, r.rule_id) for r in metadata.svg_metadata(svg).collect()] == [(2, "metadata.generator")]
+    places = spark.createDataFrame([(1, 2, 3, None, None, None)], "line int, column int, offset int, member string, segment string, tool string").select(reports.location_text(F.struct("*")).alias("t"))
+    assert places.first().t == "line 1, column 2, offset 3"
+    diff = spark.createDataFrame([("t", "r", "probable", "U+1", 2, 0, 1)], "target string, rule_id string, confidence string, code_point string, removed int, remaining int, added int")
+    assert reports.compared_lines(diff, "target").first().section == "added r probable U+1 x1\nremoved r probable U+1 x2"
