@@ -5,17 +5,18 @@
    others against it, so windows are laid only where the weights of common shingles in reach suffice for THRESHOLD. Of
    neighbouring windows the best and first one begins where a common shingle comes in at its end, or, cut short by the text's
    end, at a common shingle: those starts are laid, whatever lies between. Nothing that could pass is left out.
-2. SimHash. Windows and items get 64-bit fingerprints over their words.
+2. SimHash. Windows and items get 64-bit fingerprints over their shingles, each counting with the root of its weight: the
+   angle between two is then that of their weighted similarity, also where items share most of their words.
 3. Multi-index Hamming blocks. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS bits agree on one block at
    least, so equal (size, block, value) finds every item of the window's size within the radius, whichever item anchored it.
 4. Verification. Candidates are kept at a weighted-shingle similarity of at least THRESHOLD: the sum of weight times the
    lesser count over the sum of weight times the greater count of all shingles (with repeats, compared as words); a shingle
    weighs 1 over the number of items that hold it, and 1 if the item does not hold it.
 
-The items' shingles and the windows' places are broadcast only up to BROADCAST_ROWS rows, counted before; beyond that Spark
-shuffles. Else texts are not shuffled: all are read for shingles, then those with a window are read again.
-Radius: a window at the threshold has some ten bits of its item's fingerprint changed, more where cheap shingles (held by
-many items) are; RADIUS leaves room for that, tests compare with brute force over all windows, and see the README.
+The items' shingles and the windows' places are broadcast only up to BROADCAST_ROWS rows, the items' prints up to PRINT_BYTES, counted before;
+beyond that Spark shuffles. Else texts are not shuffled: all are read for shingles, then those with a window are read again.
+Radius: a window at the threshold has 9.7 of its item's 64 bits changed on average (an angle of 27 degrees), with a deviation of 2.9, so
+one of some 10,000 such windows has more than RADIUS; tests compare with brute force over all windows.
 
 Defined results: null and empty texts on either side match nothing; rows of one doc_id (null included) are one document;
 a window at a text's end is cut short; repeated items each match; empty tables give an empty result; further columns are
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.shared import cut
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 24
-BROADCAST_ROWS = 1_000_000
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
+#: Rows of small tables (a few dozen bytes each) and bytes of the items' prints that are broadcast, counted before.
+BROADCAST_ROWS, PRINT_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -53,12 +55,22 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_fingerprint(df: DataFrame, of: str) -> DataFrame:
-    """fp: 64-bit SimHash of the words in column of; bit k is 1 if it is set in over half the hashes."""
+def weighted_prints(df: DataFrame, keys: list[str], of: str, weights: DataFrame) -> DataFrame:
+    """keys, fp: 64-bit SimHash of the shingles of the words in column of, a row of df for each keys.
+
+    A shingle counts with the root of its weight (weights: hash, weight; 1 if it isn't there), each repeat as a feature of
+    its own: two sequences' angle is then that of their weighted similarity, whatever words they hold. Bit k is 1 if the
+    roots of features that set it add up to more than those that don't.
+    """
+    each = df.select(*keys, F.explode(_runs(F.col(of), F.least(F.size(of), F.lit(SHINGLE)), lambda _, run: F.xxhash64(run))).alias("hash"))
+    counted = each.groupBy(*keys, "hash").agg(F.count("*").cast("int").alias("_c")).join(weights, "hash", "left")
+    feature = F.struct("hash", F.col("_c").alias("c"), F.sqrt(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    held = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(feature)).alias("_f"))  # the shingles of one window or item
+    every = F.flatten(F.transform("_f", lambda x: F.transform(F.sequence(F.lit(1), x["c"]), lambda i: F.struct(F.xxhash64(x["hash"], i).alias("h"), x["w"].alias("w")))))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    in_bit = lambda k: F.aggregate("_h", F.lit(0), lambda n, h: n + F.call_function("shiftright", h, k).bitwiseAND(one).cast("int"))
-    whole = F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda n, k: n.bitwiseOR(F.when(in_bit(k) * 2 > F.size("_h"), F.call_function("shiftleft", one, k)).otherwise(none)))
-    return _once(df, "_h", F.transform(of, lambda w: F.xxhash64(w))).withColumn("fp", whole).drop("_h")
+    side = lambda k: F.aggregate("_h", F.lit(0.0), lambda n, x: n + F.when(F.call_function("shiftright", x["h"], k).bitwiseAND(one) == one, x["w"]).otherwise(-x["w"]))
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda n, k: n.bitwiseOR(F.when(side(k) > 1e-9, F.call_function("shiftleft", one, k)).otherwise(none)))
+    return _once(held, "_h", every).select(*keys, whole.alias("fp"))
 
 
 def _blocks(df: DataFrame, radius: int) -> DataFrame:
@@ -98,12 +110,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radiu
     dealt = places.groupBy("_d").agg(F.collect_list(F.struct("start", "n")).alias("_at"))  # at most two for each shared shingle of one text
     held = texts.join(F.broadcast(dealt) if places.count() <= broadcast_rows else dealt, F.col("doc_id").eqNullSafe(F.col("_d")))
     cut_out = _once(held.select("doc_id", "text", "_at"), "w", words(F.col("text"))).select("doc_id", F.explode(F.transform("_at", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.slice("w", F.greatest(F.lit(1), p["start"] + 1), F.greatest(F.lit(0), p["n"] + F.least(F.lit(0), p["start"]))).alias("w")))).alias("x")).select("doc_id", "x.*")
-    windows = _blocks(with_fingerprint(cut_out.filter(F.size("w") > 0), "w"), radius)
+    by_hash = cut(anchors.select("hash", "weight").distinct(), "leak-weights")
+    by_hash = F.broadcast(by_hash) if by_hash.count() <= broadcast_rows else by_hash
+    placed = cut(cut_out.filter(F.size("w") > 0).withColumn("_w", F.xxhash64("w")).dropDuplicates(["doc_id", "start", "n", "_w"]), "leak-windows")
+    seen = weighted_prints(placed, ["doc_id", "start", "n", "_w"], "w", by_hash).select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("n").alias("_n"), F.col("_w").alias("_x"), "fp")
+    found = placed.join(seen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("start") == F.col("_s")) & (F.col("n") == F.col("_n")) & (F.col("_w") == F.col("_x")))
+    windows = _blocks(found.select("doc_id", "start", "n", "w", "fp"), radius)
     counted = bench.dropDuplicates(["item_id", "i_words"]).select("item_id", "i_words", F.explode(_shingles(F.col("i_words"))).alias("s")).groupBy("item_id", "i_words", "s").agg(F.count("*").alias("n_item"))
     weighed = counted.join(weights, "s").groupBy("item_id", "i_words").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("weight", "n_item")))).alias("shingles"), F.sum(F.col("weight") * F.col("n_item")).alias("total"))
-    prints = _blocks(with_fingerprint(weighed.withColumn("n", F.size("i_words")), "i_words"), radius).withColumnRenamed("fp", "i_fp").drop("i_words")
+    own = weighted_prints(known.select("_item", "i_words"), ["_item"], "i_words", by_hash)
+    prints = cut(_blocks(weighed.withColumns({"n": F.size("i_words"), "_item": F.xxhash64("i_words")}).join(own, "_item"), radius).withColumnRenamed("fp", "i_fp").drop("i_words", "_item"), "leak-prints")
+    few = prints.agg(F.coalesce(F.sum(F.lit(64) + F.size("shingles") * 96), F.lit(0))).first()[0] <= PRINT_BYTES  # about what they take
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= radius
-    candidates = windows.join(F.broadcast(prints) if small else prints, ["n", "_block", "_value"]).filter(near)
+    candidates = windows.join(F.broadcast(prints) if few else prints, ["n", "_block", "_value"]).filter(near)
     first = F.expr(f"_block = aggregate(sequence(0, {radius}), {radius + 1}, (m, k) -> least(m, if(((fp ^ i_fp) & element_at(_masks, k + 1)) = 0, k, {radius + 1})))")
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
     masks = F.array(*(F.lit(((1 << b) - (1 << a)) - ((1 << 64) if b == 64 else 0)).cast("long") for a, b in zip(cuts, cuts[1:])))
