@@ -1,21 +1,13 @@
 """Near-duplicate removal with operator 3: SimHash components, verified by word shingles; one document of each group stays.
 
-1. Texts that are equal but for letter case (A-Z) and white space are one (the smallest doc_id stands for them).
-2. The distinct texts' fingerprints over distinct words are linked by covering LSH at RADIUS bits:
-   a similarity of 0.8 over five-word shingles leaves nearly all words in common, which moves few of these bits.
-3. Inside a component texts are linked at a Jaccard similarity of at least THRESHOLD over distinct five-word shingles, each
-   with the leaders of its component, components of over CHUNK texts by chunks. This only spares the next step work.
-4. Every pair of the whole table at THRESHOLD or more that is not yet in one set is found by prefix filtering and linked, so
-   neither the radius nor chunks nor leaders lose a link. With shingles in one order for all texts (rare before common, see
-   _common; any order is right), two texts of n and m >= n shingles that reach the threshold share ceil(THRESHOLD m) of
-   them, so COMMON of these (all, if they are fewer) lie among the first n - ceil(THRESHOLD n) + COMMON of the one and
-   the same of the other; of texts of like sizes more (see _enough). Such pairs are compared, first those with a hub of each shingle (they join large groups in few
-   comparisons), then all between sets that are still apart. A pair is compared where its least common shingle is dealt
-   to; the texts of a frequent shingle are dealt over blocks of BLOCK texts and BLOCK_BYTES, so a text travels once per
-   block and not once per pair, and a task holds two blocks at most.
-Of each linked group the smallest doc_id stays. Prints and prefixes come from one pass over the texts; after it only texts
-that are compared move. Joins that meet a frequent shingle, digest or root stream that side and hold one row of the other, so
-their memory is bounded, and adaptive execution splits them.
+1. Texts of one set of five-word shingles (letter case A-Z and white space aside) are one.
+2. The sets' fingerprints over distinct words are linked by operator 3's covering LSH at RADIUS bits: a similarity of 0.8
+   over five-word shingles leaves nearly all words in common, which moves few of these bits. Each set is compared with the
+   first of its component; those at THRESHOLD or more are joined.
+3. Every pair at THRESHOLD or more that is not yet in one class is found by operator 13's forest of signature trees and
+   compared, so neither the radius nor the first of a component loses a link.
+Of each class the smallest doc_id stays. One pass over the texts gives fingerprints, bitmaps and prefixes; after it
+only texts that are compared move, and a task holds one set and streams its partners.
 
 Defined results: null and empty texts are equal to each other; rows of one doc_id stay or go together; null ids come last;
 an empty table gives an empty result; all columns of docs are given back.
@@ -23,271 +15,21 @@ an empty table gives an empty result; all columns of docs are given back.
 
 from __future__ import annotations
 
-import hashlib
-import itertools
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.components import components
 from quillspark.llm.shared import cut
-from quillspark.llm.simhash import SEED, _signed, fingerprint, links, texts_of
-
-RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, 1000
-#: Shared shingles of two prefixes that make a candidate; postings of a shingle in one task of the join.
-COMMON, POSTINGS = 4, 10_000
-#: Of a shingle's texts, those that are compared with each other or with another block in one task; and the bytes of their shingles.
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
-#: For the order of shingles alone: one in SAMPLE texts is looked at, shingles of LEAST of them are common, MOST are told apart.
-SAMPLE, LEAST, MOST = 16, 4, 100_000
-#: An odd number that spreads the hash of a run of words over all bits.
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def digest(text: bytes) -> bytes:
-    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
-
-
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Jaccard of sorted distinct arrays, at least threshold."""
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    if not len(a):
-        return not len(b)
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return both >= threshold * (len(a) + len(b) - both)
-
-
-def cluster(rows: list[tuple[bytes, np.ndarray]], threshold: float) -> list[tuple[bytes, bytes]]:
-    """(digest, digest of its leader), of rows in the order in which they may lead."""
-    leader = list(range(len(rows)))
-
-    def top(k):
-        while leader[k] != k:
-            leader[k] = k = leader[leader[k]]
-        return k
-
-    heads = []
-    for k, (_, own) in enumerate(rows):
-        for j in [j for j in heads if similar(rows[j][1], own, threshold)]:
-            a, b = sorted((top(j), top(k)))
-            leader[b] = a
-        heads = [j for j in [*heads, k] if leader[j] == j]
-    return [(d, rows[top(k)][0]) for k, (d, _) in enumerate(rows)]
-
-
-def _clusters(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, chunk, digest, text) sorted by group; texts with another digest are other rows of that doc_id."""
-
-        def give(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*cluster(rows, threshold))], ["digest", "leader"])
-
-        now, rows, seen = None, [], set()
-        for batch in batches:
-            for root, chunk, d, t in zip(*(batch.column(k).to_pylist() for k in range(3)), texts_of(batch.column(3))):
-                if (root, chunk) != now:
-                    if rows:
-                        yield give(rows)
-                    now, rows, seen = (root, chunk), [], set()
-                if d not in seen and digest(t) == d:
-                    seen.add(d)
-                    rows.append((d, _own(t)))
-        if rows:
-            yield give(rows)
-
-    return run
-
-
-def _linked(docs: DataFrame, reps: DataFrame, threshold: float, chunk: int) -> DataFrame:
-    """(digest, leader) of reps (digest, doc_id, root), each root's reps in chunks."""
-    sizes = reps.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = reps.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / chunk))).select("root", "chunk", "digest", F.col("doc_id").alias("_id"))
-    texts = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("_id")))
-    ordered = texts.repartition("root", "chunk").sortWithinPartitions("root", "chunk", F.col("doc_id").asc_nulls_last())
-    return ordered.select("root", "chunk", "digest", "text").mapInArrow(_clusters(threshold), "digest binary, leader binary")
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(SEED)), np.uint64, len(words))
-
-
-def mixed(words: np.ndarray, size: int) -> np.ndarray:
-    """The distinct hashes, sorted, of the runs of size words, from the words' hashes; of all words if there are fewer."""
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    run = words[:n]
-    for k in range(1, size):
-        run = (run ^ (run >> np.uint64(29))) * MIX + words[k : n + k]
-    run = (run ^ (run >> np.uint64(32))) * MIX
-    return np.unique(run ^ (run >> np.uint64(29)))
-
-
-def _own(text: bytes) -> np.ndarray:
-    return mixed(word_hashes(text), SHINGLE)
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_own(t) for t in texts_of(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
-
-
-def _common(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and their counts in a sample of the distinct texts. They only say which shingles come last in the order."""
-    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).distinct().mapInArrow(_shingles, "shingle long")
-    rows = some.groupBy("shingle").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(most).collect()
-    shingle, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(shingle)
-    return shingle[order], count[order]
-
-
-def needed(n: int, threshold: float) -> int:
-    """The shingles that a text of n shares at least with each text that reaches the threshold."""
-    return math.ceil(threshold * n - 1e-9)
-
-
-def prefix(own: np.ndarray, threshold: float, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The first of these sorted distinct shingles in the order of all texts."""
-    n = len(own)
-    if not n:
-        return own
-    rank = np.zeros(n, np.int64)
-    if len(shingle):
-        at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
-        rank = np.where(shingle[at] == own, count[at], 0)
-    least = needed(n, threshold)
-    return own[np.argsort(rank, kind="stable")][: n - least + min(COMMON, least)]
-
-
-def _prints(threshold: float, shingle: np.ndarray, count: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, text) to (doc_id, digest, fp, size, prefix)."""
-        for batch in batches:
-            digests, prints, sizes, heads = [], [], [], [np.empty(0, np.uint64)]
-            for t in texts_of(batch.column(1)):
-                words = word_hashes(t)
-                own = mixed(words, SHINGLE)
-                digests.append(digest(t))
-                prints.append(_signed(fingerprint(np.unique(words))))
-                sizes.append(len(own))
-                heads.append(prefix(own, threshold, shingle, count))
-            ends = pa.array(np.cumsum([0, *map(len, heads[1:])]), pa.int32())
-            prefixes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), prefixes], ["doc_id", "digest", "fp", "size", "prefix"])
-
-    return run
-
-
-def _tested(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links (a, b) between sets; rows (shingle, ca, cb, digest a, b, set ra, rb, text) sorted by block, its texts (null b) first."""
-        now, held, top = None, {}, {}
-
-        def root(x):
-            while (up := top.get(x, x)) != x:
-                x = up
-            return x
-
-        for batch in batches:
-            found = []
-            for s, ca, cb, a, b, ra, rb, t in zip(*(batch.column(k).to_pylist() for k in range(7)), texts_of(batch.column(7))):
-                if (s, ca, cb) != now:
-                    now, held, top = (s, ca, cb), {}, {}
-                if b is None:
-                    if a not in held and digest(t) == a:  # a text with another digest is another row of that doc_id
-                        held[a] = _own(t)
-                elif (x := root(ra)) != (y := root(rb)) and similar(held[a], held[b], threshold):
-                    top[max(x, y)] = min(x, y)
-                    found.append((ra, rb))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    return run
-
-
-def _enough(near: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, ra, rb, at): the pairs of near (shingle, blocks, a, na, ra, b, nb, rb) that share enough shingles; at: the least of them.
-
-    Of two texts, all common shingles but those behind the prefix whose last shingle comes first in the order lie in both
-    prefixes; so the threshold's overlap, less the greater number of shingles behind a prefix, must be shared by the prefixes.
-    """
-    def behind(n: str):
-        least = F.ceil(threshold * F.col(n) - 1e-9)
-        return least - F.least(F.lit(COMMON), least)
-
-    fits = near.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    counted = fits.groupBy("a", "b", "ra", "rb").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.struct("shingle", "blocks")).alias("at"))
-    overlap = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    return counted.filter(F.col("n") >= overlap - F.greatest(behind("na"), behind("nb"))).select("a", "b", "ra", "rb", "at")
-
-
-def _all_pairs(postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts of different sets; the texts of a frequent shingle meet in parts."""
-    parts = F.ceil(F.col("n") / POSTINGS)
-    left = postings.select("shingle", "blocks", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    right = postings.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    return _enough(left.join(right, ["shingle", "part"]).filter("ra < rb"), threshold)
-
-
-def _hub_pairs(postings: DataFrame, threshold: float, hub) -> DataFrame:
-    """Each text with the least or greatest of its shingles' texts, in proportion to the postings."""
-    hubs = postings.groupBy("shingle").agg(hub(F.struct("digest", "size", "root")).alias("h")).select("shingle", "h.*").toDF("shingle", "a", "na", "ra")
-    both = postings.join(hubs, "shingle").filter("root <> ra").select("shingle", "blocks", "a", "na", "ra", F.col("digest").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    return _enough(both, threshold)
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links between sets, from the pairs that reach the threshold."""
-    def block(text: str):
-        return F.pmod(F.xxhash64(text), F.col("at.blocks"))
-
-    dealt = pairs.select(F.col("at.shingle").alias("shingle"), block("a").alias("ca"), block("b").alias("cb"), "a", "b", "ra", "rb")
-    some = dealt.select("shingle", "ca", "cb", "a").unionByName(dealt.select("shingle", "ca", "cb", F.col("b").alias("a"))).distinct()
-    ids = some.join(reps.select(F.col("digest").alias("a"), F.col("doc_id").alias("_id")), "a")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
-    none = F.lit(None).cast("binary")
-    rows = texts.select("shingle", "ca", "cb", "a", none.alias("b"), none.alias("ra"), none.alias("rb"), "text").unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
-    ordered = rows.repartition("shingle", "ca", "cb").sortWithinPartitions("shingle", "ca", "cb", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(_tested(threshold), "a binary, b binary")
-
+from quillspark.llm.signature_join import BLOCK, jaccard_sets
 
-def _joined(prints: DataFrame, docs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """sets (digest, root) with the sets joined between which any two texts reach the threshold."""
-    own = prints.join(reps.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_id")), (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    postings = own.select("digest", "size", F.explode("prefix").alias("shingle"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES))
-    repeated = postings.groupBy("shingle").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
-    shared = cut(postings.join(repeated, "shingle"), "near-shared")
-    for hub in (F.min, F.max, None):  # each step tests only between sets that are still apart
-        rooted = shared.join(sets, "digest")
-        pairs = cut(_hub_pairs(rooted, threshold, hub) if hub else _all_pairs(rooted, threshold), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        roots = components(_compared(pairs, docs, reps, threshold), "near-sets").withColumnRenamed("root", "_root")
-        sets = cut(sets.join(roots, F.col("root") == F.col("node"), "left").select("digest", F.coalesce("_root", "root").alias("root")), "near-roots")
-    return sets
+RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, BLOCK
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """The rows of docs that stay."""
+    """The rows of docs that stay. chunk: sets of a tree."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = cut(plain.mapInArrow(_prints(threshold, *_common(plain)), "doc_id long, digest binary, fp long, size int, prefix array<long>"), "near-prints")
-    reps = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "near-texts")
-    roots = components(links(reps.select("fp").distinct(), radius), "near-links")
-    rooted = reps.join(roots, F.col("fp") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "fp").alias("root"))
-    found = cut(_linked(plain, rooted, threshold, chunk), "near-chunks")
-    sets = cut(reps.select("digest").join(found, "digest", "left").select("digest", F.coalesce("leader", "digest").alias("root")), "near-leaders")
-    joined = _joined(prints, plain, reps, sets, threshold).join(reps.select("digest", "doc_id"), "digest")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    stays = joined.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_stay")).distinct()
-    out = prints.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias("_gone"))
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    sets, roots = jaccard_sets(plain, SHINGLE, round(100 * threshold), block=chunk, radius=radius)
+    classes = sets.select("doc_id", "digest", "n").join(roots.select(F.col("digest").alias("_d"), "root"), F.col("digest") == F.col("_d"), "left").select("doc_id", "root")  # texts without words have no root
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    stays = classes.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_stay")).distinct()
+    gone = cut(sets.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias("_gone")), "near-gone")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

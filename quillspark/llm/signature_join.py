@@ -28,29 +28,53 @@ table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.near_dedup import mixed, word_hashes
 from quillspark.llm.shared import cut
-from quillspark.llm.simhash import texts_of
+from quillspark.llm.simhash import SEED, _signed, fingerprint, links, texts_of
 
 SHINGLE, PERCENT = 4, 85
 #: Sets of a tree; children of a node; descents that give a spanning forest; bits of the shortest bitmap; bytes compared at once.
-BLOCK, FAN, FORESTS, BITS, AT_ONCE = 1024, 8, 4, 512, 8 << 20
+BLOCK, FAN, FORESTS, BITS, AT_ONCE = 1024, 8, 4, 512, 2 << 20
+#: Rows or pairs that are Python objects at once.
+PART = 1024
 #: For the order of shingles alone: one in SAMPLE texts is looked at, shingles of LEAST of them are common, MOST are told apart.
 SAMPLE, LEAST, MOST = 16, 4, 100_000
 #: Ids that are broadcast to fetch texts, counted before (8 bytes each and a digest); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: An odd number that spreads the hash of a run of words over all bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Tasks over which the partners of one set are dealt, when they are compared with it.
 SALT = 16
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(SEED)), np.uint64, len(words))
+
+
+def mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes, sorted, of the runs of size words, from the words' hashes; of all words if there are fewer."""
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    run = words[:n]
+    for k in range(1, size):
+        run = (run ^ (run >> np.uint64(29))) * MIX + words[k : n + k]
+    run = (run ^ (run >> np.uint64(32))) * MIX
+    return np.unique(run ^ (run >> np.uint64(29)))
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """The shingles that a set of n shares at least with each set that reaches the threshold."""
     return -(-percent * n // 100)
@@ -105,20 +129,21 @@ def prefix(own: np.ndarray, percent: int, shingle: np.ndarray, count: np.ndarray
     return own[np.argsort(rank, kind="stable")][: len(own) - needed(len(own), percent) + 1]
 
 
-def _sets(size: int, percent: int, shingle: np.ndarray, count: np.ndarray):
+def _sets(size: int, percent: int, shingle: np.ndarray, count: np.ndarray, prints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, text) to (doc_id, digest, n, mark: the least hash, bits, prefix)."""
+        """Rows (doc_id, text) to (doc_id, digest, n, mark: the least hash, bits, fp: SimHash of the distinct words, prefix)."""
         for batch in batches:
             rows, heads = [], [np.empty(0, np.uint64)]
             for t in texts_of(batch.column(1)):
-                own = mixed(word_hashes(t), size)
+                words = word_hashes(t)
+                own = mixed(words, size)
                 heads.append(prefix(own, percent, shingle, count))
-                rows.append((digest_of(own), len(own), int(own[:1].view(np.int64).sum()), bitmap(own)))
-            cols = list(zip(*rows)) or [()] * 4
+                rows.append((digest_of(own), len(own), int(own[:1].view(np.int64).sum()), bitmap(own), _signed(fingerprint(np.unique(words))) if prints else None))
+            cols = list(zip(*rows)) or [()] * 5
             ends = pa.array(np.cumsum([0, *map(len, heads[1:])]), pa.int32())
             prefixes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int64)))
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds)), prefixes], ["doc_id", "digest", "n", "mark", "bits", "prefix"])
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds)), prefixes], ["doc_id", "digest", "n", "mark", "bits", "fp", "prefix"])
 
     return run
 
@@ -185,10 +210,27 @@ class Group:
         self.rows = sorted(rows, key=lambda r: (r[2], len(r[5]), r[1], r[4], r[0]))
         self.root = np.array([r[1] for r in self.rows], np.int64)
         self.crossed, self.token = crossed, token
-        self.tokens = [frozenset(r[6] or ()) for r in self.rows]
+        self.earlier = None if token is None else self._earlier(token)
+
+    def _earlier(self, token: int) -> np.ndarray:
+        """A row of bits for each set: the trees before this one that it shares with another set of this one."""
+        seen = Counter(t for r in self.rows for t in r[6] if t < token)
+        places = {t: p for p, t in enumerate(t for t, n in seen.items() if n > 1)}
+        out = np.zeros((len(self.rows), -(-len(places) // 64)), np.uint64)
+        for k, r in enumerate(self.rows):
+            at = np.array([places[t] for t in r[6] if t in places], np.int64)
+            np.bitwise_or.at(out[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return out
+
+    def _first_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether no tree before this one holds both sets."""
+        if self.earlier is None or not self.earlier.shape[1]:
+            return np.ones(len(i), bool)
+        step = max(1, AT_ONCE // (8 * self.earlier.shape[1]))
+        return np.concatenate([np.empty(0, bool), *(~(self.earlier[i[k : k + step]] & self.earlier[j[k : k + step]]).any(1) for k in range(0, len(i), step))])
 
     def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places i and j in rows, and the greatest similarity they can have."""
+        """Places i and j in rows of the pairs that count here, and the greatest similarity they can have."""
         size = np.array([r[3] for r in self.rows], np.int64)
         parts = {}
         for k, r in enumerate(self.rows):
@@ -202,16 +244,17 @@ class Group:
             b = a if x == y else Tree(_folded(wb, wa.shape[1]), size[kb], self.root[kb])
             i, j, most = descend(a, b, percent)
             i, j = ka[i], kb[j]
-            apart = self.root[i] != self.root[j]
+            apart = np.flatnonzero(self.root[i] != self.root[j])
+            apart = apart[self._first_here(i[apart], j[apart])]
             yield i[apart], j[apart], most[apart] / (size[i[apart]] + size[j[apart]] - most[apart])
 
     def chosen(self, percent: int, refuted: set, whole: bool) -> list[tuple[int, int]]:
         """Candidates that are not refuted: all of them, or of the nearest ones a spanning forest between classes."""
-        found = list(self.candidates(percent))
+        found = [(x.astype(np.int32), y.astype(np.int32), z.astype(np.float32)) for x, y, z in self.candidates(percent)]
         if not found:
             return []
         i, j, score = (np.concatenate(c) for c in zip(*found))
-        order = np.argsort(-score, kind="stable")
+        order = np.argsort(-score, kind="stable").astype(np.int32)
         top, out = {}, []
 
         def find(x):
@@ -219,12 +262,11 @@ class Group:
                 top[x] = x = top.get(up, up)
             return x
 
-        for x, y in zip(i[order].tolist(), j[order].tolist()):
+        pairs = (p for k in range(0, len(order), PART) for p in zip(i[order[k : k + PART]].tolist(), j[order[k : k + PART]].tolist()))
+        for x, y in pairs:
             a, b = find(int(self.root[x])), find(int(self.root[y]))
             if a == b or tuple(sorted((self.rows[x][0], self.rows[y][0]))) in refuted:
                 continue
-            if self.token is not None and min(self.tokens[x] & self.tokens[y]) != self.token:  # counts in another tree
-                continue
             out.append((x, y))
             if not whole:
                 top[a] = b
@@ -245,7 +287,7 @@ def _searched(percent: int, whole: bool, single: bool):
             kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["token", "lo", "hi", "a", "ra", "b", "rb"])
 
-        for batch in batches:
+        for batch in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
             for token, lo, hi, other, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, lo, hi) != now:
                     if now and (out := give()):
@@ -319,17 +361,38 @@ def _searching(dealt: DataFrame, refuted: DataFrame | None, percent: int, whole:
     return ordered.mapInArrow(_searched(percent, whole, single), "token long, lo int, hi int, a long, ra long, b long, rb long")
 
 
-def jaccard_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, forests: int = FORESTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest of its set, n), and (digest, root, doc_id: its smallest): roots are equal for sets joined by links."""
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (id, root) after the classes a and b of each edge became one."""
+    moved = components(edges.distinct(), "join-classes").withColumnRenamed("root", "_root")
+    return cut(roots.join(moved, F.col("root") == F.col("node"), "left").select("id", F.coalesce("_root", "root").alias("root")), "join-roots")
+
+
+def _seeded(reps: DataFrame, radius: int, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, root) after each set was compared with the first of its component of operator 3."""
+    near = components(links(reps.select("fp").distinct(), radius), "join-prints")
+    of = reps.join(near, F.col("fp") == F.col("node")).select("id", F.col("root").alias("_of"))
+    firsts = of.groupBy("_of").agg(F.min("id").alias("a"))
+    pairs = cut(of.join(firsts, "_of").filter("id <> a").select("a", F.col("id").alias("b")), "join-seeds")
+    alike = reps.join(near, F.col("fp") == F.col("node"), "left_anti").groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")  # one print, without a link to another
+    pairs = pairs.unionByName(reps.join(alike.select("fp", "a"), "fp").filter("id <> a").select("a", F.col("id").alias("b")))
+    return _merged(reps.select("id", F.col("id").alias("root")), _verified(pairs, docs, reps, size, percent).filter("links").select("a", "b"))
+
+
+def jaccard_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, forests: int = FORESTS, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of its set, n), and (digest, root, doc_id: its smallest): roots are equal for sets joined by links.
+
+    radius: components of operator 3 over distinct words are compared first, each set with the first of its component; this
+    only spares the trees work.
+    """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(plain.mapInArrow(_sets(size, percent, *common_shingles(plain, size)), "doc_id long, digest binary, n int, mark long, bits binary, prefix array<long>"), "join-sets")
-    firsts = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "mark", "bits", "prefix")))
+    sets = cut(plain.mapInArrow(_sets(size, percent, *common_shingles(plain, size), radius is not None), "doc_id long, digest binary, n int, mark long, bits binary, fp long, prefix array<long>"), "join-sets")
+    firsts = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "mark", "bits", "fp", "prefix")))
     reps = cut(firsts.withColumn("id", F.monotonically_increasing_id()), "join-texts")  # written, so ids stay as they are
     trees = _forest(reps)
     sizes = trees.groupBy("token").agg(F.count("*").alias("count"))
     largest = trees.join(sizes, "token").groupBy("id").agg(F.max(F.struct("count", "token")).alias("m"), F.sort_array(F.collect_list("token")).alias("tokens"))  # a prefix at most
     own = cut(largest.select("id", F.col("m.token").alias("largest"), "tokens").join(reps.select("id", "n", "mark", "bits"), "id"), "join-own")
-    roots, refuted, asked = reps.select("id", F.col("id").alias("root")), None, None
+    roots, refuted, asked = reps.select("id", F.col("id").alias("root")) if radius is None else _seeded(reps, radius, plain, size, percent), None, None
     for k in range(forests + 2):
         of = own.select(F.col("largest").alias("token"), "id") if not k else trees
         if k > 1:  # a tree without candidates has none later
@@ -344,8 +407,7 @@ def jaccard_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, b
             break
         found = cut(_verified(asked.select("a", "b").distinct(), plain, reps, size, percent), "join-compared")
         told = asked.join(found, ["a", "b"])
-        moved = components(told.filter("links").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "join-classes").withColumnRenamed("root", "_root")
-        roots = cut(roots.join(moved, F.col("root") == F.col("node"), "left").select("id", F.coalesce("_root", "root").alias("root")), "join-roots")
+        roots = _merged(roots, told.filter("links").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         if k:
             known = told.filter("NOT links").select("token", "lo", "hi", "a", "b")
             refuted = cut(known if refuted is None else refuted.unionByName(known), "join-refuted")

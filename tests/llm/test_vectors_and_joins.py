@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import hard_negatives, signature_join, vector_codes
-from quillspark.llm.near_dedup import mixed, word_hashes
+from quillspark.llm.signature_join import mixed, word_hashes
 from quillspark.llm.vectors import integer_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, block string, code int"
