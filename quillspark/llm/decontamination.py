@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import cut
+from quillspark.llm.shared import cut, free_name
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
 #: Rows of small tables (a few dozen bytes each) and bytes of the items' prints that are broadcast, counted before.
@@ -140,8 +140,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radiu
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("_bad")), "left_anti")
+    own = free_name("_bad", docs.columns)
+    bad = leaks(docs, items, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(bad, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col(own)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

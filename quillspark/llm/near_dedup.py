@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import cut
+from quillspark.llm.shared import cut, free_name
 from quillspark.llm.signature_join import BLOCK, jaccard_sets
 
 RADIUS, SHINGLE, THRESHOLD, CHUNK = 5, 5, 0.8, BLOCK
@@ -31,5 +31,6 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHO
     classes = sets.select("doc_id", "digest", "n").join(roots.select(F.col("digest").alias("_d"), "root"), F.col("digest") == F.col("_d"), "left").select("doc_id", "root")  # texts without words have no root
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     stays = classes.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_stay")).distinct()
-    gone = cut(sets.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias("_gone")), "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    own = free_name("_gone", docs.columns)
+    gone = cut(sets.select("doc_id").distinct().join(stays, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_anti").select(F.col("doc_id").alias(own)), "near-gone")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti")

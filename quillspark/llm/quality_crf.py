@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.shared import free_name
+
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 400
 ROUNDS, RATE, DECAY = 250, 0.08, 1e-3
 THRESHOLD = 0.3
@@ -191,26 +193,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     return train(np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts]), y, rounds)
 
 
-def _scored(model: dict):
+def _scored(model: dict, own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(model, part.column(0)), pa.float64())], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(model, part.column(0)), pa.float64())], [*batch.schema.names, own])
 
     return run
 
 
 def score_quality(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), score_col: str = "score") -> DataFrame:
     """The columns of keep, and score_col."""
-    taken = docs.select(F.col("text").alias("_text"), *keep)
-    out = taken.mapInArrow(_scored(model), T.StructType([*taken.schema.fields, T.StructField("_score", T.DoubleType())]))
-    return out.select(*keep, F.col("_score").alias(score_col))
+    text, own = free_name("_text", list(keep)), free_name("_score", list(keep))
+    taken = docs.select(F.col("text").alias(text), *keep)
+    out = taken.mapInArrow(_scored(model, own), T.StructType([*taken.schema.fields, T.StructField(own, T.DoubleType())]))
+    return out.select(*keep, F.col(own).alias(score_col))
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns."""
-    return score_quality(docs, model, tuple(docs.columns), "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    """The rows of docs that score at least threshold, with their columns, whatever their names."""
+    own = free_name("_quality", docs.columns)
+    return score_quality(docs, model, tuple(docs.columns), own).filter(F.col(own) >= threshold).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or name behind as many underscores as no column has (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Bytes of the Arrow batches that Python workers get while a table is written, whatever the length of texts: buffers stay small.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
