@@ -21,7 +21,7 @@ from quillspark.llm.decontamination import decontaminate
 from quillspark.llm.mixing import mix
 from quillspark.llm.near_dedup import near_dedup
 from quillspark.llm.quality_crf import fit, keep_good
-from quillspark.llm.shared import carry_modules, cut
+from quillspark.llm.shared import carry_modules, cut, free_name
 from quillspark.llm.token_output import read_digests, write_tokens
 
 
@@ -38,9 +38,11 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("_times"))
-    joined = docs.join(taken.filter("_times > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    """Rows of one doc_id stay as often as the one of them that the mix takes most."""
+    key, times, each = (free_name(n, docs.columns) for n in ("_id", "_times", "_pass"))
+    taken = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias(times))
+    joined = docs.join(taken.filter(F.col(times) > 0), docs["doc_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
