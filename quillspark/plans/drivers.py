@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
-from quillspark.operators import audit, cleaning, hidden, manifest, network, records, reports, translation
+from quillspark.operators import audit, cleaning, hidden, intervals, manifest, network, records, reports, translation
 from quillspark.plans import inject
 from quillspark.plans.audit import FINDINGS
 from quillspark.sources import collect
@@ -120,12 +120,19 @@ def manifest_digest(spark, sf):
     return manifest.multiset_digest(_t(spark, sf, "documents").select("source", "doc_id", "lang", "text", "n_chars"), ["source"])
 
 
+def interval_overlaps(spark, sf):
+    """Stretches of each user's events (ten seconds for each unit of value), and whether they overlap another one."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = _t(spark, sf, "events").select("user_id", "event_id", start.alias("start"), (start + F.round(F.col("value") * 10_000_000).cast("long")).alias("end"))
+    return intervals.overlapping(ev, ["user_id"], "start", "end").select("user_id", "event_id", "overlaps")
+
+
 def report_lines(spark, sf):
     found = hidden.scan(inject.documents(spark, sf), keep=("source",)).withColumnRenamed("doc_id", "target")
     return reports.markdown_lines(found, "source").select(F.col("source").alias("run_id"), "line", "text")
 
 
-QUERIES = {f.__name__: f for f in (tm_lookup, audit_report, audit_status_by_kind, clean_totals, collect_walk, ip_networks, provider_findings, json_depth, manifest_digest, report_lines)}
+QUERIES = {f.__name__: f for f in (tm_lookup, audit_report, audit_status_by_kind, clean_totals, collect_walk, ip_networks, provider_findings, json_depth, manifest_digest, interval_overlaps, report_lines)}
 
 #: FINDINGS over documents and pages together, by name.
 _BOTH = f"""{inject.DOCS_SQL}, {inject.PAGES_SQL},
@@ -213,6 +220,9 @@ UNION ALL SELECT event_id, NULL, ignored, 'provider.unicode.space', 'information
   CASE WHEN event_id % 6 IN (2, 5) THEN 'malformed' WHEN event_id % 6 = 4 AND event_id % 40 > 30 THEN 'too_deep' END AS error FROM events""",
     "manifest_digest": """WITH r AS (SELECT source, ('0x' || substr(md5(concat_ws('|', coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(length(lang) || ':' || lang, '-'), coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(length(text) || ':' || text, '-'))), 1, 15))::BIGINT AS n FROM documents)
 SELECT source, count(*) AS rows, sum(n)::DECIMAL(38, 0) AS row_sum, bit_xor(n) AS row_xor FROM r GROUP BY source""",
+    "interval_overlaps": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + round(value * 10000000)::BIGINT AS f FROM events),
+o AS (SELECT DISTINCT a.event_id FROM e a JOIN e b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_id <> b.event_id AND a.s < a.f AND b.s < b.f AND a.s < b.f AND b.s < a.f)
+SELECT user_id, event_id, event_id IN (SELECT event_id FROM o) AS overlaps FROM e""",
     "report_lines": f"""WITH {FINDINGS}, l AS (SELECT source AS run_id, row_number() OVER (PARTITION BY source ORDER BY fd.doc_id, rule_id, code_point) + 2 AS line, '- ' || fd.doc_id || ' ' || rule_id || ' (' || confidence || ') ' || code_point || ' x' || n AS text FROM fd JOIN documents USING (doc_id)),
 s AS (SELECT run_id, count(*) AS n FROM l GROUP BY run_id)
 SELECT run_id, line, text FROM l UNION ALL SELECT run_id, 1, '# Findings' FROM s UNION ALL SELECT run_id, 2, '' FROM s UNION ALL SELECT run_id, n + 3, '' FROM s UNION ALL SELECT run_id, n + 4, '{reports.CAVEAT}' FROM s""",

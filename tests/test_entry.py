@@ -26,6 +26,14 @@ def test_works_without_the_optional_parts(tmp_path):
     assert done.stdout.strip() == "True"
 
 
+def test_a_module_that_the_optional_parts_need_is_missed_aloud(tmp_path):
+    kept = tmp_path / "repo"
+    shutil.copytree(ROOT, kept, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=kept, capture_output=True, text=True, check=False, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode and "xxhash" in done.stderr
+
+
 def test_nothing_else_imports_the_optional_parts():
     for folder, _, names in os.walk(os.path.join(ROOT, "quillspark")):
         if "llm" in folder:
