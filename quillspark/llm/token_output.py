@@ -46,7 +46,7 @@ END_ID = 2
 FRAME_BYTES = 256 << 10
 LEVEL = 3
 #: Pieces that a worker keeps encoded before it begins anew; pieces or pre-tokens that go to a library at once; bytes of texts at once.
-CACHE, RUN, BATCH_BYTES = 1_000_000, 4096, 8 << 20
+CACHE, RUN, BATCH_BYTES = 250_000, 4096, 4 << 20
 #: The pre-tokens and the byte alphabet of byte-level BPE, as published with it; a character that was white space in older Unicode.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
