@@ -5,6 +5,7 @@ import ipaddress
 import json
 import os
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -34,6 +35,25 @@ def test_lookup_finds_what_occurs(spark, hot):
     assert sorted((str(r.unit), r.source, r.target) for r in got.collect()) == want and len(want) > 500
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_lookup_of_short_segments_in_long_words(spark, small):
+    """Words longer than a piece, segments at their cuts, at both ends, of one to three characters and longer than a piece; the same by broadcast and by shuffle."""
+    dice = random.Random(7)
+    long = ["".join(dice.choice("abcdé\U0001f600") for _ in range(n)) for n in (700, 255, 256, 257, 1500)]
+    units = [(k, x) for k, x in enumerate(long)] + [(9, " \n".join(long)), (10, "a b"), (11, "ab cd ef gh")]
+    cuts = {x[a : a + n] for x in long for a in (0, 250, 255, 256, 510, len(x) - 4) for n in (1, 2, 3, 8, 20, 300)} - {""}
+    tm = [(s, s, 1.0) for s in cuts | {"b cd", "b cd e", "b cd ef g", "a", long[3][-5:] + " \n" + long[4][:5], "zz"}]
+    got = translation.lookup(spark.createDataFrame(units, "unit long, text string"), spark.createDataFrame(tm, "source string, target string, confidence double"), "unit", "text", hot=5, small=small).collect()
+    assert sorted((r.unit, r.source) for r in got) == sorted((u, s) for u, x in units for s, _, _ in tm if s in x)
+
+
+def test_lookup_moves_what_meets_an_anchor(spark):
+    """Only distinct words, never whole texts, are taken apart into characters, and a small memory's anchors are broadcast."""
+    units, tm = spark.createDataFrame([(1, "the cat sat on a mat, today")], "unit long, text string"), spark.createDataFrame([("cat sat on a", "t", 1.0), ("mat,", "u", 1.0)], "source string, target string, confidence double")
+    plan = translation.lookup(units, tm, "unit", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"split\(text#\d+, , -1\)", plan) and "strategy=broadcast" in plan
+
+
 def test_lookup_of_nothing(spark):
     units, tm = spark.createDataFrame([(1, "a")], "unit long, text string"), spark.createDataFrame([], "source string, target string, confidence double")
     assert translation.lookup(units, tm, "unit", "text").count() == 0
