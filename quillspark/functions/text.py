@@ -17,7 +17,9 @@ def let(value: Column, use) -> Column:
 
 
 def char_class(ranges: list[tuple[int, int]]) -> str:
-    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    """A pattern of one character of the ranges; one comparison decides for most letters."""
+    listed = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    return f"[\\x{{{min(a for a, _ in ranges):X}}}-\\x{{10FFFF}}&&[{listed}]]"
 
 
 def pictographic_ranges() -> list[tuple[int, int]]:
@@ -30,6 +32,20 @@ EMOJI = char_class(pictographic_ranges())
 JOINING = "[" + "".join(f"\\p{{Is{s}}}" for s in rules.JOINING_SCRIPTS) + "]"
 
 
+def loose(ranges: list[tuple[int, int]]) -> str:
+    """A pattern of one character of the ranges that no context protects.
+
+    Kept: a mark at the start, joiners between letters of joining scripts, joiners and selectors at an emoji, tags within eight
+    characters of one. Emoji stand as themselves in what looks back, since only then are characters counted there, not UTF-16 units.
+    """
+    seen = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in pictographic_ranges()) + "]"
+    joiner, at_emoji, tag = r"[\x{200C}\x{200D}]", r"[\x{200D}\x{FE00}-\x{FE0F}]", r"[\x{E0000}-\x{E007F}]"
+    return (
+        rf"(?={char_class(ranges)})(?!\A\x{{FEFF}})(?!(?<={JOINING}){joiner}{JOINING})(?!(?<={seen}){at_emoji})(?!{at_emoji}{seen})"
+        rf"(?!{tag}(?<={seen}[\s\S]{{0,7}}{tag}))[\s\S]"
+    )
+
+
 def in_ranges(cp: Column, ranges: list[tuple[int, int]]) -> Column:
     """Whether a code point is in one of the ranges; one comparison decides for most letters."""
     found = F.lit(False)
@@ -54,7 +70,7 @@ def code_point_label(cp: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: code points, and those above U+FFFF once more."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
 
 
 def js_trim(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
-from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, let, unicode_class, utf16_length
+from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, let, loose, unicode_class, utf16_length
 
 
 def _matches(char: Column, pattern: str) -> Column:
@@ -26,16 +26,31 @@ def _kept_in_context(chars: Column, at: Column, cp: Column) -> Column:
     return letters | emoji | tags
 
 
-def hits(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
-    """Array of (at, cp) of the targeted characters of a text that no context protects; at counts code points from 0."""
+#: Hits of a text up to which their places come from the lengths between them; beyond, from its characters one by one.
+FEW = 64
+
+
+def hits(text: Column, ranges: list[tuple[int, int]] | None = None, few: int = FEW) -> Column:
+    """Array of (at, cp) of the targeted characters of a text that no context protects; at counts code points from 0.
+
+    One pattern finds them with their contexts, so a text of few is not taken apart into its characters.
+    """
     wanted = [r for _, _, rs in rules.UNICODE_CLASSES for r in rs] if ranges is None else ranges
+    pattern = loose(wanted)
+    hit = lambda at, cp: F.struct(at.cast("int").alias("at"), cp.alias("cp"))
 
-    def loose(chars: Column) -> Column:
+    def between(found: Column) -> Column:
+        before = lambda parts, i: F.aggregate(F.slice(parts, 1, i + 1), i, lambda n, part: n + F.length(part))
+        return let(F.split(text, pattern, -1), lambda parts: F.transform(found, lambda c, i: hit(before(parts, i), F.ascii(c))))
+
+    def each(chars: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: in_ranges(F.ascii(F.get(chars, i)), wanted))
-        found = F.transform(places, lambda i: F.struct(i.alias("at"), F.ascii(F.get(chars, i)).alias("cp")))
+        found = F.transform(places, lambda i: hit(i, F.ascii(F.get(chars, i))))
         return F.filter(found, lambda h: ~((h["cp"] == 0xFEFF) & (h["at"] == 0)) & ~_kept_in_context(chars, h["at"], h["cp"]))
 
-    return F.when(text.rlike(char_class(wanted)), let(F.split(text, ""), loose)).otherwise(F.expr("array()").cast("array<struct<at:int,cp:int>>"))
+    none = F.expr("array()").cast("array<struct<at:int,cp:int>>")
+    told = lambda found: F.when(F.size(found) == 0, none).when(F.size(found) <= few, between(found)).otherwise(let(F.split(text, ""), each))
+    return F.when(text.rlike(char_class(wanted)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), told)).otherwise(none)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -69,14 +84,7 @@ def clean(text: Column) -> Column:
     Contexts are those of the uncleaned text. Each removed character is one that the scan counts, so the budget of the
     evidence (as many removals per code point as were found) is met exactly.
     """
-    def kept(chars: Column) -> Column:
-        def gone(c, i):
-            cp = F.ascii(c)
-            return in_ranges(cp, rules.REMOVABLE) & ~((cp == 0xFEFF) & (i == 0)) & ~_kept_in_context(chars, i, cp)
-
-        return F.array_join(F.transform(chars, lambda c, i: F.when(gone(c, i), F.lit("")).otherwise(c)), "")
-
-    return F.when(text.rlike(char_class(rules.REMOVABLE)), let(F.split(text, ""), kept)).otherwise(text)
+    return F.regexp_replace(text, loose(rules.REMOVABLE), "")
 
 
 def removed_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

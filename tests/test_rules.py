@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -57,6 +58,34 @@ def test_clean_is_idempotent_and_counts_agree(spark):
         assert r.before == r.removed + r.remaining and r.after == r.remaining + r.added
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_places_between_hits_and_by_character(spark, few):
+    """Every context of a hidden character, by pattern and by character, against a plain reading of the rules; whole texts are not taken apart for a few."""
+    dice = random.Random(11)
+    some = "a​‌‍⁠﻿‮⁦\U000e0041\U000e007f️︀\U000e0100   　\n" + "कषبa©\U0001f469\U0001f4bb☀é‼"
+    texts = ["".join(dice.choice(some) for _ in range(dice.randrange(0, 25))) for _ in range(1500)] + ["\U0001f469" + "b" * k + "\U000e0041" for k in range(5, 11)] + ["\U0001f469" + "\U0001f600" * 7 + "x" * k + "\U000e0041" for k in range(5, 11)] + [None, "", "﻿", "​" * 200]
+    emoji, joining = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in tx.pictographic_ranges()) + "]"), "कषب"
+
+    def plain(t, ranges):
+        out = []
+        for i, c in enumerate(t or ""):
+            cp, prev, after = ord(c), t[i - 1] if i else "", t[i + 1 : i + 2]
+            kept = (cp == 0xFEFF and i == 0) or (cp in (0x200C, 0x200D) and prev and prev in joining and after and after in joining) or ((cp == 0x200D or 0xFE00 <= cp <= 0xFE0F) and (emoji.match(prev) or emoji.match(after))) or (0xE0000 <= cp <= 0xE007F and emoji.search(t[max(0, i - 8) : i]))
+            if any(a <= cp <= b for a, b in ranges) and not kept:
+                out.append((i, cp))
+        return out
+
+    every = [r for _, _, rs in rules.UNICODE_CLASSES for r in rs]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = df.select("t", hidden.hits(F.col("t"), few=few).alias("a"), hidden.hits(F.col("t"), rules.REMOVABLE, few=few).alias("b"), hidden.clean(F.col("t")).alias("c")).collect()
+    for r in got:
+        assert [tuple(x) for x in r.a] == plain(r.t, every) and [tuple(x) for x in r.b] == plain(r.t, rules.REMOVABLE), repr(r.t)
+        gone = {i for i, _ in plain(r.t, rules.REMOVABLE)}
+        assert r.c == (None if r.t is None else "".join(c for i, c in enumerate(r.t) if i not in gone)), repr(r.t)
+    plan = df.select(hidden.clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
 def test_compare_pairs_nulls_and_missing_counts(spark):
     schema = "doc_id long, rule_id string, confidence string, channel string, code_point string, member string, count int"
     before = spark.createDataFrame([(1, "r", "c", "u", None, None, 4), (1, "r", "c", "u", "U+200B", "m", None)], schema)
