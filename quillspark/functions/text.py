@@ -17,9 +17,10 @@ def let(value: Column, use) -> Column:
 
 
 def char_class(ranges: list[tuple[int, int]]) -> str:
-    """A pattern of one character of the ranges; one comparison decides for most letters."""
-    listed = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
-    return f"[\\x{{{min(a for a, _ in ranges):X}}}-\\x{{10FFFF}}&&[{listed}]]"
+    """A pattern of one character of the ranges. Most are above U+2000, so one comparison decides for letters below."""
+    listed = lambda some: "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in some)
+    low, high = listed([r for r in ranges if r[0] < 0x2000]), listed([r for r in ranges if r[0] >= 0x2000])
+    return f"[{low}" + (f"[\\x{{2000}}-\\x{{10FFFF}}&&[{high}]]]" if high else "]")
 
 
 def pictographic_ranges() -> list[tuple[int, int]]:
@@ -109,7 +110,7 @@ def lines(text: Column) -> Column:
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
 
 
 def words_wc(text: Column) -> Column:

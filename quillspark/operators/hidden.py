@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
-from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, let, loose, unicode_class, utf16_length
+from quillspark.functions.text import EMOJI, HIDDEN, JOINING, char_class, code_point_label, in_ranges, let, loose, pictographic_ranges, unicode_class, utf16_length
 
 
 def _matches(char: Column, pattern: str) -> Column:
@@ -119,7 +119,7 @@ def clean_front_matter(text: Column) -> Column:
 
 def writing_policy(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Dashes U+2013 and U+2014 and emoji, one row per line and code point."""
-    wanted = rf"[\x{{2013}}\x{{2014}}]|{EMOJI}"
+    wanted = char_class([(0x2013, 0x2014), *pictographic_ranges()])  # one class: an alternative is tried anew at each character
     each = df.filter(F.col(text_col).rlike(wanted)).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("n", "line_text")).filter(F.col("line_text").rlike(wanted))
     chars = each.select(id_col, (F.col("n") + 1).alias("line"), F.explode(F.regexp_extract_all("line_text", F.lit(f"({wanted})"), F.lit(1))).alias("c"))
     return chars.groupBy(id_col, "line", code_point_label(F.ascii("c")).alias("code_point")).agg(F.count("*").alias("count"))
