@@ -34,19 +34,23 @@ def address_hex(text: Column) -> Column:
     brackets and prefixes are not part of an address. An IPv4 address stands at ::ffff:0:0/96, like its mapped form.
     """
     whole = F.lower(text)
-    tail = F.regexp_extract(whole, rf"(?:^|:)({_DOTTED})$", 1)
+    tail = F.when(whole.contains("."), F.regexp_extract(whole, rf"(?:^|:)({_DOTTED})$", 1)).otherwise("")
     digits = _dotted_hex(tail)
     six = F.when(tail == "", whole).otherwise(F.concat(F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4)))
-    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    groups = lambda side: F.array_remove(F.split(side, ":"), "")
 
     def spread(t: Column) -> Column:
         short = t.contains("::")
         left = groups(F.substring_index(t, "::", 1))
         right = F.when(short, groups(F.regexp_replace(t, "^.*::", ""))).otherwise(F.array().cast("array<string>"))
-        n = F.size(left) + F.size(right)
-        ok = t.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & F.when(short, n <= 7).otherwise(n == 8)
-        full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), right)
-        return F.when(ok, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+        well = t.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+
+        def filled(s: Column) -> Column:  # both sides are split once
+            n = F.size(s["left"]) + F.size(s["right"])
+            full = F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), s["right"])
+            return F.when(F.when(short, n <= 7).otherwise(n == 8), F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+        return F.when(well, let(F.struct(left.alias("left"), right.alias("right")), filled))
 
     four = F.when(whole.rlike(f"^{_DOTTED}$"), F.concat(F.lit("0" * 20 + "ffff"), digits))
     return F.coalesce(four, F.when(whole.contains(":"), let(six, spread)))
@@ -77,21 +81,20 @@ def _key(number: Column, bits: int) -> Column:
     return F.when(number["hi"].isNotNull(), F.struct(hi.alias("hi"), lo.alias("lo")))
 
 
-def longest_prefix(df: DataFrame, address: str, networks: DataFrame) -> DataFrame:
-    """df with network, bits and label of the longest network that holds the address, or nulls.
+def longest_prefix(df: DataFrame, address: str, networks: DataFrame, digits: str | None = None) -> DataFrame:
+    """df with network, bits and label of the longest network that holds the address, or nulls. digits: a column of its address_hex, if df has one.
 
     networks: network (text), bits (of its own family), label. One equality join on the first bits of the address for each
     prefix length in use (129 at most), the longest first; no inequality is tested, so the work is rows times lengths. Of
     equal networks the least label counts; networks and addresses that are none match nothing.
     """
-    digits = address_hex(F.col("network"))
-    of = networks.select("network", F.col("bits").cast("int").alias("bits"), "label", F.explode(F.array(digits)).alias("_d")).filter("_d IS NOT NULL")
+    of = networks.select("network", F.col("bits").cast("int").alias("bits"), "label", F.explode(F.array(address_hex(F.col("network")))).alias("_d")).filter("_d IS NOT NULL")
     whole = F.col("bits") + F.when(F.col("network").contains(":"), 0).otherwise(96)
     of = of.withColumn("_all", whole).filter("_all BETWEEN 0 AND 128")
     lengths = [r[0] for r in of.select("_all").distinct().orderBy(F.desc("_all")).collect()]
     small = of.count() <= BROADCAST_ROWS
-    out = df.select("*", F.explode(F.array(address_hex(F.col(address)))).alias("_x"))  # worked out once a row, not once a length
-    out = out.withColumn("_n", halves(F.col("_x"))).drop("_x")
+    out = df.select("*", F.explode(F.array(F.col(digits) if digits else address_hex(F.col(address)))).alias("_x"))  # worked out once a row, not once a length
+    out = out.select(*df.columns, F.explode(F.array(halves(F.col("_x")))).alias("_n"))
     for n in lengths:
         side = of.filter(F.col("_all") == n).groupBy(_key(halves(F.col("_d")), n).alias(f"_k{n}")).agg(F.min(F.struct("label", "network", "bits")).alias(f"_m{n}"))
         out = out.join(F.broadcast(side) if small else side, _key(F.col("_n"), n) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
@@ -111,9 +114,9 @@ def _in(number: Column, network: str, bits: int) -> Column:
     return (own["hi"] == F.lit(hi - (1 << 64) if hi >> 63 else hi).cast("long")) & (own["lo"] == F.lit(lo).cast("long"))
 
 
-def is_global(text: Column) -> Column:
-    """Whether an address of either family is global unicast; false for what is no address."""
-    digits = address_hex(text)
+def is_global(text: Column, digits: Column | None = None) -> Column:
+    """Whether an address of either family is global unicast; false for what is no address. digits: its address_hex, if worked out before."""
+    digits = address_hex(text) if digits is None else digits
 
     def told(x: Column) -> Column:
         four = F.lit(False)

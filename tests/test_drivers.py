@@ -633,3 +633,12 @@ def test_writing_policy_is_one_class(spark):
     found = hidden.writing_policy(df)
     assert sorted((r.doc_id, r.line, r.code_point, r["count"]) for r in found.collect()) == [(1, 1, "U+2013", 2), (1, 1, "U+2014", 1), (1, 2, "U+00A9", 1), (1, 2, "U+203C", 1), (1, 3, "U+1F600", 2)]
     assert "]|[" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_are_read_once(spark):
+    """The query's plan holds each pattern of an address once for the events, however many columns come from it."""
+    from quillspark.plans import drivers
+
+    plan = drivers.ip_networks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.splitlines() if "substring_index" in line and "_d#" not in line]
+    assert len(reads) == 1 and reads[0].count("substring_index") == 1
