@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.shared import free_name
+from quillspark.llm.shared import cut, free_name
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 400
 ROUNDS, RATE, DECAY = 250, 0.08, 1e-3
@@ -212,9 +212,9 @@ def score_quality(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns, whatever their names."""
+    """The rows of docs that score at least threshold, with their columns, whatever their names; written, as whole rows pass through Python workers in small batches only then."""
     own = free_name("_quality", docs.columns)
-    return score_quality(docs, model, tuple(docs.columns), own).filter(F.col(own) >= threshold).drop(own)
+    return cut(score_quality(docs, model, tuple(docs.columns), own).filter(F.col(own) >= threshold).drop(own), "quality-kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

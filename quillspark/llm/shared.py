@@ -53,16 +53,17 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
-#: Bytes of the Arrow batches that Python workers get while a table is written, whatever the length of texts: buffers stay small.
-ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: While a table is written: bytes of the Arrow batches that Python workers get, whatever the length of texts, and rows that the
+#: Parquet reader decodes at once. Buffers of many MB stay with an executor's allocator and heap after they are freed.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: what follows no longer depends on executors' files."""
     spark = df.sparkSession
-    path, was = new_path(spark, name), {k: spark.conf.get(k, None) for k in ARROW}
+    path, was = new_path(spark, name), {k: spark.conf.get(k, None) for k in BATCHES}
     try:
-        for k, v in ARROW.items():
+        for k, v in BATCHES.items():
             spark.conf.set(k, v)
         df.write.parquet(path)
     finally:

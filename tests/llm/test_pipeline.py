@@ -1,10 +1,11 @@
 """The pipeline's stages on the smallest tables: columns, decisions, and what follows from them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
-from quillspark.llm import decontamination, near_dedup, queries
+from quillspark.llm import decontamination, near_dedup, quality_crf, queries
 from quillspark.llm.shared import cut
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,21 @@ def test_stages_take_nulls_empty_tables_and_clashing_columns(spark, rows):
 
 def test_all_operators_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
+
+
+def test_python_workers_get_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["rows", "bytes"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('word ', 1000) AS text")
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    seen = cut(texts.mapInArrow(sizes, "rows long, bytes long"), "test").collect()
+    assert sum(r.rows for r in seen) == 3000 and max(r.bytes for r in seen) < 2.2 * 2**20
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+
+
+def test_quality_writes_whole_rows_in_small_batches(spark, stages):
+    kept = quality_crf.keep_good(stages[0], quality_crf.fit(stages[0], spark.read.parquet(f"{SF}/labels.parquet")))
+    assert kept.inputFiles() and all("quality-kept" in f for f in kept.inputFiles())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in stages[1].collect())
