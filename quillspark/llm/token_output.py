@@ -14,7 +14,8 @@ file that no manifest names. Files are written and read by the folder's own file
 
 Encoding a text piece by piece: between two non-space characters a single space begins a new pre-token in byte-level
 BPE, so a text may be split there. Each piece that a worker has not seen yet is cut into pre-tokens, new pre-tokens go to the
-library's model in bulk, and the ids of both are kept in a bounded cache from which texts are put together. A text in which
+library's model in bulk, and the ids of both are kept in a bounded cache from which texts are put together; a full cache
+forgets all but the half of them that were used most. A text in which
 a piece is empty or has white space at an end, and one that holds the string of a special token (which the library by
 default takes as that token), is encoded whole by the library, as is every text with a tokenizer of another kind.
 
@@ -45,8 +46,8 @@ from quillspark.llm.shared import cut, new_path
 END_ID = 2
 FRAME_BYTES = 256 << 10
 LEVEL = 3
-#: Pieces that a worker keeps encoded before it begins anew; pieces or pre-tokens that go to a library at once; bytes of texts at once.
-CACHE, RUN, BATCH_BYTES = 250_000, 4096, 4 << 20
+#: Pieces that a worker keeps encoded before it forgets all but the half that it used most; pieces that are cut by a library at once, and pre-tokens that are encoded at once; bytes of texts at once.
+CACHE, RUN, FEW, BATCH_BYTES = 250_000, 4096, 512, 4 << 20
 #: The pre-tokens and the byte alphabet of byte-level BPE, as published with it; a character that was white space in older Unicode.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,6 +56,11 @@ OLD_SPACE = "\u180e"
 OTHER_BYTES = re.compile("[\x01-\x20\x7f-\xa0\xad]")
 #: Up to here character classes are the same in all versions of Unicode that the libraries carry; other pieces are encoded by the library alone.
 PLAIN = "\u04ff"
+#: Pieces that are cut into pre-tokens by kinds of characters alone: Latin letters, digits and marks without "'", lines inside; kinds by code point.
+_MARKS = r"!-&(-~\x{a1}-\x{ac}\x{ae}-\x{17f}"
+QUICK = rf"^[{_MARKS}]+(\n+[{_MARKS}]+)*$"
+_LETTER, _NUMBER, _OTHER, _SPACE, _LINE = range(5)
+_KINDS = np.array([_LINE if k == 10 else _SPACE if k == 32 else _LETTER if regex.match(r"\p{L}", chr(k)) else _NUMBER if regex.match(r"\p{N}", chr(k)) else _OTHER for k in range(0x180)], np.uint8)
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
@@ -72,7 +78,7 @@ class Known(dict):
     def __init__(self, kind: np.dtype) -> None:
         self.new: list[str] = []
         self.ids, self.used = np.empty(1 << 16, kind), 0
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.first, self.size, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __missing__(self, text: str) -> int:
         self[text] = k = len(self)
@@ -84,6 +90,7 @@ class Known(dict):
         held = np.maximum(sizes, 0)
         self.first = np.concatenate([self.first, self.used + np.cumsum(held) - held])
         self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -92,10 +99,23 @@ class Known(dict):
 
     def put_together(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these strings, one after another, and where each string's ids end."""
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         sizes = np.maximum(self.size[numbers], 0)
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.first[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
+    def most_used(self, n: int) -> Known:
+        """Only the n strings that were used most, with their ids; older uses count half."""
+        out, names = Known(self.ids.dtype), list(self)
+        held = np.sort(np.argsort(-self.uses, kind="stable")[:n])
+        for k in held.tolist():
+            out[names[k]] = len(out)
+        sizes = self.size[held]
+        some = np.maximum(sizes, 0)
+        out.learn(self.ids[np.repeat(self.first[held] - np.cumsum(some) + some, some) + np.arange(some.sum())], sizes)
+        out.uses = self.uses[held] // 2
+        return out
+
 
 class Encoder:
     """Ids of texts as bytes of little-endian 16- or 32-bit numbers."""
@@ -113,9 +133,6 @@ class Encoder:
         self.bare = Tokenizer(self.tok.model)  # for pre-tokens that are in the byte alphabet already, between spaces
         self.bare.pre_tokenizer = WhitespaceSplit()
         self.parts = regex.compile(PRETOKEN)
-        self._clear()
-
-    def _clear(self) -> None:
         self.pieces, self.pretokens = Known(self.kind), Known(self.kind)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -123,8 +140,8 @@ class Encoder:
 
     def _learn_pretokens(self) -> None:
         new, ids, sizes = self.pretokens.new, [np.empty(0, self.kind)], [np.empty(0, np.int64)]
-        for at in range(0, len(new), RUN):
-            raw = "\0".join([*new[at : at + RUN], ""]).encode().decode("latin-1").replace(" ", BYTE_CHARS[32]).replace("\n", BYTE_CHARS[10])
+        for at in range(0, len(new), FEW):
+            raw = "\0".join([*new[at : at + FEW], ""]).encode().decode("latin-1").replace(" ", BYTE_CHARS[32]).replace("\n", BYTE_CHARS[10])
             shown = OTHER_BYTES.sub(lambda m: BYTE_CHARS[ord(m[0])], raw).replace("\0", f" {BYTE_CHARS[0]} ")  # zero bytes, which no plain piece holds
             found = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(found == self.apart)
@@ -143,23 +160,49 @@ class Encoder:
         ids, ends = self.pretokens.put_together(np.array(numbers, np.int64))
         return ids, np.diff(ends[np.array([*starts[1:], len(numbers)], np.int64) - 1], prepend=0)
 
+    def _spaced_quick(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _spaced, of QUICK pieces: a pre-token begins at a space and where the kind changes, but for what follows the space, and at the last of several line ends."""
+        text = f" {' '.join(pieces)}"
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = _KINDS[points]
+        first = np.ones(len(kind), bool)
+        first[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        first[1:-1] |= (kind[1:-1] == _LINE) & (kind[:-2] == _LINE) & (kind[2:] != _LINE)
+        at = np.flatnonzero(first)
+        raw = text.encode()
+        offsets = np.append(at + np.cumsum(points > 0x7F)[at] - (points[at] > 0x7F), len(raw)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        numbers = np.array(list(map(self.pretokens.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist())), np.int64)[coded.indices.to_numpy()]
+        self._learn_pretokens()
+        ids, ends = self.pretokens.put_together(numbers)
+        starts = np.flatnonzero(kind[at] == _SPACE)
+        return ids, np.diff(ends[np.append(starts[1:], len(at)) - 1], prepend=0)
+
     def _learn(self) -> None:
         """Pieces: None of them holds a space but a head, which begins with one and is encoded without it."""
         new = self.pieces.new
-        sizes, kinds = np.full(len(new), -1, np.int64), ([], [])
-        for k, p in enumerate(new):
+        quick = pc.match_substring_regex(pa.array(new, pa.large_string()), QUICK).to_numpy(zero_copy_only=False)
+        sizes, kinds = np.full(len(new), -1, np.int64), ([], [], np.flatnonzero(quick).tolist())
+        for k in np.flatnonzero(~quick).tolist():
+            p = new[k]
             if p == " " or p.strip() == (p[1:] if p[:1] == " " else p) != "" and OLD_SPACE not in p:  # else a text may not be cut next to it
                 kinds[p[0] != " " and (p.isascii() or max(p) <= PLAIN) and (p.isprintable() or p.replace("\n", "").isprintable())].append(k)
-        lone = self.whole([new[k][1:] if new[k][0] == " " else f" {new[k]}" for k in kinds[0]])
-        sizes[kinds[0]] = [len(x) for x in lone]
-        ids, sizes[kinds[1]] = self._spaced([new[k] for k in kinds[1]]) if kinds[1] else (np.empty(0, self.kind), [])
-        owner = np.repeat(np.array([*kinds[0], *kinds[1]], np.int64), sizes[[*kinds[0], *kinds[1]]])
-        self.pieces.learn(np.concatenate([*lone, ids])[np.argsort(owner, kind="stable")], sizes)
+        found = [np.empty(0, self.kind), *self.whole([new[k][1:] if new[k][0] == " " else f" {new[k]}" for k in kinds[0]])]
+        sizes[kinds[0]] = [len(x) for x in found[1:]]
+        for own, spaced in ((kinds[1], self._spaced), (kinds[2], self._spaced_quick)):
+            if own:
+                ids, sizes[own] = spaced([new[k] for k in own])
+                found.append(ids)
+        order = np.concatenate([np.array(own, np.int64) for own in kinds])
+        owner = np.repeat(order, np.maximum(sizes[order], 0))
+        self.pieces.learn(np.concatenate(found)[np.argsort(owner, kind="stable")], sizes)
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if len(self.pieces) > self.cache:
-            self._clear()
+            self.pieces = self.pieces.most_used(self.cache // 2)
+        if len(self.pretokens) > self.cache:
+            self.pretokens = self.pretokens.most_used(self.cache // 2)
         cut = np.full(len(texts), self.by_piece)
         for mark in self.marks:
             cut &= ~pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)

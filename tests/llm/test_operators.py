@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -354,6 +355,35 @@ def test_token_output(spark, docs, rows, none):
     assert token_output.read_digests(token_output.write_tokens(none)).count() == 0
 
 
+def test_encoder_keeps_the_most_used_pieces():
+    """A full cache forgets rare pieces alone, and what it keeps still has its own ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_output.default_tokenizer())
+    code = token_output.Encoder(token_output.default_tokenizer(), cache=60)
+    common = [f"often{k}" for k in "abcdefgh"]
+    for batch in range(6):
+        texts = [" ".join([*common, *common, *(f"rare{batch}x{k}." for k in range(80))])]
+        assert [np.frombuffer(b, "<u2").tolist() for b in code.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    code.encode(["a last text"])
+    assert set(common) <= set(code.pieces) and len(code.pieces) < 60
+
+
+def test_encoder_cuts_pieces_as_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_output.default_tokenizer())
+    dice = random.Random(5)
+    parts = [*"abcXYZ019.,;!?&$-'\"\n\n\t~", "\n\n\n", "'s", "'ll", "é", "ß", "¡", "¿", "ª", "²", "½", "×", "ſ", "Ł", "\xa0", "\x85", "\xad", "ƒ", "я", "中", "\U0001f469", "\u180e", "e\u0301", " "]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randrange(1, 40))) for _ in range(4000)]
+    code = token_output.Encoder(token_output.default_tokenizer())
+    assert [np.frombuffer(b, "<u2").tolist() for b in code.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    pieces = [p for p in sorted({p for t in texts for p in t.split(" ")}) if pc.match_substring_regex(pa.array([p]), token_output.QUICK)[0].as_py()]
+    ids, sizes = code._spaced_quick(pieces)
+    want = [e.ids for e in tok.encode_batch([f" {p}" for p in pieces], add_special_tokens=False)]
+    assert len(pieces) > 300 and sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
