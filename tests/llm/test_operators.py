@@ -13,6 +13,7 @@ import pytest
 import xxhash
 
 from quillspark.llm import components, decontamination, exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality_crf, sharding, simhash, token_output, url_filters
+from quillspark.llm.shared import cut
 
 SCHEMA = "doc_id long, text string, source string, size long, shard string, fp string"
 LINES = ["a line that is long enough to count", "Another Line that is long enough", "short", "", "  a line that is long enough to count\t", "naïve façade über straße große"]
@@ -202,6 +203,20 @@ def test_links_span_dense_groups(spark, bucket):
     assert all(len(v) == 1 for v in same.values()) and len({next(iter(v)) for v in same.values()}) == len(same)
 
 
+@pytest.mark.parametrize("edges, rounds", [([], 0), ([(1, 2), (3, 1), (1, 2), (9, 8), (4, 4)], 0), ([(3, 1), (3, 2)], None), ([(2, 1), (3, 2)], None), ([(k, k * 7 % 50) for k in range(50)] + [(60, 61), (61, 62), (70, 60)], None)])
+def test_components_take_no_round_where_edges_are_stars(spark, monkeypatch, edges, rounds):
+    written = []
+    monkeypatch.setattr(components, "cut", lambda df, name: written.append(name) or cut(df, name))
+    found = [(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert dict(found) == least and len(found) == len(least)
+    assert rounds is None or len(written) == 1 + rounds
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1001), (1000, 1001)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
